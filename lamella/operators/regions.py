@@ -159,9 +159,12 @@ def region_edge_rows(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return regions.select(*keys, F.explode(rg.region_edges(F.col("rings"))).alias("e")).select(*keys, "e.*")
 
 
-def rasterize(edges: DataFrame, keys: Sequence[str], frame: bool = False) -> DataFrame:
+def rasterize(edges: DataFrame, keys: Sequence[str], frame: bool = False, centre: float = 0.5) -> DataFrame:
     """Runs (keys, row, x0, x1) of the even-odd fill of the edges of each key.
 
+    ``centre`` is where a pixel's test point lies in it: 0.5 for its middle, 0 where
+    whole coordinates are the pixels themselves.
+
     With ``frame`` the rows hold fov_x, fov_y, fov_w and fov_h; runs are then relative
     to that corner and cut to whole pixels of its size. Each edge yields its crossings
     with pixel rows, and sorted crossings of a row pair up to runs.
@@ -171,7 +174,7 @@ def rasterize(edges: DataFrame, keys: Sequence[str], frame: bool = False) -> Dat
         w, h = F.col("fov_w").cast("int"), F.col("fov_h").cast("int")
     else:
         ox = oy = F.lit(0.0)
-    half = F.lit(0.5)
+    half = F.lit(float(centre))
     top, bottom = F.least("y1", "y2") - oy, F.greatest("y1", "y2") - oy
     first, last = F.ceil(top - half), F.ceil(bottom - half) - 1
     if frame:
