@@ -128,6 +128,8 @@ def nms_boxes(dets: DataFrame, threshold: float, keys: Sequence[str], fold_limit
     """
     if threshold <= 0:
         return dets
+    # Detections are read three times below and may come from a model run.
+    dets = durable(dets)
     side = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     items = dets.select(*keys, "score", "key", F.struct(*side).alias("body"), "x1", "y1", (F.col("x2") + 1).alias("x2"), (F.col("y2") + 1).alias("y2"))
     sides = lambda b: tuple(b[c] for c in ("x1", "y1", "x2", "y2"))
@@ -153,7 +155,7 @@ def evaluate_detector(
     keys = ["slide_name", "fov_id", "marker"]
     ok = slides.where("readable").select("slide_name")
     names = channels.select("slide_name", F.col("name").alias("marker"))
-    usable = gt.join(ok, "slide_name", "left_semi").join(names, ["slide_name", "marker"], "left_semi")
+    usable = durable(gt.join(ok, "slide_name", "left_semi").join(names, ["slide_name", "marker"], "left_semi"))
     groups = usable.select(*keys).distinct()
     kept = nms_boxes(threshold_within(dets, groups, keys, score), nms, keys)
     matches = ev.match_boxes(usable, kept, keys, iou)

@@ -98,18 +98,18 @@ def match_boxes(
     matches = greedy_matches(iou_join(pred, gt, keys, threshold), keys, fold_limit)
     one, zero = F.lit(1), F.lit(0)
     parts = [
-        gt.select(*keys, zero.alias("p"), one.alias("g"), zero.alias("m")),
-        pred.select(*keys, one.alias("p"), zero.alias("g"), zero.alias("m")),
-        matches.select(*keys, zero.alias("p"), zero.alias("g"), one.alias("m")),
+        gt.select(*keys, zero.alias("_p"), one.alias("_g"), zero.alias("_m")),
+        pred.select(*keys, one.alias("_p"), zero.alias("_g"), zero.alias("_m")),
+        matches.select(*keys, zero.alias("_p"), zero.alias("_g"), one.alias("_m")),
     ]
     sums = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
-        F.sum("p").alias("p"), F.sum("g").alias("g"), F.sum("m").alias("m")
+        F.sum("_p").alias("_p"), F.sum("_g").alias("_g"), F.sum("_m").alias("_m")
     )
     return sums.select(
         *keys,
-        F.col("m").alias("tp"),
-        (F.col("p") - F.col("m")).alias("fp"),
-        (F.col("g") - F.col("m")).alias("fn"),
+        F.col("_m").alias("tp"),
+        (F.col("_p") - F.col("_m")).alias("fp"),
+        (F.col("_g") - F.col("_m")).alias("fn"),
     )
 
 

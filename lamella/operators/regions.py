@@ -127,12 +127,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     now = durable(edges.where(F.col("a") != F.col("b")).select(*e).distinct())
-    while True:
+    settled = False
+    while not settled:
         after = durable(_small_star(_large_star(now)))
-        moved = after.join(now, ["lo", "hi"], "left_anti").isEmpty() and now.join(after, ["lo", "hi"], "left_anti").isEmpty()
+        settled = after.count() == now.count() and after.join(now, ["lo", "hi"], "left_anti").isEmpty()
         now = after
-        if moved:
-            break
     leaves = now.select(F.col("hi").alias("id"), F.col("lo").alias("label"))
     return leaves.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("label")).distinct())
 
@@ -253,6 +252,18 @@ def export_region_masks(regions: DataFrame, pairs: DataFrame) -> DataFrame:
     return union_runs(region_masks(regions, pairs), ["slide_name", "biomarker", "fov_id"])
 
 
+def component_edges(regions: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect touching regions, without all pairs among exact copies.
+
+    Copies of one geometry hang on the copy of the least id, and only that one is tested
+    against other regions.
+    """
+    alike = ["slide_name", "biomarker", "rings"]
+    first = regions.groupBy(*alike).agg(F.min("id").alias("id"))
+    copies = regions.join(first.withColumnRenamed("id", "a"), alike).select("a", F.col("id").alias("b"))
+    return touching_regions(first).select("a", "b").unionByName(copies.where("a <> b"))
+
+
 def merge_regions(regions: DataFrame) -> dict[str, DataFrame]:
     """Replace touching regions of a channel by their union.
 
@@ -261,7 +272,8 @@ def merge_regions(regions: DataFrame) -> dict[str, DataFrame]:
     number of members and the pixels; ``runs`` holds its mask. Regions that touch none
     are in none of the three.
     """
-    labels = durable(connected_components(touching_regions(regions)))
+    regions = durable(regions)
+    labels = durable(connected_components(component_edges(regions)))
     members = regions.join(labels, "id").select("slide_name", "biomarker", "label", "id")
     edges = region_edge_rows(regions.join(labels, "id"), ["label", "id"])
     runs = durable(union_runs(rasterize(edges, ["label", "id"]).drop("id"), ["label"]))

@@ -21,8 +21,8 @@ FROM {markers} m JOIN {fovs} f ON m.slide_name = f.slide_name AND m.x >= f.x AND
     "gtb": """SELECT slide_name, fov_id, biomarker AS marker, marker_id, created_at, x - w/2 AS x1, y - h/2 AS y1, x + w/2 AS x2, y + h/2 AS y2
 FROM {mf} WHERE biomarker <> ''""",
     "prb": """SELECT p.slide_name, f.id AS fov_id, p.biomarker AS marker, p.gt_id, p.score, p.x1, p.y1, p.x2, p.y2
-FROM {preds} p JOIN {fovs} f ON p.slide_name = f.slide_name AND (p.x1+p.x2)/2 >= f.x AND (p.x1+p.x2)/2 <= f.x + f.w
- AND (p.y1+p.y2)/2 >= f.y AND (p.y1+p.y2)/2 <= f.y + f.h WHERE p.biomarker <> ''""",
+FROM {preds} p JOIN {fovs} f ON p.slide_name = f.slide_name AND p.cx >= f.x AND p.cx <= f.x + f.w
+ AND p.cy >= f.y AND p.cy <= f.y + f.h WHERE p.biomarker <> ''""",
     "ov": """SELECT slide_name, fov_id, marker, pred, gt, gt_at, inter / (pa + ga - inter) AS iou FROM (
  SELECT p.slide_name, p.fov_id, p.marker, p.gt_id AS pred, g.marker_id AS gt, g.created_at AS gt_at,
   greatest(0, least(p.x2,g.x2) - greatest(p.x1,g.x1)) * greatest(0, least(p.y2,g.y2) - greatest(p.y1,g.y1)) AS inter,
@@ -70,8 +70,8 @@ def preds_as_points(t: Tables) -> DataFrame:
         F.col("gt_id").alias("id"),
         "slide_name",
         "biomarker",
-        ((F.col("x1") + F.col("x2")) / 2).alias("x"),
-        ((F.col("y1") + F.col("y2")) / 2).alias("y"),
+        F.col("cx").alias("x"),
+        F.col("cy").alias("y"),
         "x1",
         "y1",
         "x2",

@@ -176,7 +176,7 @@ def touching_regions(t: Tables) -> DataFrame:
 
 @query("connected_components", "SELECT id, label FROM {comp}", CC, recursive=True)
 def connected_components(t: Tables) -> DataFrame:
-    return rn.connected_components(rn.touching_regions(region_table(t)))
+    return rn.connected_components(rn.component_edges(region_table(t)))
 
 
 @query(

@@ -90,13 +90,13 @@ UNION ALL SELECT id, 'region' AS type, CAST('2024-01-01 00:00:00' AS TIMESTAMP)
 
 SPARK_RULES["annotations"] = RULES["annotations"].replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)")
 
-# Displaced, partly missing detections: cells of width 17 are never detected.
+# Displaced, partly missing detections: cells of width 17 are never detected, cells of
+# width 13 only beside their place.
 RULES["preds"] = """
-SELECT id AS gt_id, slide_name, biomarker, x - w/2 + dx AS x1, y - h/2 + dy AS y1, x + w/2 + dx AS x2, y + h/2 + dy AS y2, score FROM (
- SELECT id, slide_name, biomarker, x, y, w, h,
-  CAST(CAST(x*8 AS BIGINT) % 9 - 4 + CASE WHEN CAST(y*8 AS BIGINT) % 5 = 1 THEN 12 ELSE 0 END AS DOUBLE) AS dx,
-  CAST(CAST(y*8 AS BIGINT) % 7 - 3 AS DOUBLE) AS dy,
-  CAST(CAST(x*8+y*8 AS BIGINT) % 1000 AS DOUBLE)/1000.0 AS score FROM {markers}) q WHERE w < 17"""
+SELECT id AS gt_id, slide_name, biomarker, cx, cy, cx - w/2 AS x1, cy - h/2 AS y1, cx + w/2 AS x2, cy + h/2 AS y2,
+ CAST(CAST(cx*8 + cy*8 + 8000 AS BIGINT) % 1000 AS DOUBLE)/1000.0 AS score FROM (
+ SELECT id, slide_name, biomarker, w, h, x + CAST(CAST(x*8 AS BIGINT) % 9 - 4 AS DOUBLE) + CASE WHEN w = 13 THEN 12 ELSE 0 END AS cx,
+  y + CAST(CAST(y*8 AS BIGINT) % 7 - 3 AS DOUBLE) AS cy FROM {markers}) q WHERE w < 17"""
 
 # Image files on disk: FOXP3 was never exported, names truncate, some are stale.
 RULES["fov_files"] = """
