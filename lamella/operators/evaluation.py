@@ -14,10 +14,7 @@ from lamella.session import durable
 
 OVERALL = "__overall__"
 FOLD_LIMIT = 512
-
-
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda p, q: p & q, [a[n].eqNullSafe(b[n]) for n in names])
+CROWD_LIMIT = 512
 
 
 def _fold_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,24 +48,34 @@ def _fields(state: Column) -> list[Column]:
 def _mutual_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same matching in rounds, for groups of any size.
 
-    Under a total order a pair that is the best of both its boxes is always in the
-    greedy result, so every round takes all such pairs and drops the pairs that share a
-    box with them. Each round needs only per-box maxima (combined before the shuffle)
-    and ends in stored rows; the number left is all the driver sees.
+    ``pairs`` also holds ``np`` and ``ng``, the number of equal boxes each side stands
+    for, and the result ``m``, the number of matches of the pair. Under a total order a
+    pair that is the best of both its boxes is always in the greedy result, so every
+    round takes all such pairs and drops the pairs of used-up boxes. Each round needs
+    only per-box maxima (combined before the shuffle) and ends in stored rows; whether
+    any are left is all the driver sees.
     """
     rank = F.struct("iou", "pred", "gt")
     left, found = durable(pairs), []
     while not left.isEmpty():
-        best_p = left.groupBy(*keys, "pred").agg(F.max(rank).alias("b")).select(*keys, "pred", "b.gt")
-        best_g = left.groupBy(*keys, "gt").agg(F.max(rank).alias("b")).select(*keys, "b.pred", "gt")
-        taken = durable(best_p.join(best_g, [*keys, "pred", "gt"]))
+        best_p = left.groupBy(*keys, "pred").agg(F.max(rank).alias("b"), F.first("np").alias("np")).select(*keys, "pred", "b.gt", "np")
+        best_g = left.groupBy(*keys, "gt").agg(F.max(rank).alias("b"), F.first("ng").alias("ng")).select(*keys, "b.pred", "gt", "ng")
+        taken = best_p.join(best_g, [*keys, "pred", "gt"]).withColumn("m", F.least("np", "ng")).drop("np", "ng")
+        taken = durable(taken)
         found.append(taken)
-        left = durable(
-            left.join(taken.drop("gt"), [*keys, "pred"], "left_anti").join(
-                taken.drop("pred"), [*keys, "gt"], "left_anti"
-            )
+        used_p = taken.select(*keys, "pred", F.col("m").alias("_mp"))
+        used_g = taken.select(*keys, "gt", F.col("m").alias("_mg"))
+        rest = left.join(used_p, [*keys, "pred"], "left").join(used_g, [*keys, "gt"], "left")
+        rest = rest.withColumns(
+            {"np": F.col("np") - F.coalesce("_mp", F.lit(0)), "ng": F.col("ng") - F.coalesce("_mg", F.lit(0))}
         )
-    return reduce(DataFrame.unionByName, found) if found else pairs.select(*keys, "pred", "gt").limit(0)
+        left = durable(rest.where("np > 0 AND ng > 0").select(*pairs.columns))
+    empty = pairs.select(*keys, "pred", "gt", F.col("np").alias("m")).limit(0)
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"np": F.lit(1).cast("bigint"), "ng": F.lit(1).cast("bigint")})
 
 
 def greedy_matches(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -84,35 +91,91 @@ def greedy_matches(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD
         return _fold_matches(pairs, keys)
     small = pairs.join(large, list(keys), "left_anti")
     big = pairs.join(large, list(keys), "left_semi")
-    return _fold_matches(small, keys).unionByName(_mutual_matches(big, keys))
+    return _fold_matches(small, keys).unionByName(_mutual_matches(_one_each(big), keys).drop("m"))
+
+
+_SIDES = ("x1", "y1", "x2", "y2")
+
+
+def _tied(pairs: DataFrame, keys: Sequence[str], side: str, n: str) -> DataFrame:
+    """Classes of several boxes with the same IoU as another class to one box.
+
+    There the keys of the single boxes decide, so such classes must be taken apart.
+    """
+    level = [*keys, "gt" if side == "pred" else "pred", "iou"]
+    several = pairs.groupBy(*level).agg(F.count("*").alias("_k")).where("_k > 1").drop("_k")
+    return pairs.where(F.col(n) > 1).join(several, level, "left_semi").select(*keys, side).distinct()
+
+
+def _take_apart(
+    pairs: DataFrame, tied: DataFrame, boxes: DataFrame, classes: DataFrame, keys: Sequence[str], side: str, n: str
+) -> DataFrame:
+    """``pairs`` with the single boxes of ``tied`` classes in place of the class."""
+    named = classes.select(*keys, *_SIDES, F.col("key").alias(side)).join(tied, [*keys, side], "left_semi")
+    single = named.join(boxes.select(*keys, *_SIDES, "key"), [*keys, *_SIDES]).select(*keys, side, "key")
+    opened = pairs.join(single, [*keys, side]).drop(side).withColumnRenamed("key", side)
+    opened = opened.withColumn(n, F.lit(1).cast("bigint")).select(*pairs.columns)
+    return pairs.join(tied, [*keys, side], "left_anti").select(*pairs.columns).unionByName(opened)
+
+
+def crowded_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Greedy matches (keys, pred, gt, m) of groups with many boxes on both sides.
+
+    Equal boxes have the same IoU with everything, so copies are paired as one class
+    with a count, and n copies against m copies make one pair instead of n * m. Only
+    classes in a tie between different boxes are taken apart again.
+    """
+    keys = list(keys)
+
+    def classes(df: DataFrame) -> DataFrame:
+        return durable(df.groupBy(*keys, *_SIDES).agg(F.max("key").alias("key"), F.count("*").alias("n")))
+
+    cg, cp = classes(gt), classes(pred)
+    pairs = iou_join(cp, cg, keys, threshold)
+    pairs = pairs.join(cp.select(*keys, F.col("key").alias("pred"), F.col("n").alias("np")), [*keys, "pred"])
+    pairs = durable(pairs.join(cg.select(*keys, F.col("key").alias("gt"), F.col("n").alias("ng")), [*keys, "gt"]))
+    tied_gt, tied_pred = _tied(pairs, keys, "gt", "ng"), _tied(pairs, keys, "pred", "np")
+    pairs = _take_apart(pairs, tied_gt, gt, cg, keys, "gt", "ng")
+    pairs = _take_apart(pairs, tied_pred, pred, cp, keys, "pred", "np")
+    return _mutual_matches(pairs, keys)
 
 
 def match_boxes(
-    gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.3, fold_limit: int = FOLD_LIMIT
+    gt: DataFrame,
+    pred: DataFrame,
+    keys: Sequence[str],
+    threshold: float = 0.3,
+    fold_limit: int = FOLD_LIMIT,
+    crowd_limit: int = CROWD_LIMIT,
 ) -> DataFrame:
     """True positives, false positives and misses per group.
 
-    Inputs hold ``keys``, an orderable ``key`` unique inside the group, and x1..y2.
+    Inputs hold ``keys``, an orderable ``key`` unique inside the group, and x1..y2. A
+    group with more than ``crowd_limit`` boxes on both sides is matched by classes of
+    equal boxes. Neither limit changes the result.
     """
     keys = list(keys)
-    matches = greedy_matches(iou_join(pred, gt, keys, threshold), keys, fold_limit)
     one, zero = F.lit(1), F.lit(0)
-    parts = [
-        gt.select(*keys, zero.alias("_p"), one.alias("_g"), zero.alias("_m")),
-        pred.select(*keys, one.alias("_p"), zero.alias("_g"), zero.alias("_m")),
-        matches.select(*keys, zero.alias("_p"), zero.alias("_g"), one.alias("_m")),
-    ]
-    sums = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
-        F.sum("_p").alias("_p"), F.sum("_g").alias("_g"), F.sum("_m").alias("_m")
-    )
-    return sums.select(
-        *keys,
-        F.col("_m").alias("tp"),
-        (F.col("_p") - F.col("_m")).alias("fp"),
-        (F.col("_g") - F.col("_m")).alias("fn"),
+    sides = gt.select(*keys, zero.alias("_p"), one.alias("_g")).unionByName(pred.select(*keys, one.alias("_p"), zero.alias("_g")))
+    sizes = durable(sides.groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_g").alias("_g")))
+    crowds = durable(sizes.where((F.col("_p") > crowd_limit) & (F.col("_g") > crowd_limit)).select(*keys))
+    if crowds.isEmpty():
+        matches = _counted(greedy_matches(iou_join(pred, gt, keys, threshold), keys, fold_limit), keys)
+    else:
+        some, rest = [[df.join(crowds, keys, how) for df in (gt, pred)] for how in ("left_semi", "left_anti")]
+        plain = greedy_matches(iou_join(rest[1], rest[0], keys, threshold), keys, fold_limit)
+        crowded = crowded_matches(*some, keys, threshold).groupBy(*keys).agg(F.sum("m").alias("_m"))
+        matches = _counted(plain, keys).unionByName(crowded)
+    tp = F.coalesce("_m", F.lit(0)).cast("bigint")
+    return sizes.join(matches, keys, "left").select(
+        *keys, tp.alias("tp"), (F.col("_p") - tp).alias("fp"), (F.col("_g") - tp).alias("fn")
     )
 
 
+def _counted(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return matches.groupBy(*keys).agg(F.count("*").alias("_m"))
+
+
 def _with_overall(df: DataFrame, by: Sequence[str], marker: str, aggs: Sequence[Column]) -> DataFrame:
     sets = [[*by, marker], list(by)]
     out = df.groupingSets(sets, *by, marker).agg(F.grouping(marker).alias("_all"), *aggs)

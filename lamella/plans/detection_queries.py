@@ -45,13 +45,19 @@ def score_tiles(t: Tables) -> DataFrame:
 
 @query(
     "to_scene",
-    """SELECT fov_id, gt_id, x1 + ox + tx AS x1, y1 + oy + ty AS y1, x2 + ox + tx AS x2, y2 + oy + ty AS y2 FROM (
- SELECT p.*, f.id AS fov_id, CAST(trunc(f.x) AS INT) AS ox, CAST(trunc(f.y) AS INT) AS oy, t.tx, t.ty FROM {preds} p JOIN {fovs} f ON f.slide_name = p.slide_name AND f.biomarker = p.biomarker, (VALUES (0,0),(0,256),(256,0),(256,256)) AS t(tx,ty)) q""",
+    """SELECT fov_id, gt_id, x1 - fx + trunc(fx) AS x1, y1 - fy + trunc(fy) AS y1, x2 - fx + trunc(fx) AS x2, y2 - fy + trunc(fy) AS y2 FROM (
+ SELECT p.*, f.x AS fx, f.y AS fy FROM {prb} p JOIN {fovs} f ON f.id = p.fov_id) q""",
+    NAIVE,
 )
 def to_scene(t: Tables) -> DataFrame:
-    tiles = px.fov_tiles(t.fovs, 256).join(t.fovs.select(F.col("id").alias("fov_id"), "biomarker"), "fov_id")
-    local = t.preds.join(tiles, ["slide_name", "biomarker"])
-    return dt.to_scene(local).select("fov_id", "gt_id", "x1", "y1", "x2", "y2")
+    # Detections as a detector gives them: relative to their tile of the field of view.
+    corner = t.fovs.select(F.col("id").alias("fov_id"), F.col("x").alias("fx"), F.col("y").alias("fy"))
+    tile = lambda lo, at: (F.floor((F.col(lo) - F.col(at)) / 256) * 256).cast("int")
+    rows = pred_boxes(t).join(corner, "fov_id").withColumns(
+        {"ox": F.col("fx").cast("int"), "oy": F.col("fy").cast("int"), "tx": tile("x1", "fx"), "ty": tile("y1", "fy")}
+    )
+    local = rows.withColumns({f"{c}{n}": F.col(f"{c}{n}") - F.col(f"f{c}") - F.col(f"t{c}") for c in "xy" for n in (1, 2)})
+    return dt.to_scene(local).select("fov_id", F.col("key").alias("gt_id"), "x1", "y1", "x2", "y2")
 
 
 @query("threshold", "SELECT gt_id, score FROM {preds} WHERE score > 0.5")

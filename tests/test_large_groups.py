@@ -47,17 +47,43 @@ def greedy_counts(gt, pred, thr):
     return len(gs), len(pred) - len(ps), len(gt) - len(gs)
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 20, 0])
-def test_matching(spark, fold_limit):
+@pytest.mark.parametrize("fold_limit, crowd_limit", [(10_000, 10_000), (20, 10_000), (0, 10_000), (10_000, 20), (0, 0)])
+def test_matching(spark, fold_limit, crowd_limit):
     gt, pred = random_boxes(90, 1), random_boxes(100, 2)
-    # Copies of one box on both sides.
+    # Copies of one box on both sides, and copies whose IoU ties with other boxes.
     gt += [("g0", 1000 + i, 0.0, 5.0, 5.0, 15.0, 15.0) for i in range(7)]
     pred += [("g0", 1000 + i, 0.0, 5.0, 5.0, 15.0, 15.0) for i in range(9)]
-    out = ev.match_boxes(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), ["g"], 0.2, fold_limit)
+    for k in range(12):
+        at = [200.0 + 4 * ((k * 5) % 3), 200.0 + 2 * ((k * 7) % 2)]
+        gt.append(("g1", 2000 + (k * 5) % 12, 0.0, at[0], at[1], at[0] + 10, at[1] + 10))
+        at = [202.0 + 4 * ((k * 7) % 2), 201.0 + 2 * (k % 2)]
+        pred.append(("g1", 2000 + (k * 7) % 12, 0.0, at[0], at[1], at[0] + 10, at[1] + 10))
+    out = ev.match_boxes(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), ["g"], 0.2, fold_limit, crowd_limit)
     want = {k: greedy_counts([g for g in gt if g[0] == k], [p for p in pred if p[0] == k], 0.2) for k in ("g0", "g1", "g2")}
     assert {r.g: (r.tp, r.fp, r.fn) for r in out.collect()} == want
 
 
+def test_matching_of_copies_and_ties(spark):
+    r = random.Random(11)
+    gt, pred = [], []
+    for case in range(40):
+        for rows in (gt, pred):
+            for i in r.sample(range(100), 9):
+                x, y = float(2 * r.randrange(4)), float(2 * r.randrange(3))
+                rows.append((f"g{case}", i, 0.0, x, y, x + 8, y + 8))
+    a, b = spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX)
+    for thr in (0.05, 0.3, 0.6):
+        got = {q.g: (q.tp, q.fp, q.fn) for q in ev.match_boxes(a, b, ["g"], thr, 0, 0).collect()}
+        assert got == {k: greedy_counts([g for g in gt if g[0] == k], [p for p in pred if p[0] == k], thr) for k in got}
+        assert len(got) == 40
+
+
+def test_many_copies_make_few_pairs(spark):
+    rows = [("hot", i, 0.0, 5.0, 5.0, 15.0, 15.0) for i in range(5000)]
+    a, b = spark.createDataFrame(rows, BOX), spark.createDataFrame(rows[:4000], BOX)
+    assert tuple(ev.match_boxes(a, b, ["g"]).first()) == ("hot", 4000, 0, 1000)
+
+
 @pytest.mark.parametrize("fold_limit", [10_000, 0])
 def test_nms(spark, fold_limit):
     rows = random_boxes(200, 3) + [("g1", 1000 + i, 0.55, 5.0, 5.0, 15.0, 15.0) for i in range(30)]
