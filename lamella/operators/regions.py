@@ -158,11 +158,18 @@ def region_edge_rows(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return regions.select(*keys, F.explode(rg.region_edges(F.col("rings"))).alias("e")).select(*keys, "e.*")
 
 
-def rasterize(edges: DataFrame, keys: Sequence[str], frame: bool = False, centre: float = 0.5) -> DataFrame:
+def rasterize(
+    edges: DataFrame,
+    keys: Sequence[str],
+    frame: bool = False,
+    centre: float = 0.5,
+    together: Sequence[str] | None = None,
+) -> DataFrame:
     """Runs (keys, row, x0, x1) of the even-odd fill of the edges of each key.
 
     ``centre`` is where a pixel's test point lies in it: 0.5 for its middle, 0 where
-    whole coordinates are the pixels themselves.
+    whole coordinates are the pixels themselves. ``together`` names the keys by which
+    the runs are combined next; pixel rows are then shuffled once for both steps.
 
     With ``frame`` the rows hold fov_x, fov_y, fov_w and fov_h; runs are then relative
     to that corner and cut to whole pixels of its size. Each edge yields its crossings
@@ -190,6 +197,8 @@ def rasterize(edges: DataFrame, keys: Sequence[str], frame: bool = False, centre
     )
     at = F.col("ax") + (F.col("row") + half - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
     crossing = hit.select(*kept, "row", at.alias("at"))
+    if together is not None:
+        crossing = crossing.repartition(*together, "row")
     order = Window.partitionBy(*keys, "row").orderBy("at")
     paired = crossing.withColumns({"_n": F.row_number().over(order), "_next": F.lead("at").over(order)})
     x0, x1 = F.ceil(F.col("at") - half).cast("int"), (F.ceil(F.col("_next") - half) - 1).cast("int")
@@ -227,8 +236,17 @@ def _events(runs: DataFrame, keys: Sequence[str], da: int, db: int) -> DataFrame
 
 
 def union_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union of the runs of each key, as disjoint runs that do not touch."""
-    return _sweep(_events(runs, keys, 1, 0), keys, F.col("a") > 0)
+    """Union of the runs of each key, as disjoint runs that do not touch.
+
+    A run that starts beyond the furthest end before it opens a new stretch.
+    """
+    by = [*keys, "row"]
+    order = Window.partitionBy(*by).orderBy("x0", "x1")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("x0") > F.max("x1").over(before) + 1, F.lit(True))
+    marked = runs.withColumn("_new", fresh.cast("int"))
+    stretch = marked.withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return stretch.groupBy(*by, "_s").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_s")
 
 
 def subtract_runs(runs: DataFrame, holes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -244,7 +262,8 @@ def pixel_count(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def region_masks(regions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Runs of each region in each field of view of ``pairs``, relative to its corner."""
     edges = region_edge_rows(regions.withColumnRenamed("id", "region_id"), ["region_id"])
-    return rasterize(pairs.join(edges, "region_id"), ["slide_name", "biomarker", "fov_id", "region_id"], frame=True)
+    fov = ["slide_name", "biomarker", "fov_id"]
+    return rasterize(pairs.join(edges, "region_id"), [*fov, "region_id"], frame=True, together=fov)
 
 
 def export_region_masks(regions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -276,7 +295,7 @@ def merge_regions(regions: DataFrame) -> dict[str, DataFrame]:
     labels = durable(connected_components(component_edges(regions)))
     members = regions.join(labels, "id").select("slide_name", "biomarker", "label", "id")
     edges = region_edge_rows(regions.join(labels, "id"), ["label", "id"])
-    runs = durable(union_runs(rasterize(edges, ["label", "id"]).drop("id"), ["label"]))
+    runs = durable(union_runs(rasterize(edges, ["label", "id"], together=["label"]).drop("id"), ["label"]))
     counts = members.groupBy("label").agg(F.count("*").alias("n_members"))
     first = regions.drop("rings").withColumnRenamed("id", "label")
     merged = first.join(counts, "label").join(pixel_count(runs, ["label"]), "label", "left")
