@@ -111,20 +111,24 @@ def counts_by_slide(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """Rows, slides and (for markers) named biomarkers per known type, absent types 0.
 
-    Distinct values are taken first, per type, so nothing unbounded meets in one task.
+    Spark takes the distinct values first, spread over the cluster; a type's own group
+    only adds up partial counts and gathers the biomarker names.
     """
-    named = F.col("biomarker") != ""
-    counts = df.groupBy("type").agg(F.count("*").alias("n"))
-    slides = df.select("type", "slide_name").distinct().groupBy("type").agg(F.count("*").alias("slides"))
-    markers = df.where((F.col("type") == "cell_marker") & named).select("type", "biomarker").distinct()
-    names = markers.groupBy("type").agg(
-        F.count("*").alias("biomarkers"), F.array_join(F.sort_array(F.collect_list("biomarker")), ",").alias("biomarker_names")
+    named = F.when((F.col("type") == "cell_marker") & (F.col("biomarker") != ""), F.col("biomarker"))
+    found = df.groupBy("type").agg(
+        F.count("*").alias("n"),
+        F.countDistinct("slide_name").alias("slides"),
+        F.sort_array(F.collect_set(named)).alias("names"),
     )
     known = df.sparkSession.createDataFrame([(t,) for t in TYPES], "type string")
-    joined = known.join(counts, "type", "left").join(slides, "type", "left").join(names, "type", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return joined.select(
-        "type", zero("n"), zero("slides"), zero("biomarkers"), F.coalesce("biomarker_names", F.lit("")).alias("biomarker_names")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    return known.join(found, "type", "left").select(
+        "type",
+        zero("n").alias("n"),
+        zero("slides").alias("slides"),
+        F.size(names).cast("bigint").alias("biomarkers"),
+        F.array_join(names, ",").alias("biomarker_names"),
     )
 
 

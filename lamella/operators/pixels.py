@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Normalisation constants per scheme, the 16-bit range, the tile edge.
@@ -31,15 +31,38 @@ def histogram(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tiles.select(*keys, F.explode("px").alias("v")).groupBy(*keys, "v").agg(F.count("*").alias("n"))
 
 
+def _between(a: Column, b: Column, part: Column) -> Column:
+    """Linear interpolation, from the nearer end."""
+    return F.when(part < 0.5, a + (b - a) * part).otherwise(b - (b - a) * (F.lit(1.0) - part))
+
+
 def _quantiles(tiles: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
-    at = F.array(*[F.lit(float(p)) for p in points])
-    return histogram(tiles, keys).groupBy(*keys).agg(F.percentile("v", at, F.col("n")).alias("q"), F.max("v").alias("top"))
+    """Exact quantiles q0, q1, .. and the maximum ``top`` per key, from the histogram."""
+    upto = Window.partitionBy(*keys).orderBy("v")
+    whole = Window.partitionBy(*keys)
+    ranked = histogram(tiles, keys).withColumns({"_upto": F.sum("n").over(upto), "_n": F.sum("n").over(whole)})
+
+    def at_rank(k: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > k, F.col("v")))
+
+    cols = []
+    for i, p in enumerate(points):
+        place = (F.col("_n") - 1) * F.lit(float(p))
+        low = F.floor(place)
+        cols += [
+            at_rank(low).alias(f"_a{i}"),
+            at_rank(F.least(low + 1, F.col("_n") - 1)).alias(f"_b{i}"),
+            F.first(place - low).alias(f"_t{i}"),
+        ]
+    found = ranked.groupBy(*keys).agg(F.max("v").alias("top"), *cols)
+    values = [_between(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(f"q{i}") for i in range(len(points))]
+    return found.select(*keys, "top", *values)
 
 
 def channel_quantiles(tiles: DataFrame, low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Exact display range per slide and channel of the given tiles (one level)."""
     q = _quantiles(tiles, ["slide_name", "channel"], (low, high))
-    lo, hi = F.get("q", 0), F.get("q", 1)
+    lo, hi = F.col("q0"), F.col("q1")
     return q.select(
         "slide_name", "channel", F.greatest(lo, F.lit(0.0)).alias("lo"), F.greatest(hi, lo + F.lit(1.0)).alias("hi")
     )
@@ -54,7 +77,7 @@ def coarsest(tiles: DataFrame, levels: DataFrame) -> DataFrame:
 def auto_range(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
     """1st and 99th percentile as whole numbers; fallbacks for flat and empty images."""
     q = _quantiles(tiles, keys, (0.01, 0.99))
-    lo, hi = F.get("q", 0).cast("int"), F.get("q", 1).cast("int")
+    lo, hi = F.col("q0").cast("int"), F.col("q1").cast("int")
     wide = F.when(hi <= lo, F.least(lo + 256, F.lit(TOP))).otherwise(hi)
     empty = F.col("top") == 0
     return q.select(
@@ -129,7 +152,7 @@ def array_quantile(values: Column, q: float) -> Column:
     at = (F.size(values) - 1) * F.lit(float(q))
     below = F.floor(at).cast("int")
     a, b = F.get(values, below), F.get(values, F.ceil(at).cast("int"))
-    return a + (b - a) * (at - below)
+    return _between(a, b, at - below)
 
 
 def normalize_percentile(tiles: DataFrame, low: float = 1.0, high: float = 99.8) -> DataFrame:

@@ -311,11 +311,24 @@ def subtract_loops(regions: DataFrame, loops: DataFrame) -> dict[str, DataFrame]
     """
     keys = ["slide_name", "biomarker"]
     pairs = sp.overlap_pairs(_shapes(regions, "l_", "id", keys), _shapes(loops, "r_", "id", keys), keys, 512.0)
-    hits = pairs.where(rg.regions_meet(F.col("l_e"), F.col("r_e"))).select(F.col("l_id").alias("id"), F.explode("r_e").alias("e"))
-    hits = durable(hits.select("id", "e.*"))
-    touched = regions.join(hits.select("id").distinct(), "id", "left_semi")
-    old = durable(rasterize(region_edge_rows(touched, ["id"]), ["id"]))
-    runs = durable(subtract_runs(old, rasterize(hits, ["id"]), ["id"]))
+    # Both shapes are filled inside the region's own bounding box only.
+    x, y = F.floor("l_x1"), F.floor("l_y1")
+    frame = {"fov_x": x, "fov_y": y, "fov_w": F.ceil("l_x2") - x, "fov_h": F.ceil("l_y2") - y}
+    met = pairs.where(rg.regions_meet(F.col("l_e"), F.col("r_e"))).select(
+        F.col("l_id").alias("id"), "l_e", "r_e", *[c.alias(k) for k, c in frame.items()]
+    )
+    met = durable(met)
+    corner = met.select("id", F.col("fov_x").cast("int").alias("_x"), F.col("fov_y").cast("int").alias("_y"))
+
+    def fill(edges: str) -> DataFrame:
+        rows = met.select("id", *frame, F.explode(edges).alias("e")).select("id", *frame, "e.*")
+        return rasterize(rows, ["id"], frame=True)
+
+    old = durable(fill("l_e"))
+    cut = durable(subtract_runs(old, fill("r_e"), ["id"]))
     before = pixel_count(old, ["id"]).withColumnRenamed("pixels", "before")
-    after = pixel_count(runs, ["id"]).withColumnRenamed("pixels", "after")
-    return {"counts": before.join(after, "id"), "runs": runs}
+    after = pixel_count(cut, ["id"]).withColumnRenamed("pixels", "after")
+    placed = cut.join(corner, "id").select(
+        "id", (F.col("row") + F.col("_y")).alias("row"), *[(F.col(c) + F.col("_x")).alias(c) for c in ("x0", "x1")]
+    )
+    return {"counts": before.join(after, "id"), "runs": placed}

@@ -24,7 +24,11 @@ def long(df: DataFrame, keys: list[str], *arrays: str) -> DataFrame:
 
 QUANT = {
     "q": "SELECT slide_name, channel, quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM {pixels} GROUP BY slide_name, channel",
-    "ar": "SELECT slide_name, channel, tile_y, tile_x, CAST(floor(quantile_cont(v, 0.01)) AS INT) AS lo, CAST(floor(quantile_cont(v, 0.99)) AS INT) AS hi, MAX(v) AS top FROM {flat} GROUP BY slide_name, channel, tile_y, tile_x",
+    "ar": """SELECT slide_name, channel, tile_y, tile_x, top, CAST(floor(q[1]) AS INT) AS lo, CAST(floor(q[2]) AS INT) AS hi FROM (
+ SELECT slide_name, channel, tile_y, tile_x, top, list_transform([0.01::DOUBLE, 0.99::DOUBLE], lambda p: CASE WHEN (len(vs)-1)*p - floor((len(vs)-1)*p) < 0.5
+  THEN vs[CAST(floor((len(vs)-1)*p) AS INT)+1] + (vs[CAST(floor((len(vs)-1)*p) AS INT)+2] - vs[CAST(floor((len(vs)-1)*p) AS INT)+1]) * ((len(vs)-1)*p - floor((len(vs)-1)*p))
+  ELSE vs[CAST(floor((len(vs)-1)*p) AS INT)+2] - (vs[CAST(floor((len(vs)-1)*p) AS INT)+2] - vs[CAST(floor((len(vs)-1)*p) AS INT)+1]) * (1 - ((len(vs)-1)*p - floor((len(vs)-1)*p))) END) AS q
+ FROM (SELECT slide_name, channel, tile_y, tile_x, MAX(v) AS top, list(v ORDER BY v) AS vs FROM {flat} GROUP BY slide_name, channel, tile_y, tile_x) a) b""",
     "flat": "SELECT slide_name, channel, tile_y, tile_x, i, CASE WHEN tile_x = 1 THEN 0 WHEN tile_x = 2 THEN 7 ELSE v END AS v FROM {pixels}",
 }
 
