@@ -218,7 +218,8 @@ def _sweep(events: DataFrame, keys: Sequence[str], keep: Column) -> DataFrame:
     both qualify are joined.
     """
     by = [*keys, "row"]
-    steps = events.groupBy(*by, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    # One shuffle by pixel row serves the grouping and the windows.
+    steps = events.repartition(*by).groupBy(*by, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     order = Window.partitionBy(*by).orderBy("x")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     state = steps.withColumns({"a": F.sum("da").over(upto), "b": F.sum("db").over(upto)})
