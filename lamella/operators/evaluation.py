@@ -155,6 +155,8 @@ def match_boxes(
     equal boxes. Neither limit changes the result.
     """
     keys = list(keys)
+    # Both sides are read for the group sizes and again for the pairs.
+    gt, pred = [durable(df.select(*keys, "key", *_SIDES)) for df in (gt, pred)]
     one, zero = F.lit(1), F.lit(0)
     sides = gt.select(*keys, zero.alias("_p"), one.alias("_g")).unionByName(pred.select(*keys, one.alias("_p"), zero.alias("_g")))
     sizes = durable(sides.groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_g").alias("_g")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import rings as rg
+from lamella.functions.names import fov_file_name
 from lamella.operators import spatial as sp
 from lamella.session import durable
 
@@ -272,6 +273,23 @@ def export_region_masks(regions: DataFrame, pairs: DataFrame) -> DataFrame:
     return union_runs(region_masks(regions, pairs), ["slide_name", "biomarker", "fov_id"])
 
 
+def mask_files(masks: DataFrame, fovs: DataFrame) -> DataFrame:
+    """One row per mask image: file_name, width, height and its runs (row, x0, x1).
+
+    ``masks`` are the runs of ``export_region_masks``; a row holds one field of view's.
+    """
+    runs = masks.groupBy("slide_name", "biomarker", "fov_id").agg(
+        F.sort_array(F.collect_list(F.struct("row", "x0", "x1"))).alias("runs")
+    )
+    size = fovs.select(
+        F.col("id").alias("fov_id"),
+        fov_file_name(*[F.col(c) for c in ("slide_name", "biomarker", "x", "y")]).alias("file_name"),
+        F.col("w").cast("int").alias("width"),
+        F.col("h").cast("int").alias("height"),
+    )
+    return runs.join(size, "fov_id").select("slide_name", "biomarker", "fov_id", "file_name", "width", "height", "runs")
+
+
 def component_edges(regions: DataFrame) -> DataFrame:
     """Edges (a, b) that connect touching regions, without all pairs among exact copies.
 

@@ -24,7 +24,7 @@ COUNTS_SQL = {
  FROM {evaluations} e JOIN {eval_models} d ON d.id = e.model_id""",
     "newm": """SELECT name, model_type, (SELECT MAX(id) FROM {eval_models}) + row_number() OVER (ORDER BY name, model_type) AS id FROM (
  SELECT DISTINCT model_name AS name, task AS model_type FROM {runs}) q WHERE NOT EXISTS (SELECT 1 FROM {eval_models} k WHERE k.name = q.name AND k.model_type = q.model_type)""",
-    "gone": "SELECT e.id FROM {evaluations} e JOIN {eval_models} d ON d.id = e.model_id WHERE d.model_type = 'segmentation' OR e.created_at < TIMESTAMP '1995-01-01'",
+    "gone": "SELECT e.id FROM {evaluations} e JOIN {eval_models} d ON d.id = e.model_id WHERE d.model_type = 'segmentation' OR e.created_at < TIMESTAMP '1996-01-01'",
 }
 
 
@@ -98,7 +98,7 @@ def save_evaluation(t: Tables) -> DataFrame:
     COUNTS_SQL,
 )
 def delete_evaluations(t: Tables) -> DataFrame:
-    old = F.col("created_at") < F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00"))
+    old = F.col("created_at") < F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00"))
     gone = records_of(t).where((F.col("model_type") == "segmentation") | old).select("id")
     kept = hs.delete_evaluations(gone, t.eval_models, t.evaluations, t.evaluation_counts)
     counts = kept["evaluation_metrics"].groupBy(F.col("evaluation_id").alias("id")).agg(F.count("*").alias("n"))
@@ -144,11 +144,11 @@ def marker_columns(t: Tables) -> DataFrame:
 
 @query(
     "filter_evaluations",
-    "SELECT e.id, m.name AS model_name, e.created_at FROM {evaluations} e JOIN {eval_models} m ON m.id = e.model_id WHERE contains(m.name, 'an') AND e.created_at >= TIMESTAMP '1997-06-30' - INTERVAL 365 DAY",
+    "SELECT e.id, m.name AS model_name, e.created_at FROM {evaluations} e JOIN {eval_models} m ON m.id = e.model_id WHERE contains(m.name, 'n_1') AND e.created_at >= TIMESTAMP '1997-06-30' - INTERVAL 365 DAY",
 )
 def filter_evaluations(t: Tables) -> DataFrame:
     now = F.to_timestamp_ntz(F.lit("1997-06-30 00:00:00"))
-    return hs.filter_evaluations(records_of(t), " AN ", hs.TIME_RANGES["year"], now).select("id", "model_name", "created_at")
+    return hs.filter_evaluations(records_of(t), " N_1 ", hs.TIME_RANGES["year"], now).select("id", "model_name", "created_at")
 
 
 @query("evaluations_newest_first", "SELECT id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS pos FROM {evaluations}")

@@ -75,13 +75,13 @@ COMP = {
     "lay": """SELECT p.slide_name, p.tile_y, p.tile_x, p.i, s.idx, s.r, s.g, s.b, CASE WHEN s.visible THEN least(greatest((p.v - s.min_val) / greatest(s.max_val - s.min_val, 1.0), 0.0), 1.0) END AS f
  FROM {pixels} p LEFT JOIN {channel_settings} s ON s.slide_name = p.slide_name AND s.name = p.channel""",
     "rgb": """SELECT slide_name, tile_y, tile_x, i, """
-    + ", ".join(f"CAST(floor(least(greatest(COALESCE(SUM(f * ({c} / 255.0::DOUBLE) ORDER BY idx), 0), 0), 1) * 255) AS INT) AS {c}" for c in "rgb")
+    + ", ".join(f"CAST(floor(least(greatest(COALESCE(SUM(f * ({c} / 255.0::DOUBLE) ORDER BY idx), 0), 0), 1) * 255) AS SMALLINT) AS {c}" for c in "rgb")
     + " FROM {lay} GROUP BY slide_name, tile_y, tile_x, i",
     "small": "SELECT slide_name FROM {levels} GROUP BY slide_name HAVING COUNT(*) >= 2 AND arg_max(CAST(width AS BIGINT) * height, level) <= 4000000",
 }
 
 
-@query("composite", "SELECT slide_name, tile_y, tile_x, i, r, g, b, CAST(255 AS INT) AS a FROM {rgb}", COMP)
+@query("composite", "SELECT slide_name, tile_y, tile_x, i, r, g, b, CAST(255 AS SMALLINT) AS a FROM {rgb}", COMP)
 def composite(t: Tables) -> DataFrame:
     out = px.composite(t.tiles, t.channel_settings)
     return long(out, ["slide_name", "tile_y", "tile_x"], "r", "g", "b", "a")
@@ -96,7 +96,7 @@ def thumbnail(t: Tables) -> DataFrame:
 
 @query(
     "normalize_minmax",
-    "SELECT slide_name, channel, tile_y, tile_x, i, CAST(trunc(least(greatest((v - 15000) / (25000.0::DOUBLE - 15000 + 1e-6::DOUBLE) * 255, 0), 255)) AS INT) AS n FROM {pixels}",
+    "SELECT slide_name, channel, tile_y, tile_x, i, CAST(trunc(least(greatest((v - 15000) / (25000.0::DOUBLE - 15000 + 1e-6::DOUBLE) * 255, 0), 255)) AS SMALLINT) AS n FROM {pixels}",
 )
 def normalize_minmax(t: Tables) -> DataFrame:
     n = px.normalize_minmax(F.col("px"), F.lit(15000.0), F.lit(25000.0))

@@ -169,6 +169,19 @@ def export_region_masks(t: Tables) -> DataFrame:
     return rn.export_region_masks(region_table(t), sp.regions_in_fovs(bboxes(t), t.fovs))
 
 
+@query(
+    "region_mask_files",
+    """SELECT f.slide_name || '_' || f.biomarker || '_' || CAST(CAST(round_even(f.x,0) AS BIGINT) AS STRING) || '_' || CAST(CAST(round_even(f.y,0) AS BIGINT) AS STRING) || '.png' AS file_name,
+ CAST(f.w AS INT) AS width, CAST(f.h AS INT) AS height, CAST(COUNT(*) AS INT) AS n_runs, string_agg(CAST(u.row AS STRING) || ':' || CAST(u.x0 AS STRING) || '-' || CAST(u.x1 AS STRING), ' ' ORDER BY u.row, u.x0) AS runs
+ FROM {fov_union} u JOIN {fovs} f ON f.id = u.fov_id GROUP BY f.id, f.slide_name, f.biomarker, f.x, f.y, f.w, f.h""",
+    FOV_RUNS,
+)
+def region_mask_files(t: Tables) -> DataFrame:
+    masks = rn.export_region_masks(region_table(t), sp.regions_in_fovs(bboxes(t), t.fovs))
+    text = F.transform("runs", lambda r: F.concat(r["row"], F.lit(":"), r["x0"], F.lit("-"), r["x1"]))
+    return rn.mask_files(masks, t.fovs).select("file_name", "width", "height", F.size("runs").alias("n_runs"), F.array_join(text, " ").alias("runs"))
+
+
 @query("touching_regions", "SELECT slide_name, biomarker, a, b FROM {touch}", GEO)
 def touching_regions(t: Tables) -> DataFrame:
     return rn.touching_regions(region_table(t))
