@@ -192,13 +192,18 @@ def swap_rb(stacks: DataFrame) -> DataFrame:
     return stacks.withColumns({"red": F.col("blue"), "blue": F.col("red")})
 
 
-def stack_rgb16(tiles: DataFrame, nuclear: DataFrame) -> DataFrame:
+PLACE = ("slide_name", "level", "tile_y", "tile_x")
+
+
+def stack_rgb16(tiles: DataFrame, nuclear: DataFrame, place: Sequence[str] = PLACE) -> DataFrame:
     """Three-band tiles per marker channel: red the marker, green 0, blue the nuclear stain.
 
+    ``place`` names the columns that tell one tile of a channel from another.
+
     ``nuclear`` holds slide_name and the channel name of the stain; without one, or
     where its tile is missing, blue is 0.
     """
-    place = ["slide_name", "level", "tile_y", "tile_x"]
+    place = list(place)
     stain = nuclear.select("slide_name", "channel")
     blue = tiles.join(stain, ["slide_name", "channel"], "left_semi").select(*place, F.col("px").alias("_blue"))
     zeros = F.transform("px", lambda v: F.lit(0))

@@ -124,19 +124,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating star rounds: each joins every node's greater neighbours, then its lesser
     ones, to the least node around it, which shortens paths geometrically. A round needs
     per-node minima (combined before the shuffle) and ends in stored rows, so neither
-    the lineage nor any single group grows; the driver sees whether edges changed.
+    the lineage nor any single group grows. It is done when every edge leads from a
+    node's only neighbour, the least of its component; the driver sees just that.
     """
     e = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     now = durable(edges.where(F.col("a") != F.col("b")).select(*e).distinct())
-    settled = False
-    while not settled:
-        after = durable(_small_star(_large_star(now)))
-        settled = after.count() == now.count() and after.join(now, ["lo", "hi"], "left_anti").isEmpty()
-        now = after
+    while not _are_stars(now):
+        now = durable(_small_star(_large_star(now)))
     leaves = now.select(F.col("hi").alias("id"), F.col("lo").alias("label"))
     return leaves.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("label")).distinct())
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each upper end has one edge and no lower end is an upper end."""
+    if not e.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return e.join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
