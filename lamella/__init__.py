@@ -1 +1,9 @@
 """Spatial-annotation analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so the workers need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

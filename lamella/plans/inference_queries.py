@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators import catalog as ct
 from lamella.operators import inference as nf
+from lamella.operators.inference import TILE_KEY
 from lamella.plans.flagship import rounded
 from lamella.plans.pixel_queries import EDGE, REGION
 from lamella.plans.registry import query
@@ -29,7 +30,7 @@ def load_peaks():
     def detect(batch: pd.DataFrame) -> pd.DataFrame:
         peak = batch["red"].map(lambda p: int(p.argmax()))
         x, y = (peak % batch["w"]).astype(float), (peak // batch["w"]).astype(float)
-        out = batch[nf.TILE_KEY].assign(rank=0, x1=x - 2, y1=y - 2, x2=x + 2, y2=y + 2)
+        out = batch[TILE_KEY].assign(rank=0, x1=x - 2, y1=y - 2, x2=x + 2, y2=y + 2)
         return out.assign(score=batch["red"].map(lambda p: p.max() / 65535.0))
 
     return detect
