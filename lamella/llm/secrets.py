@@ -1,0 +1,232 @@
+"""Secrets in texts: fixed patterns, and a guess-cost dynamic program on credential values.
+
+The program splits a value into words, dates, repeats, keyboard walks and brute-force
+stretches so that the product of guesses is least. A value behind a credential name that
+would take many guesses is a secret even where no fixed pattern knows it.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lamella.llm.common import map_rows, table
+
+# The base patterns, their kinds in order, and the least lengths.
+ASSIGN = r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+KINDS = ("assign", "access", "hex")
+LEAST = {"assign": 6, "access": 20, "hex": 24}
+
+#: Names of credentials for the method; the value ends at white space, quotes or closing marks.
+CONTEXT = (
+    r"""((?ai:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|(?:api|access|private|secret|auth|encryption)[_-]?key"""
+    r"""|client[_-]?secret|auth(?:orization)?|credentials?|bearer))["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["'`]?"""
+    r"""([^\s"'`<>,;(){}\[\]|]+)"""
+)
+#: A text without any of these, in lower case, has neither base assignments nor contexts.
+CUES = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
+
+#: A value is a secret from this many guesses (log10) and characters on.
+GUESSES = 10.0
+LENGTH = 8
+
+#: Common passwords and words of placeholders, most common first: the rank is the guess number.
+WORDS = """password qwerty admin welcome letmein monkey dragon master login hello secret test root user guest
+default changeme example sample demo token pass passwd access public private key api value string name your my
+the this that here there none null true false undefined todo xxxx placeholder insert enter hidden redacted
+sunshine princess football baseball shadow superman michael jordan hunter summer winter spring autumn monday
+friday january june july august december love money freedom whatever trustno blink server client system
+database mysql postgres oracle service account email mail google github amazon aws azure cloud local host
+localhost dev prod stage config env bearer basic auth session cookie""".split()
+RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
+LONGEST = max(map(len, WORDS))
+LEET = str.maketrans("@4310$57", "aaeiosst")
+ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+NEAR = {frozenset(p) for row in ROWS for p in zip(row, row[1:])} | {
+    frozenset(p) for a, b in zip(ROWS, ROWS[1:]) for k in range(len(b)) for p in ((a[k + 1 : k + 2] or "", b[k]), (a[k : k + 1], b[k])) if p[0]
+}
+DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d)")
+#: log10 guesses of one unknown character, of starting a further part, and of a date.
+BRUTE = 1.0
+PART = 0.3
+DATE_COST = math.log10(365 * 130)
+YEAR_COST = math.log10(130)
+
+
+def guess_cost(value: str) -> float:
+    """log10 of the guesses of the cheapest segmentation; linear in the length of the value."""
+    n = len(value)
+    low = value.lower() if len(value.lower()) == n else value
+    plain = low.translate(LEET)
+    # best[i]: least cost of the first i characters; brute[i]: the same, with an open brute-force part.
+    best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    # Maximal runs: a repeat of one unit of up to four characters, or a keyboard walk.
+    for i in range(n):
+        at = best[i] + (PART if i else 0.0)
+        # Brute force: one more character of an open part, or a new part.
+        brute[i + 1] = min(brute[i] + BRUTE, at + BRUTE)
+        best[i + 1] = min(best[i + 1], brute[i + 1])
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            rank = RANK.get(low[i:j])
+            extra = 0.0
+            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
+                extra = math.log10(2) * sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
+            if rank is not None:
+                upper = sum(a != b for a, b in zip(value[i:j], low[i:j], strict=True))
+                best[j] = min(best[j], at + math.log10(rank + 1) + extra + math.log10(1 + upper))
+        if (date := DATE.match(low, i)) is not None:
+            j = date.end()
+            best[j] = min(best[j], at + (YEAR_COST if j - i == 4 else DATE_COST))
+        for j, cost in _repeats(low, i):
+            best[j] = min(best[j], at + cost)
+        for j, cost in _walks(low, i):
+            best[j] = min(best[j], at + cost)
+    return best[n]
+
+
+def _repeats(low: str, i: int) -> list[tuple[int, float]]:
+    """Ends and costs of a repeated unit that starts a run at ``i``."""
+    out = []
+    for unit in range(1, 5):
+        if i >= unit and low[i - unit : i] == low[i : i + unit]:
+            continue  # inside a run, which was seen from its start
+        j = i + unit
+        while low[j : j + unit] == low[i : i + unit] and j + unit <= len(low):
+            j += unit
+        if j - i >= max(3, 2 * unit):
+            out.append((j, unit * BRUTE + math.log10((j - i) // unit)))
+    return out
+
+
+def _walks(low: str, i: int) -> list[tuple[int, float]]:
+    """Ends and costs of a keyboard walk or of consecutive characters that starts at ``i``."""
+    out = []
+    if i and frozenset(low[i - 1 : i + 1]) in NEAR and i + 1 < len(low) and frozenset(low[i : i + 2]) in NEAR:
+        pass  # inside a walk, which was seen from its start
+    else:
+        j = i + 1
+        while j < len(low) and frozenset(low[j - 1 : j + 1]) in NEAR:
+            j += 1
+        if j - i >= 3:
+            out.append((j, math.log10(47) + math.log10(j - i) + 0.3))
+    if i + 2 < len(low):
+        step = ord(low[i + 1]) - ord(low[i])
+        if step in (1, -1) and not (i and ord(low[i]) - ord(low[i - 1]) == step):
+            j = i + 1
+            while j < len(low) and ord(low[j]) - ord(low[j - 1]) == step:
+                j += 1
+            if j - i >= 3:
+                out.append((j, math.log10(26) + math.log10(j - i)))
+    return out
+
+
+class Scanner:
+    """Spans of secrets in a text."""
+
+    def __init__(self, guesses: float = GUESSES, length: int = LENGTH):
+        self.guesses, self.length = guesses, length
+        self.assign, self.context = re.compile(ASSIGN), re.compile(CONTEXT)
+        # The runs of ACCESS and HEX are maximal, so the least length may be asked for at once.
+        self.access = re.compile(f"{ACCESS[:-1]}{{{LEAST['access'] - 4},}}")
+        self.hex = re.compile(f"{HEX[:-1]}{{{LEAST['hex']},}}")
+
+    def base(self, text: str, cued: bool = True) -> list[tuple[int, int, str]]:
+        found = []
+        if cued:
+            found += [(m.start(), m.end(), "assign") for m in self.assign.finditer(text) if len(m[2]) >= LEAST["assign"]]
+        if "AKIA" in text:
+            found += [(m.start(), m.end(), "access") for m in self.access.finditer(text)]
+        found += [(m.start(), m.end(), "hex") for m in self.hex.finditer(text)]
+        return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+
+    def guessed(self, text: str) -> list[tuple[int, int, str]]:
+        """Values in a credential context that take many guesses."""
+        found = []
+        for m in self.context.finditer(text):
+            value = m[2].rstrip(".:!?")
+            if len(value) >= self.length and guess_cost(value) >= self.guesses:
+                found.append((m.start(2), m.start(2) + len(value), "guess"))
+        return found
+
+    def scan(self, text: str) -> tuple[list, list]:
+        low = text.lower()
+        cued = any(c in low for c in CUES)
+        return self.base(text, cued), self.guessed(text) if cued else []
+
+
+def find_secrets(
+    docs: DataFrame, guesses: float = GUESSES, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Rows ``(id, text, spans, hardest)``, one per row of ``docs``.
+
+    ``spans`` is an array of (kind, start, end) in code points by start: the base kinds,
+    and ``guess`` for a credential value of at least ``guesses`` (log10) and ``length``
+    characters. ``hardest`` is the greatest guess cost of the guessed values, else null.
+    Null and empty texts have no spans; repeated rows are scanned each; a null id stays
+    null.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def start():
+        scanner = Scanner(guesses, length)
+        order = (*KINDS, "guess")
+
+        def step(ids, texts):
+            spans, hardest = [], []
+            for text in texts:
+                base, more = scanner.scan(text or "")
+                every = sorted(base + more, key=lambda s: (s[0], order.index(s[2])))
+                spans.append([{"kind": k, "start": a, "end": b} for a, b, k in every])
+                hardest.append(max((guess_cost(text[a:b]) for a, b, _ in more), default=None))
+            return ids, texts, spans, hardest
+
+        return step
+
+    schema = f"`{id_col}` {kind}, `{text_col}` string, spans array<struct<kind: string, start: bigint, end: bigint>>, hardest double"
+    return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, schema)
+
+
+def redacted(found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``(id, text)`` with every stretch of overlapping spans replaced by ``mark``."""
+    kind = found.schema[id_col].dataType.simpleString()
+
+    def start():
+        def step(ids, texts, spans):
+            out = []
+            for text, own in zip(texts, spans, strict=True):
+                parts, at = [], 0
+                for s in sorted(own or [], key=lambda s: (s["start"], s["end"])):
+                    if s["start"] >= at:
+                        parts += [text[at : s["start"]], mark]
+                    at = max(at, s["end"])
+                out.append("".join(parts) + text[at:] if parts else text)
+            return ids, out
+
+        return step
+
+    return map_rows(found.select(id_col, text_col, "spans"), start, f"`{id_col}` {kind}, `{text_col}` string")
+
+
+def joined(spans: str, base_only: bool) -> Column:
+    rows = F.filter(spans, lambda s: s["kind"] != "guess") if base_only else F.col(spans)
+    return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op1_secrets(spark, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined("spans", True), 256).alias("base_sha256"),
+        joined("spans", False).alias("spans"),
+        F.col("hardest").alias("hardest_guesses"),
+    )
