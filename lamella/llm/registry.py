@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from lamella.llm.decontamination import op8_decontamination
+from lamella.llm.licenses import op2_licenses
 from lamella.llm.packing import op7_packing
+from lamella.llm.quality_rules import op5_quality_rules
 from lamella.llm.secrets import op1_secrets
 from lamella.llm.token_counts import op10_token_counts
+from lamella.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_licenses": op2_licenses,
+    "op3_toxicity": op3_toxicity,
+    "op5_quality_rules": op5_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op10_token_counts": op10_token_counts,
