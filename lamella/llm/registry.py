@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from lamella.llm.cotraining import op6_quality_cotraining
 from lamella.llm.decontamination import op8_decontamination
+from lamella.llm.languages import op4_language_mixture
 from lamella.llm.licenses import op2_licenses
 from lamella.llm.packing import op7_packing
 from lamella.llm.quality_rules import op5_quality_rules
-from lamella.llm.secrets import op1_secrets
+from lamella.llm.credentials import op1_secrets
 from lamella.llm.token_counts import op10_token_counts
 from lamella.llm.toxicity import op3_toxicity
 
@@ -14,7 +16,9 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_licenses": op2_licenses,
     "op3_toxicity": op3_toxicity,
+    "op4_language_mixture": op4_language_mixture,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_cotraining": op6_quality_cotraining,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op10_token_counts": op10_token_counts,

@@ -1,6 +1,6 @@
 import re
 
-from lamella.llm.secrets import Scanner, find_secrets, guess_cost, redacted
+from lamella.llm.credentials import Scanner, find_secrets, guess_cost, redacted
 from tests.llm.data import ODD, docs_of
 
 TEXTS = [
@@ -55,7 +55,7 @@ def test_program_is_least_over_segmentations():
     """Words and brute force alone: the program equals the search over all cuts."""
     import math
 
-    from lamella.llm.secrets import RANK
+    from lamella.llm.credentials import RANK
 
     def alone(part):
         rank = RANK.get(part)
