@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lamella.llm.cotraining import op6_quality_cotraining
 from lamella.llm.decontamination import op8_decontamination
+from lamella.llm.jaccard import op9_jaccard_join
 from lamella.llm.languages import op4_language_mixture
 from lamella.llm.licenses import op2_licenses
 from lamella.llm.packing import op7_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_cotraining": op6_quality_cotraining,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}

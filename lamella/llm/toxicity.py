@@ -17,7 +17,7 @@ from lamella.llm.common import bounded_sample, bucket_of, distinct_labels, map_r
 
 #: Feature space, labelled rows at most, passes over them.
 BITS = 20
-ROWS = 6000
+ROWS = 20000
 PASSES = 10
 #: Learning rate, its offset, L1 and L2 of the proximal step.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
