@@ -42,25 +42,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, start: Callable[[], Callable], schema: str, carry: int = 0) -> DataFrame:
     """``mapInArrow`` over columns of Python values.
 
     ``start`` runs once per task and returns a function from the column lists of a batch
     to the column lists of its result, or to None for no rows. Only one batch is in
-    memory at a time.
+    memory at a time. The last ``carry`` columns of ``df`` are not handed to the function
+    but follow its columns, row by row, as they are.
     """
     wanted = df.sparkSession.createDataFrame([], schema).schema
     arrow = _arrow_schema(wanted)
+    given = len(df.columns) - carry
+    for field in df.schema.fields[given:]:
+        wanted = wanted.add(field)
+    whole = _arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
             if batch.num_rows:
-                made = step(*[c.to_pylist() for c in batch.columns])
+                made = step(*[c.to_pylist() for c in batch.columns[:given]])
                 if made is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, t) for v, t in zip(made, arrow.types, strict=True)], schema=arrow
-                    )
+                    columns = [pa.array(v, t) for v, t in zip(made, arrow.types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, *batch.columns[given:]], schema=whole)
 
     return df.mapInArrow(run, wanted)
 

@@ -168,9 +168,14 @@ def fit(sample: DataFrame) -> DataFrame:
 
 
 def quality_scores(
-    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", labelled_rows: int = LABELLED, pool_rows: int = POOL
+    docs: DataFrame,
+    labelled: DataFrame,
+    id_col: str = "doc_id",
+    labelled_rows: int = LABELLED,
+    pool_rows: int = POOL,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows ``(id, text_score, meta_score, score)`` of all rows of ``docs``.
+    """Rows ``(id, text_score, meta_score, score)`` of all rows of ``docs``, with the columns ``carry``.
 
     ``docs`` has the columns of documents (id, text, lang, source, n_chars); ``labelled``
     rows ``(id, label)`` with label 1 for good. Learns from at most ``labelled_rows``
@@ -214,8 +219,8 @@ def quality_scores(
 
         return step
 
-    rows = docs.select(F.col(id_col), "text", "source", "lang", "n_chars")
-    return map_rows(rows, start, f"`{id_col}` {kind}, text_score double, meta_score double, score double")
+    rows = docs.select(F.col(id_col), "text", "source", "lang", "n_chars", *carry)
+    return map_rows(rows, start, f"`{id_col}` {kind}, text_score double, meta_score double, score double", len(carry))
 
 
 def op6_quality_cotraining(spark, folder: str) -> DataFrame:

@@ -20,6 +20,7 @@ ASSIGN = r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["'
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex")
+ORDER = (*KINDS, "guess")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Names of credentials for the method; the value ends at white space, quotes or closing marks.
@@ -153,16 +154,18 @@ class Scanner:
                 found.append((m.start(2), m.start(2) + len(value), "guess"))
         return found
 
-    def scan(self, text: str) -> tuple[list, list]:
+    def scan(self, text: str) -> list[tuple[int, int, str]]:
+        """All spans (start, end, kind) by start."""
         low = text.lower()
         cued = any(c in low for c in CUES)
-        return self.base(text, cued), self.guessed(text) if cued else []
+        every = self.base(text, cued) + (self.guessed(text) if cued else [])
+        return sorted(every, key=lambda s: (s[0], ORDER.index(s[2])))
 
 
 def find_secrets(
     docs: DataFrame, guesses: float = GUESSES, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Rows ``(id, text, spans, hardest)``, one per row of ``docs``.
+    """Rows ``(id, spans, hardest)``, one per row of ``docs``.
 
     ``spans`` is an array of (kind, start, end) in code points by start: the base kinds,
     and ``guess`` for a credential value of at least ``guesses`` (log10) and ``length``
@@ -174,42 +177,54 @@ def find_secrets(
 
     def start():
         scanner = Scanner(guesses, length)
-        order = (*KINDS, "guess")
 
         def step(ids, texts):
             spans, hardest = [], []
             for text in texts:
-                base, more = scanner.scan(text or "")
-                every = sorted(base + more, key=lambda s: (s[0], order.index(s[2])))
+                every = scanner.scan(text or "")
                 spans.append([{"kind": k, "start": a, "end": b} for a, b, k in every])
-                hardest.append(max((guess_cost(text[a:b]) for a, b, _ in more), default=None))
-            return ids, texts, spans, hardest
+                hardest.append(max((guess_cost(text[a:b]) for a, b, k in every if k == "guess"), default=None))
+            return ids, spans, hardest
 
         return step
 
-    schema = f"`{id_col}` {kind}, `{text_col}` string, spans array<struct<kind: string, start: bigint, end: bigint>>, hardest double"
+    schema = f"`{id_col}` {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>, hardest double"
     return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, schema)
 
 
-def redacted(found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``(id, text)`` with every stretch of overlapping spans replaced by ``mark``."""
-    kind = found.schema[id_col].dataType.simpleString()
+def redact_secrets(
+    docs: DataFrame,
+    guesses: float = GUESSES,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    mark: str = "[SECRET]",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(id, text)``, one row per row of ``docs`` with the columns ``carry``: every stretch of
+    overlapping spans of :func:`find_secrets` is replaced by ``mark``; other texts, null
+    ones too, stay as they are."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def start():
-        def step(ids, texts, spans):
-            out = []
-            for text, own in zip(texts, spans, strict=True):
-                parts, at = [], 0
-                for s in sorted(own or [], key=lambda s: (s["start"], s["end"])):
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                out.append("".join(parts) + text[at:] if parts else text)
-            return ids, out
+        scanner = Scanner(guesses, length)
+
+        def step(ids, texts):
+            return ids, [text and masked(text, scanner.scan(text), mark) for text in texts]
 
         return step
 
-    return map_rows(found.select(id_col, text_col, "spans"), start, f"`{id_col}` {kind}, `{text_col}` string")
+    rows = docs.select(F.col(id_col), F.col(text_col), *carry)
+    return map_rows(rows, start, f"`{id_col}` {kind}, `{text_col}` string", len(carry))
+
+
+def masked(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    parts, at = [], 0
+    for a, b, _ in spans:
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(parts) + text[at:]
 
 
 def joined(spans: str, base_only: bool) -> Column:

@@ -85,8 +85,9 @@ def find_leaks(
     item_col: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows ``(id, n_words, n_hit, item_ids, spans)``, one per row of ``docs``.
+    """Rows ``(id, n_words, n_hit, item_ids, spans)``, one per row of ``docs``, with the columns ``carry``.
 
     ``item_ids`` holds, as sorted strings, the items with a window in the text; ``spans``
     the hit stretches as code points of the original text. Null and empty texts have no
@@ -102,12 +103,12 @@ def find_leaks(
     kind = docs.schema[id_col].dataType.simpleString()
     done = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start: bigint, end: bigint>>"
     passed = f"`{id_col}` {kind}, `{text_col}` string, runs array<struct<a: bigint, b: bigint>>, item_ids array<string>"
-    rows = docs.select(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col), F.col(text_col), *carry)
     for block in range(blocks):
         mine = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast({"items": [tuple(r) for r in mine.toLocalIterator()]})
         last = block == blocks - 1
-        rows = map_rows(rows, _scanner(held, width, last), done if last else passed)
+        rows = map_rows(rows, _scanner(held, width, last), done if last else passed, len(carry))
     return rows
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lamella.llm.cotraining import op6_quality_cotraining
 from lamella.llm.decontamination import op8_decontamination
 from lamella.llm.jaccard import op9_jaccard_join
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
