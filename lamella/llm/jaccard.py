@@ -41,7 +41,7 @@ SIMILAR = 75
 #: A set beyond this size is never light, whatever the costs.
 LIGHT_MOST = 24
 #: Weight of one posting (shuffle, sort and verification) against one enumerated subset.
-POSTING_COST = 4.0
+POSTING_COST = 8.0
 #: Elements that are ordered last: at most so many, each in at least so many documents by
 #: the tasks' summaries. Any choice gives the same links; it only keeps the lists short.
 COMMON_MOST = 200_000

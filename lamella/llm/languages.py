@@ -28,7 +28,7 @@ PENALTY = 2.0
 OVERLAP = 3
 SMOOTHING = 0.1
 
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile("[A-Za-z]")
 #: As WORD_BYTES, with digits as spaces.
 LETTER_BYTES = bytes(32 if 48 <= b <= 57 else b for b in WORD_BYTES)
 
@@ -139,7 +139,7 @@ def language_mixtures(
             preds, scores, mixtures = [], [], []
             for text in texts:
                 mixture = {}
-                if model is not None and text and LETTER.search(text):
+                if model is not None and text and (LATIN.search(text) or any(map(str.isalpha, text))):
                     buckets = trigram_buckets(text)
                     mixture = model.infer(buckets) if len(buckets) else {}
                 best = min(mixture, key=lambda k: (-mixture[k], names[k]), default=None)

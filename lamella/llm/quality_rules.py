@@ -54,7 +54,7 @@ def js_distance(p: Column, q: Column) -> Column:
     pairs = F.zip_with(
         shares(p), shares(q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2
     )
-    return F.sqrt(F.greatest(total(pairs), F.lit(0.0)))
+    return F.when(pairs.isNotNull(), F.sqrt(F.greatest(total(pairs), F.lit(0.0))))
 
 
 def word_array(text: Column) -> Column:
@@ -202,4 +202,4 @@ def quality_rules(
 
 
 def op5_quality_rules(spark, folder: str) -> DataFrame:
-    return quality_rules(table(spark, folder, "documents"))
+    return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
