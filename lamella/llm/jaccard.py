@@ -48,7 +48,7 @@ COMMON_MOST = 200_000
 COMMON_FILES = 64
 SUMMARY = 50_000
 #: Further stars before the pairs across components.
-STARS = 3
+STARS = 2
 #: Bits of the filter of documents that take part in a candidate pair.
 FILTER_BITS = 24
 
@@ -189,8 +189,11 @@ def light_keys(elements: np.ndarray, similar: int) -> list[int]:
 def postings(
     docs: DataFrame, common: list[int], light: int, id_col: str, text_col: str, width: int, similar: int
 ) -> DataFrame:
-    """Rows ``(id, n, rare, often)`` of the sets that are not empty: keys of lists that few
-    documents hold, and of lists of common elements."""
+    """Rows ``(id, n, whole_rare, light, rare, often)`` of the sets that are not empty.
+
+    ``light`` holds the subset keys, ``rare`` and ``often`` the posted elements in their
+    order; ``whole_rare`` is the number of elements of the whole set that are not common.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(np.array(sorted(common), np.int64).tobytes())
 
@@ -198,26 +201,21 @@ def postings(
         last = np.sort(np.frombuffer(held.value, np.int64).view(np.uint64))
 
         def step(ids, texts):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in range(6)]
             for key, text in zip(ids, texts, strict=True):
                 elements = element_hashes(text, width)
                 a = len(elements)
                 if not a or key is None:
                     continue
-                rare, often = [], np.zeros(0, np.uint64)
-                if a <= light:
-                    rare = light_keys(elements, similar)
-                if 100 * a >= similar * (light + 1):
-                    first = a - -(-similar * a // 100) + 1
-                    if len(last):
-                        late = last[np.minimum(np.searchsorted(last, elements), len(last) - 1)] == elements
-                        elements = np.concatenate([elements[~late], elements[late]])[:first]
-                        often = elements[np.isin(elements, last)]
-                        elements = elements[~np.isin(elements, last)]
-                    else:
-                        elements = elements[:first]
-                    rare = [*rare, *elements.tolist()]
-                row = (key, a, np.array(rare, np.uint64).view(np.int64), often.view(np.int64))
+                keys = light_keys(elements, similar) if a <= light else []
+                late = np.zeros(a, bool)
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, elements), len(last) - 1)] == elements
+                rare, often = elements[~late], elements[late]
+                # Sets that only light ones can be similar to need no lists of elements.
+                first = a - -(-similar * a // 100) + 1 if 100 * a >= similar * (light + 1) else 0
+                often = often[: max(0, first - len(rare))]
+                row = (key, a, len(rare), np.array(keys, np.uint64).view(np.int64), rare[:first].view(np.int64), often.view(np.int64))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out if out[0] else None
@@ -225,45 +223,111 @@ def postings(
         return step
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col))
-    return map_rows(rows, start, f"id {kind}, n bigint, rare array<bigint>, often array<bigint>")
+    schema = f"id {kind}, n bigint, whole_rare bigint, light array<bigint>, rare array<bigint>, often array<bigint>"
+    return map_rows(rows, start, schema)
 
 
 def lists_with_pivots(posted: DataFrame) -> DataFrame:
-    """Rows ``(key, pivot, pivot_n, id, n)`` of the lists with several documents.
-
-    The pivot is the smallest set. Lists of rare elements are short, so a window finds it.
-    The lists of common elements, at most COMMON_MOST, may be long: their pivots are
-    aggregates, combined before the shuffle and broadcast, and their rows stay in place.
+    """Rows ``(key, pivot, pivot_n, pivot_most, id, n, most)`` of the lists with several documents.
+
+    ``most`` is the greatest number of elements a document has to share with another one
+    for which this list matters. In a list of a rare element that is its size, and the
+    pivot is the smallest set; these lists are short, so a window finds it. Documents of a
+    list of a common element have posted all their rare ones, so two of them that share a
+    rare element meet in its list; here they share common elements at most. The pivot is
+    the document with the largest part of those. These lists, at most COMMON_MOST, may be
+    long: their pivots are aggregates, combined before the shuffle and broadcast, and
+    their rows stay in place.
     """
-    rare = posted.select(F.explode("rare").alias("key"), "id", "n")
-    w = Window.partitionBy("key")
-    order = w.orderBy("n", "id")
+    rare = posted.select(F.explode(F.concat("light", "rare")).alias("key"), "id", "n")
+    order = Window.partitionBy("key").orderBy("n", "id")
     short = rare.select(
         "key",
         F.first("id").over(order).alias("pivot"),
         F.first("n").over(order).alias("pivot_n"),
+        F.first("n").over(order).alias("pivot_most"),
         "id",
         "n",
+        F.col("n").alias("most"),
         F.lead("id").over(order).alias("_next"),
-    ).where((F.col("id") != F.col("pivot")) | (F.col("_next") != F.col("pivot"))).drop("_next")
-    often = posted.where(F.size("often") > 0).select(F.explode("often").alias("key"), "id", "n")
+    )
+    short = short.where((F.col("id") != F.col("pivot")) | F.col("_next").isNotNull()).drop("_next")
+    often = posted.where(F.size("often") > 0).select(
+        F.explode("often").alias("key"), "id", "n", (F.col("n") - F.col("whole_rare")).alias("most")
+    )
     pivots = (
         often.groupBy("key")
-        .agg(F.min(F.struct("n", "id")).alias("p"), F.count("*").alias("m"))
+        .agg(F.max(F.struct(F.col("most") / F.col("n"), "n", "id", "most")).alias("p"), F.count("*").alias("m"))
         .where("m > 1")
-        .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+        .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.most").alias("pivot_most"))
     )
-    long = often.join(F.broadcast(pivots), "key").select("key", "pivot", "pivot_n", "id", "n")
-    return short.unionByName(long)
+    return short.unionByName(often.join(F.broadcast(pivots), "key").select(*short.columns))
 
 
 def pair(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def within_reach(a: str, b: str, similar: int) -> Column:
-    """Whether sets of these sizes can be similar at all."""
-    return 100 * F.least(a, b) >= similar * F.greatest(a, b)
+def within_reach(n: str, most: str, m: str, its_most: str, similar: int) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` are similar if they share the most they can."""
+    common = F.least(n, most, m, its_most)
+    return (100 + similar) * common >= similar * (F.col(n) + F.col(m))
+
+
+def plausible(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
+    """The pairs whose posted elements leave similarity possible.
+
+    Up to the lesser of the ends of the two posted parts, all elements of both sets are
+    known; beyond it, the smaller rest may be shared at most.
+    """
+    parts = posted.select("id", "n", "rare", "often", (F.size("light") > 0).alias("small"))
+
+    def side(name: str) -> DataFrame:
+        return parts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "rare", "often", "small")])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def known(n, rare, often):
+        """Posted elements in their order, and whether they are the whole set."""
+        return np.array(rare, np.int64).view(np.uint64), np.array(often, np.int64).view(np.uint64), len(rare) + len(often) >= n
+
+    def bound(n, x, m, y) -> int:
+        if x[2] or y[2]:
+            (rare, often, _), (its_rare, its_often, _) = x, y
+            if x[2] and y[2]:
+                return len(np.intersect1d(rare, its_rare, True)) + len(np.intersect1d(often, its_often, True))
+        common, own, its = 0, 0, 0
+        # The end of each part: in the common elements if it has any, else in the rare ones.
+        ends = [(1, p[1][-1]) if len(p[1]) else (0, p[0][-1]) for p in (x, y) if not p[2]]
+        late, last = min(ends)
+        for flag, e, f in ((0, x[0], y[0]), (1, x[1], y[1])):
+            if flag < late:
+                e_in, f_in = e, f
+            elif flag == late:
+                e_in, f_in = e[e <= last], f[f <= last]
+            else:
+                continue
+            own, its = own + len(e_in), its + len(f_in)
+            common += len(np.intersect1d(e_in, f_in, True))
+        return common + min(n - own, m - its)
+
+    def start():
+        def step(a, b, n, rare, often, small, m, its_rare, its_often, its_small):
+            keep = []
+            for k in range(len(a)):
+                if small[k] or its_small[k]:
+                    keep.append(k)
+                    continue
+                most = bound(n[k], known(n[k], rare[k], often[k]), m[k], known(m[k], its_rare[k], its_often[k]))
+                if (100 + similar) * most >= similar * (n[k] + m[k]):
+                    keep.append(k)
+            return ([a[k] for k in keep], [b[k] for k in keep]) if keep else None
+
+        return step
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    columns = ["a", "b", *[f"{s}_{c}" for s in ("a", "b") for c in ("n", "rare", "often", "small")]]
+    return map_rows(both.select(*columns), start, f"a {kind}, b {kind}").distinct()
 
 
 def bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
@@ -307,8 +371,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width:
     return map_rows(rows, start, f"id {kind}, elements binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: int) -> DataFrame:
+def verified(
+    pairs: DataFrame, posted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: int
+) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole sets are similar."""
+    pairs = stored(plausible(pairs, posted, similar), "plausible")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sets = stored(sets_of(docs, ends, id_col, text_col, width), "sets")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
@@ -371,12 +438,12 @@ def jaccard_components(
         light = light_boundary({r["n"]: r["count"] for r in small.toLocalIterator()}, similar)
 
     heads = classes.select(F.col("rep").alias("id")).dropna().distinct()
-    posted = postings(docs, common, light, id_col, text_col, width, similar).join(heads, "id", "left_semi")
-    lists = stored(lists_with_pivots(stored(posted, "postings")), "lists")
+    posted = stored(postings(docs, common, light, id_col, text_col, width, similar).join(heads, "id", "left_semi"), "postings")
+    lists = stored(lists_with_pivots(posted), "lists")
 
-    star = lists.where((F.col("id") != F.col("pivot")) & within_reach("n", "pivot_n", similar))
+    star = lists.where((F.col("id") != F.col("pivot")) & within_reach("n", "most", "pivot_n", "pivot_most", similar))
     tried = stored(star.select(*pair("pivot", "id")).distinct(), "pairs")
-    links = verified(tried, docs, id_col, text_col, width, similar)
+    links = verified(tried, posted, docs, id_col, text_col, width, similar)
     # Rows of one id with several texts hold their classes together.
     named = rows.where("n > 0").join(classes.select("sig", "rep"), "sig").dropna(subset=["id"])
     several = named.groupBy("id").agg(F.count_distinct("sig").alias("m")).where("m > 1").select("id")
@@ -392,7 +459,7 @@ def jaccard_components(
         more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        found = stored(verified(more, docs, id_col, text_col, width, similar), "links")
+        found = stored(verified(more, posted, docs, id_col, text_col, width, similar), "links")
         tried = tried.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -409,9 +476,9 @@ def jaccard_components(
 
 
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows ``(key, id, n, component)`` of the lists that hold several components."""
-    known = lists.select("key", "id", "n").join(labels, "id", "left").select(
-        "key", "id", "n", F.coalesce("label", "id").alias("component")
+    """Rows ``(key, id, n, most, component)`` of the lists that hold several components."""
+    known = lists.select("key", "id", "n", "most").join(labels, "id", "left").select(
+        "key", "id", "n", "most", F.coalesce("label", "id").alias("component")
     )
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return known.join(mixed.select("key"), "key", "left_semi")
@@ -421,22 +488,22 @@ def across(lists: DataFrame, turn: int, similar: int) -> DataFrame:
     """Pairs ``(a, b)``: in each list, every member and one member of the list that another
     component offers, other ones in every turn."""
     order = F.xxhash64("id", F.lit(turn))
-    offer = lists.groupBy("key", "component").agg(F.min(F.struct(order.alias("o"), "id", "n")).alias("p"))
-    best = offer.groupBy("key").agg(
-        F.min(F.struct("p.o", "component", "p.id", "p.n")).alias("lo"), F.max(F.struct("p.o", "component", "p.id", "p.n")).alias("hi")
-    )
+    offer = lists.groupBy("key", "component").agg(F.min(F.struct(order.alias("o"), "id", "n", "most")).alias("p"))
+    rank = F.struct("p.o", "component", "p.id", "p.n", "p.most")
+    best = offer.groupBy("key").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"))
     joined = lists.join(best, "key")
     other = F.when(F.col("component") != F.col("lo.component"), F.col("lo")).otherwise(F.col("hi"))
-    rows = joined.select("id", "n", other.alias("o")).where(F.col("o.id") != F.col("id"))
-    rows = rows.select("id", "n", F.col("o.id").alias("other"), F.col("o.n").alias("m"))
-    return rows.where(within_reach("n", "m", similar)).select(*pair("id", "other"))
+    rows = joined.select("id", "n", "most", other.alias("o")).select(
+        "id", "n", "most", F.col("o.id").alias("other"), F.col("o.n").alias("m"), F.col("o.most").alias("its_most")
+    )
+    return rows.where(within_reach("n", "most", "m", "its_most", similar)).select(*pair("id", "other"))
 
 
 def all_across(lists: DataFrame, similar: int) -> DataFrame:
-    """All pairs ``(a, b)`` of a list whose members are in different components."""
-    x = lists.select("key", F.col("id").alias("i"), F.col("n").alias("k"), F.col("component").alias("c"))
-    rows = lists.join(x, "key").where((F.col("component") < F.col("c")) & within_reach("n", "k", similar))
-    return rows.select(*pair("id", "i"))
+    """All pairs ``(a, b)`` of a list that are in different components and may be similar."""
+    x = lists.select("key", *[F.col(c).alias(f"its_{c}") for c in ("id", "n", "most", "component")])
+    meet = (F.col("component") < F.col("its_component")) & within_reach("n", "most", "its_n", "its_most", similar)
+    return lists.join(x, "key").where(meet).select(*pair("id", "its_id"))
 
 
 def op9_jaccard_join(spark, folder: str) -> DataFrame:

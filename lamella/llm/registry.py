@@ -8,6 +8,7 @@ from lamella.llm.decontamination import op8_decontamination
 from lamella.llm.jaccard import op9_jaccard_join
 from lamella.llm.languages import op4_language_mixture
 from lamella.llm.licenses import op2_licenses
+from lamella.llm.oracles import DECONTAMINATION, JACCARD, QUALITY_RULES
 from lamella.llm.packing import op7_packing
 from lamella.llm.quality_rules import op5_quality_rules
 from lamella.llm.credentials import op1_secrets
@@ -27,4 +28,12 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+#: The other operators learn a model, call a tokenizer or add findings of a program; tests
+#: hold them against brute force, an exact round trip or held-out rows.
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": QUALITY_RULES,
+    "op8_decontamination": DECONTAMINATION,
+    "op9_jaccard_join": JACCARD,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
