@@ -45,12 +45,13 @@ POSTING_COST = 8.0
 #: Elements that are ordered last: at most so many, each in at least so many documents by
 #: the tasks' summaries. Any choice gives the same links; it only keeps the lists short.
 COMMON_MOST = 200_000
-COMMON_FILES = 64
+COMMON_FILES = 16
 SUMMARY = 50_000
 #: Further stars before the pairs across components.
 STARS = 2
-#: Bits of the filter of documents that take part in a candidate pair.
-FILTER_BITS = 24
+#: Least and greatest size of a filter of documents, in bits as a power of two; 2 ** 28 bits are
+#: 32 MB. A filter that is too small lets other documents pass, which costs work and changes nothing.
+FILTER_BITS = (16, 28)
 
 
 def shared(a: int, b: int, similar: int = SIMILAR) -> int:
@@ -143,7 +144,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             yield batch_of(batch.column(0), n, sig, nothing, nothing)
         if id_type is not None:
             summary.merge()
-            often = summary.counts > 2
+            often = summary.counts > 1
             yield batch_of([None], [0], [None], [summary.keys[often].view(np.int64)], [summary.counts[often]])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col))
@@ -187,25 +188,28 @@ def light_keys(elements: np.ndarray, similar: int) -> list[int]:
 
 
 def postings(
-    docs: DataFrame, common: list[int], light: int, id_col: str, text_col: str, width: int, similar: int
+    docs: DataFrame, heads: DataFrame, common: list[int], light: int, id_col: str, text_col: str, width: int, similar: int
 ) -> DataFrame:
-    """Rows ``(id, n, whole_rare, light, rare, often)`` of the sets that are not empty.
+    """Rows ``(id, n, whole_rare, light, rare, often)`` of the sets of ``heads``.
+
+    The filter may let a few copies of a head pass; they are linked with it like others.
 
     ``light`` holds the subset keys, ``rare`` and ``often`` the posted elements in their
     order; ``whole_rare`` is the number of elements of the whole set that are not common.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(np.array(sorted(common), np.int64).tobytes())
+    held = docs.sparkSession.sparkContext.broadcast((np.array(sorted(common), np.int64).tobytes(), bit_filter(heads)))
 
     def start():
-        last = np.sort(np.frombuffer(held.value, np.int64).view(np.uint64))
+        listed, (words, bits) = held.value
+        last, wanted = np.sort(np.frombuffer(listed, np.int64).view(np.uint64)), BitFilter(words, bits)
 
-        def step(ids, texts):
+        def step(ids, texts, hashes):
             out: list[list] = [[] for _ in range(6)]
-            for key, text in zip(ids, texts, strict=True):
-                elements = element_hashes(text, width)
+            for key, text, use in zip(ids, texts, wanted.has(hashes).tolist(), strict=True):
+                elements = element_hashes(text, width) if use else ()
                 a = len(elements)
-                if not a or key is None:
+                if not a:
                     continue
                 keys = light_keys(elements, similar) if a <= light else []
                 late = np.zeros(a, bool)
@@ -222,13 +226,16 @@ def postings(
 
         return step
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col))
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(text_col), F.xxhash64(id_col).alias("h")
+    )
     schema = f"id {kind}, n bigint, whole_rare bigint, light array<bigint>, rare array<bigint>, often array<bigint>"
     return map_rows(rows, start, schema)
 
 
 def lists_with_pivots(posted: DataFrame) -> DataFrame:
-    """Rows ``(key, pivot, pivot_n, pivot_most, id, n, most)`` of the lists with several documents.
+    """Rows ``(key, pivot, pivot_n, pivot_most, id, n, most, kind, posted, n_often)`` of the lists
+    with several documents.
 
     ``most`` is the greatest number of elements a document has to share with another one
     for which this list matters. In a list of a rare element that is its size, and the
@@ -239,7 +246,13 @@ def lists_with_pivots(posted: DataFrame) -> DataFrame:
     long: their pivots are aggregates, combined before the shuffle and broadcast, and
     their rows stay in place.
     """
-    rare = posted.select(F.explode(F.concat("light", "rare")).alias("key"), "id", "n")
+    sizes = [(F.size("rare") + F.size("often")).alias("posted"), F.size("often").alias("n_often")]
+    # Keys of subsets are marked: partners that share one need no further bound.
+    keyed = F.concat(
+        F.transform("light", lambda k: F.struct(k.alias("key"), F.lit(0).alias("kind"))),
+        F.transform("rare", lambda k: F.struct(k.alias("key"), F.lit(1).alias("kind"))),
+    )
+    rare = posted.select(F.explode(keyed).alias("_k"), "id", "n", *sizes).select("_k.key", "_k.kind", "id", "n", "posted", "n_often")
     order = Window.partitionBy("key").orderBy("n", "id")
     short = rare.select(
         "key",
@@ -249,11 +262,19 @@ def lists_with_pivots(posted: DataFrame) -> DataFrame:
         "id",
         "n",
         F.col("n").alias("most"),
+        "kind",
+        "posted",
+        "n_often",
         F.lead("id").over(order).alias("_next"),
     )
     short = short.where((F.col("id") != F.col("pivot")) | F.col("_next").isNotNull()).drop("_next")
     often = posted.where(F.size("often") > 0).select(
-        F.explode("often").alias("key"), "id", "n", (F.col("n") - F.col("whole_rare")).alias("most")
+        F.explode("often").alias("key"),
+        "id",
+        "n",
+        (F.col("n") - F.col("whole_rare")).alias("most"),
+        F.lit(2).alias("kind"),
+        *sizes,
     )
     pivots = (
         often.groupBy("key")
@@ -330,8 +351,24 @@ def plausible(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
     return map_rows(both.select(*columns), start, f"a {kind}, b {kind}").distinct()
 
 
-def bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A Bloom filter of the column ``id``, of a fixed size whatever the number of rows."""
+class BitFilter:
+    """A Bloom filter of ids by their hash, of bounded size whatever the number of rows."""
+
+    def __init__(self, words: bytes, bits: int):
+        self.words, self.bits = np.frombuffer(words, np.int64).view(np.uint64), bits
+
+    def has(self, hashes: list[int]) -> np.ndarray:
+        h = np.array(hashes, np.int64).view(np.uint64)
+        found = np.ones(len(h), bool)
+        for spot in (h >> np.uint64(64 - self.bits), h & np.uint64((1 << self.bits) - 1)):
+            found &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def bit_filter(ids: DataFrame) -> tuple[bytes, int]:
+    """The words and size of a filter of the column ``id``: 16 bits a row, within FILTER_BITS."""
+    low, high = FILTER_BITS
+    bits = min(high, max(low, (16 * ids.count()).bit_length()))
     h = F.xxhash64("id")
     spots = ids.select(F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), F.pmod(h, F.lit(1 << bits)))).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(
@@ -340,7 +377,7 @@ def bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
     out = np.zeros(1 << (bits - 6), np.int64)
     for r in words.toLocalIterator():
         out[r["word"]] = r["bits"]
-    return out.tobytes()
+    return out.tobytes(), bits
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -349,16 +386,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width:
     held = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
 
     def start():
-        words = np.frombuffer(held.value, np.int64).view(np.uint64)
-
-        def has(hashes: np.ndarray) -> np.ndarray:
-            found = np.ones(len(hashes), bool)
-            for spot in (hashes >> np.uint64(64 - FILTER_BITS), hashes & np.uint64((1 << FILTER_BITS) - 1)):
-                found &= (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-            return found
+        wanted = BitFilter(*held.value)
 
         def step(ids, texts, hashes):
-            use = np.flatnonzero(has(np.array(hashes, np.int64).view(np.uint64))).tolist()
+            use = np.flatnonzero(wanted.has(hashes)).tolist()
             if not use:
                 return None
             return [ids[k] for k in use], [element_hashes(texts[k], width).tobytes() for k in use]
@@ -438,7 +469,7 @@ def jaccard_components(
         light = light_boundary({r["n"]: r["count"] for r in small.toLocalIterator()}, similar)
 
     heads = classes.select(F.col("rep").alias("id")).dropna().distinct()
-    posted = stored(postings(docs, common, light, id_col, text_col, width, similar).join(heads, "id", "left_semi"), "postings")
+    posted = stored(postings(docs, heads, common, light, id_col, text_col, width, similar), "postings")
     lists = stored(lists_with_pivots(posted), "lists")
 
     star = lists.where((F.col("id") != F.col("pivot")) & within_reach("n", "most", "pivot_n", "pivot_most", similar))
@@ -476,10 +507,9 @@ def jaccard_components(
 
 
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows ``(key, id, n, most, component)`` of the lists that hold several components."""
-    known = lists.select("key", "id", "n", "most").join(labels, "id", "left").select(
-        "key", "id", "n", "most", F.coalesce("label", "id").alias("component")
-    )
+    """Rows ``(key, id, n, most, kind, posted, n_often, component)`` of the lists that hold several components."""
+    own = ["key", "id", "n", "most", "kind", "posted", "n_often"]
+    known = lists.select(*own).join(labels, "id", "left").select(*own, F.coalesce("label", "id").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return known.join(mixed.select("key"), "key", "left_semi")
 
@@ -500,10 +530,27 @@ def across(lists: DataFrame, turn: int, similar: int) -> DataFrame:
 
 
 def all_across(lists: DataFrame, similar: int) -> DataFrame:
-    """All pairs ``(a, b)`` of a list that are in different components and may be similar."""
-    x = lists.select("key", *[F.col(c).alias(f"its_{c}") for c in ("id", "n", "most", "component")])
+    """All pairs ``(a, b)`` in different components whose common lists leave similarity possible.
+
+    Every list two such documents share is open, so the number of common lists is the
+    number of posted elements they share (of common elements, at most as many as both
+    posted, where the pair also shares a rare one). Beyond the end of one of the posted
+    parts at most the rest of that set is shared.
+    """
+    profile = ("id", "n", "posted", "n_often")
+    x = lists.select("key", *[F.col(c).alias(f"its_{c}") for c in (*profile, "most", "component")])
     meet = (F.col("component") < F.col("its_component")) & within_reach("n", "most", "its_n", "its_most", similar)
-    return lists.join(x, "key").where(meet).select(*pair("id", "its_id"))
+    rows = lists.join(x, "key").where(meet)
+    seen = rows.groupBy(*[f"{p}{c}" for p in ("", "its_") for c in profile]).agg(
+        F.min("kind").alias("kind"),
+        F.sum((F.col("kind") == 1).cast("int")).alias("rare"),
+        F.sum((F.col("kind") == 2).cast("int")).alias("common"),
+    )
+    common = F.when(F.col("rare") > 0, F.least("n_often", "its_n_often")).otherwise(F.col("common"))
+    rest = F.greatest(F.col("n") - F.col("posted"), F.col("its_n") - F.col("its_posted"))
+    most = F.col("rare") + common + rest
+    possible = (F.col("kind") == 0) | ((100 + similar) * most >= similar * (F.col("n") + F.col("its_n")))
+    return seen.where(possible).select(*pair("id", "its_id"))
 
 
 def op9_jaccard_join(spark, folder: str) -> DataFrame:
