@@ -18,7 +18,6 @@ from lamella.operators import regions as rn
 from lamella.operators.spatial import cell, on_cells
 from lamella.session import durable
 
-FOLD_LIMIT = 512
 STAR_GRID = 2
 STAR_BORDER = 2
 
@@ -63,77 +62,106 @@ def decode_queries(queries: DataFrame, p: float, size: float = 512.0) -> DataFra
 
 # Greedy suppression
 
-
-def _fold_kept(items: DataFrame, keys: Sequence[str], hit: Hit) -> DataFrame:
-    """Keys kept in small groups: one pass over the group in descending order."""
-    ordered = F.sort_array(F.collect_list(F.struct("score", "key", "body")), asc=False)
-    kind = items.select(F.array(F.struct("score", "key", "body"))).schema[0].dataType
-    kept = F.aggregate(
-        "items",
-        F.array().cast(kind),
-        lambda acc, it: F.when(F.exists(acc, lambda k: hit(k["body"], it["body"])), acc).otherwise(F.array_append(acc, it)),
-    )
-    return items.groupBy(*keys).agg(ordered.alias("items")).select(*keys, F.explode(F.transform(kept, lambda k: k["key"])).alias("key"))
+#: Edge of a grid cell: most detections of a cell touch no other one.
+CELL = 256.0
 
 
-def _rounds_kept(items: DataFrame, keys: Sequence[str], hit: Hit, size: float) -> DataFrame:
-    """The same result in rounds, for groups of any size.
+def _settle_cells(state: DataFrame, by: Sequence[str], hit: Hit) -> DataFrame:
+    """One ordered pass over each cell: (by, key, score, body, n, known, first).
 
-    An item that ranks first in every grid cell it touches ranks before everything it
-    could overlap, so it is kept. A cell has one first, found by a maximum combined
-    before the shuffle, so an undecided item meets at most one newly kept item per cell:
-    no round forms all pairs of a crowded place. Items hit by a kept one, and the kept
-    ones, leave; the rest goes on.
+    In descending order an item goes if a settled one suppresses it. Else, if an open one
+    does, it stays open, as that one may still go. Else it is settled when it touches this
+    cell only or was settled before, and open as the ``first`` of its place when it
+    touches other cells too.
     """
-    by, rank = [*keys, "_cx", "_cy"], F.struct("score", "key", "body", "_n")
-    spread = (cell(F.col("x2"), size) - cell(F.col("x1"), size) + 1) * (cell(F.col("y2"), size) - cell(F.col("y1"), size) + 1)
-    cells = on_cells(items.withColumn("_n", spread), *bx.box(), size)
-    left = durable(cells.select(*by, "score", "key", "body", "_n"))
-    found = []
-    while not left.isEmpty():
-        first = left.groupBy(*by).agg(F.max_by(rank, F.struct("score", "key")).alias("f"))
-        won = first.groupBy(*keys, F.col("f.key").alias("key"), F.col("f._n").alias("_n")).agg(F.count("*").alias("_c"))
-        won = won.where(F.col("_c") == F.col("_n")).select(*keys, "key")
-        kept = durable(first.select(*by, F.col("f.key").alias("key"), F.col("f.body").alias("_k")).join(won, [*keys, "key"], "left_semi"))
-        found.append(kept.select(*keys, "key").distinct())
-        over = kept.withColumnRenamed("key", "_key")
-        gone = left.join(over, by).where((F.col("key") == F.col("_key")) | hit(F.col("_k"), F.col("body")))
-        left = durable(left.join(gone.select(*keys, "key").distinct(), [*keys, "key"], "left_anti"))
-    return reduce(DataFrame.unionByName, found) if found else items.select(*keys, "key").limit(0)
-
-
-def greedy_keep(items: DataFrame, keys: Sequence[str], hit: Hit, size: float = 64.0, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    one = F.struct("score", "key", "body", "n", "known", F.lit(False).alias("first"))
+    items = F.sort_array(F.collect_list(one), asc=False)
+    kind = state.select(F.array(one)).schema[0].dataType
+    none = F.array().cast(kind)
+
+    def mark(it: Column, known: Column, first: Column) -> Column:
+        return F.struct(it["score"], it["key"], it["body"], it["n"], known.alias("known"), first.alias("first"))
+
+    def step(acc: Column, it: Column) -> Column:
+        met = lambda side: F.exists(acc[side], lambda k: hit(k["body"], it["body"]))
+        alone = it["known"] | (it["n"] == 1)
+
+        def put(side: str, item: Column) -> Column:
+            sides = {"settled": acc["settled"], "open": acc["open"]}
+            sides[side] = F.array_append(sides[side], item)
+            return F.struct(*[v.alias(k) for k, v in sides.items()])
+
+        return (
+            F.when(it["known"], put("settled", it))
+            .when(met("settled"), acc)
+            .when(met("open"), put("open", mark(it, F.lit(False), F.lit(False))))
+            .when(alone, put("settled", mark(it, F.lit(False), F.lit(True))))
+            .otherwise(put("open", mark(it, F.lit(False), F.lit(True))))
+        )
+
+    done = F.aggregate("items", F.struct(none.alias("settled"), none.alias("open")), step)
+    cells = state.groupBy(*by).agg(items.alias("items")).select(*by, done.alias("_done"))
+    rows = cells.select(*by, F.explode(F.concat(F.col("_done")["settled"], F.col("_done")["open"])).alias("_row"))
+    return rows.select(*by, *[F.col("_row")[c].alias(c) for c in ("key", "score", "body", "n", "known", "first")])
+
+
+def greedy_keep(items: DataFrame, keys: Sequence[str], hit: Hit, size: float = CELL) -> DataFrame:
     """Keys that survive greedy suppression in descending (score, key) order per group.
 
     ``items`` holds ``keys``, score, key (unique in the group), the bounding box x1..y2
     and a struct ``body``; ``hit(kept, other)`` says from two bodies whether the kept one
-    suppresses the other, and is false for boxes that do not touch. Groups of up to
-    ``fold_limit`` items are folded in one row, larger ones go through rounds.
+    suppresses the other, and is false for boxes that do not touch. The sides of a box may
+    come in either order. A box with a missing side touches nothing and stays.
+
+    Items are spread over the grid cells they touch and settled cell by cell, whatever the
+    size of their group. An item of several cells is kept once it is the first of its
+    place in all of them, and goes once any of them drops it. Only chains of suppression
+    that cross cells take further rounds, each with the cells that still hold open items.
     """
     keys = list(keys)
-    sizes = items.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = durable(sizes.where(F.col("_n") > fold_limit).drop("_n"))
-    if large.isEmpty():
-        return _fold_kept(items, keys, hit)
-    small = items.join(large, keys, "left_anti")
-    big = items.join(large, keys, "left_semi")
-    return _fold_kept(small, keys, hit).unionByName(_rounds_kept(big, keys, hit, size))
-
-
-def nms_boxes(dets: DataFrame, threshold: float, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    by = [*keys, "_cx", "_cy"]
+    sides = bx.box()
+    bare = reduce(lambda a, b: a | b, [c.isNull() | F.isnan(c.cast("double")) for c in sides])
+    ordered = items.where(~bare).withColumns(
+        {"x1": F.least("x1", "x2"), "x2": F.greatest("x1", "x2"), "y1": F.least("y1", "y2"), "y2": F.greatest("y1", "y2")}
+    )
+    spread = (cell(F.col("x2"), size) - cell(F.col("x1"), size) + 1) * (cell(F.col("y2"), size) - cell(F.col("y1"), size) + 1)
+    cells = on_cells(ordered.withColumn("n", spread), *bx.box(), size)
+    state = cells.select(*by, "score", "key", "body", "n", F.lit(False).alias("known"))
+    found = [items.where(bare).select(*keys, "key")]
+    while True:
+        settled = durable(_settle_cells(state, by, hit))
+        wide = settled.where((F.col("n") > 1) & ~F.col("known"))
+        votes = wide.groupBy(*keys, "key", "n").agg(F.count("*").alias("_in"), F.sum(F.col("first").cast("int")).alias("_first"))
+        verdict = votes.select(
+            *keys, "key", (F.col("_in") < F.col("n")).alias("_gone"), (F.col("_first") == F.col("n")).alias("_kept")
+        )
+        joined = settled.join(verdict, [*keys, "key"], "left").where(~F.coalesce("_gone", F.lit(False)))
+        new = (F.col("n") == 1) & F.col("first") | F.coalesce("_kept", F.lit(False))
+        joined = durable(joined.select(*by, "score", "key", "body", "n", "known", (new & ~F.col("known")).alias("_new")))
+        found.append(joined.where("_new").select(*keys, "key").distinct())
+        open_cells = joined.where(~F.col("known") & ~F.col("_new")).select(*by).distinct()
+        if open_cells.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rest = joined.join(open_cells, by, "left_semi")
+        state = rest.select(*by, "score", "key", "body", "n", (F.col("known") | F.col("_new")).alias("known"))
+
+
+def nms_boxes(dets: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
     """Detections kept by greedy box suppression per group.
 
     Boxes include their last pixel; a box goes when its IoU with a kept one exceeds the
     threshold. Equal scores: the greater ``key`` first. A threshold of at most 0 keeps all.
+    A box with a missing side stays.
     """
     if threshold <= 0:
         return dets
-    # Detections are read three times below and may come from a model run.
+    # Detections are read twice below and may come from a model run.
     dets = durable(dets)
     side = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     items = dets.select(*keys, "score", "key", F.struct(*side).alias("body"), "x1", "y1", (F.col("x2") + 1).alias("x2"), (F.col("y2") + 1).alias("y2"))
     sides = lambda b: tuple(b[c] for c in ("x1", "y1", "x2", "y2"))
-    kept = greedy_keep(items, keys, lambda a, b: bx.iou_plus1(sides(a), sides(b)) > F.lit(float(threshold)), 64.0, fold_limit)
+    kept = greedy_keep(items, keys, lambda a, b: bx.iou_plus1(sides(a), sides(b)) > F.lit(float(threshold)))
     return dets.join(kept, [*keys, "key"], "left_semi")
 
 
@@ -218,15 +246,17 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(per_run, F.lit(0), lambda t, v: t + v)
 
 
-def nms_polygons(polygons: DataFrame, threshold: float, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def nms_polygons(polygons: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
     """Polygons kept by greedy suppression per group, best score first.
 
     A polygon goes when the pixels it shares with a kept one exceed the threshold as a
-    part of the smaller of the two. ``polygons`` holds ``keys``, id, prob, cy, cx, dist.
+    part of the smaller of the two. ``polygons`` holds ``keys``, id (unique in the group),
+    prob, cy, cx, dist.
     """
     keys = list(keys)
-    runs = star_runs(polygons, ["id"])
-    masks = runs.groupBy("id").agg(
+    own = [*keys, "id"]
+    runs = star_runs(polygons, own)
+    masks = runs.groupBy(*own).agg(
         F.sort_array(F.collect_list(F.struct("row", "x0", "x1"))).alias("runs"),
         F.sum(F.col("x1") - F.col("x0") + 1).cast("int").alias("area"),
         F.min("row").alias("y1"),
@@ -236,7 +266,7 @@ def nms_polygons(polygons: DataFrame, threshold: float, keys: Sequence[str], fol
     )
     sides = ["x1", "y1", "x2", "y2"]
     # A polygon that covers no pixel overlaps nothing and stays.
-    items = polygons.join(masks, "id").select(
+    items = polygons.join(masks, own).select(
         *keys, F.col("prob").alias("score"), F.col("id").alias("key"), F.struct("runs", "area", *sides).alias("body"), *sides
     )
 
@@ -244,9 +274,9 @@ def nms_polygons(polygons: DataFrame, threshold: float, keys: Sequence[str], fol
         near = (a["x1"] <= b["x2"]) & (b["x1"] <= a["x2"]) & (a["y1"] <= b["y2"]) & (b["y1"] <= a["y2"])
         return near & (_common(a["runs"], b["runs"]) / F.least(a["area"], b["area"]) > F.lit(float(threshold)))
 
-    kept = greedy_keep(items, keys, hit, 64.0, fold_limit).withColumnRenamed("key", "id").select("id")
-    bare = polygons.select("id").join(masks.select("id"), "id", "left_anti")
-    return polygons.join(kept.unionByName(bare), "id", "left_semi")
+    kept = greedy_keep(items, keys, hit).withColumnRenamed("key", "id").select(*own)
+    bare = polygons.select(*own).join(masks.select(*own), own, "left_anti")
+    return polygons.join(kept.unionByName(bare), own, "left_semi")
 
 
 def label_image(polygons: DataFrame, key: str, rows: int, cols: int, min_prob: float | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions.scores import precision_recall_f1
+from lamella.operators.regions import connected_components
 from lamella.operators.spatial import iou_join
 from lamella.session import durable
 
@@ -74,15 +75,28 @@ def _mutual_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, found) if found else empty
 
 
-def _one_each(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns({"np": F.lit(1).cast("bigint"), "ng": F.lit(1).cast("bigint")})
+def _component_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same matching for large groups, folded per conflict component.
+
+    Pairs that share no box do not contend, so each connected component of the pairs is
+    matched alone. Components are local however large the group is; finding them takes
+    rounds that grow with the logarithm of a chain's length.
+    """
+
+    def node(side: str, key: str) -> Column:
+        return F.struct(*keys, F.lit(side).alias("_side"), F.col(key).cast("string").alias("_key"))
+
+    labels = connected_components(pairs.select(node("p", "pred").alias("a"), node("g", "gt").alias("b")))
+    at = labels.select(F.col("id").alias("_node"), F.col("label").alias("_label"))
+    labelled = pairs.withColumn("_node", node("p", "pred")).join(at, "_node").drop("_node")
+    return _fold_matches(labelled, [*keys, "_label"]).drop("_label")
 
 
 def greedy_matches(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """One-to-one pairs taken in descending (iou, pred, gt) order per group.
 
-    Groups of up to ``fold_limit`` pairs are folded inside one row; larger groups go
-    through rounds of mutually best pairs, which give the same matching.
+    Groups of up to ``fold_limit`` pairs are folded inside one row; larger groups are
+    folded per connected component of their pairs, which gives the same matching.
     """
     pairs = durable(pairs)
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -90,8 +104,8 @@ def greedy_matches(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD
     if large.isEmpty():
         return _fold_matches(pairs, keys)
     small = pairs.join(large, list(keys), "left_anti")
-    big = pairs.join(large, list(keys), "left_semi")
-    return _fold_matches(small, keys).unionByName(_mutual_matches(_one_each(big), keys).drop("m"))
+    big = durable(pairs.join(large, list(keys), "left_semi"))
+    return _fold_matches(small, keys).unionByName(_component_matches(big, keys))
 
 
 _SIDES = ("x1", "y1", "x2", "y2")

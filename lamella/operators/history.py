@@ -98,13 +98,16 @@ def marker_columns(evaluations: DataFrame) -> DataFrame:
     return evaluations.select(F.explode("markers").alias("marker")).distinct().orderBy("marker")
 
 
-def evaluation_pivot(scores: DataFrame, markers: Sequence[str]) -> DataFrame:
+def evaluation_pivot(scores: DataFrame, markers: Sequence[str] | None = None, unnamed: str = "unnamed") -> DataFrame:
     """One row per evaluation, one column per marker plus OVERALL, NULL where absent.
 
-    ``scores`` holds evaluation_id, marker and score. The marker list is given, so no
-    extra job looks for it.
+    ``scores`` holds evaluation_id, marker and score. Without a list, every marker that
+    occurs has a column (Spark looks for them in a job of its own); the empty marker's
+    column is called ``unnamed``.
     """
-    wide = scores.groupBy("evaluation_id").pivot("marker", [*markers, OVERALL]).agg(F.first("score"))
+    named = scores.withColumn("marker", F.when(F.col("marker") == "", F.lit(unnamed)).otherwise(F.col("marker")))
+    columns = None if markers is None else [*(m or unnamed for m in markers), OVERALL]
+    wide = named.groupBy("evaluation_id").pivot("marker", columns).agg(F.first("score"))
     return wide.withColumnRenamed(OVERALL, "OVERALL")
 
 

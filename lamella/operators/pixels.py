@@ -157,7 +157,7 @@ def array_quantile(values: Column, q: float) -> Column:
 
 def normalize_percentile(tiles: DataFrame, low: float = 1.0, high: float = 99.8) -> DataFrame:
     """Pixels between two percentiles of their tile as 0..1, as column ``norm``."""
-    ranged = tiles.withColumn("_s", F.array_sort("px")).withColumns(
+    ranged = tiles.withColumn("_s", F.sort_array("px")).withColumns(
         {"_lo": array_quantile(F.col("_s"), low / 100), "_hi": array_quantile(F.col("_s"), high / 100)}
     )
     span = F.col("_hi") - F.col("_lo") + F.lit(1e-8)

@@ -311,27 +311,34 @@ def merge_regions(regions: DataFrame) -> dict[str, DataFrame]:
     """Replace touching regions of a channel by their union.
 
     ``members`` lists (slide_name, biomarker, label, id) of the regions that go;
-    ``merged`` holds one row per new region with the first member's attributes, the
-    number of members and the pixels; ``runs`` holds its mask. Regions that touch none
-    are in none of the three.
+    ``merged`` holds one row per new region with the attributes of its first member in
+    load order (``created_at`` where the regions have it, then the id), the number of
+    members and the pixels; ``runs`` holds its mask. The label is the least member id.
+    Regions that touch none are in none of the three.
     """
     regions = durable(regions)
     labels = durable(connected_components(component_edges(regions)))
-    members = regions.join(labels, "id").select("slide_name", "biomarker", "label", "id")
-    edges = region_edge_rows(regions.join(labels, "id"), ["label", "id"])
+    joined = regions.join(labels, "id")
+    members = joined.select("slide_name", "biomarker", "label", "id")
+    edges = region_edge_rows(joined, ["label", "id"])
     runs = durable(union_runs(rasterize(edges, ["label", "id"], together=["label"]).drop("id"), ["label"]))
-    counts = members.groupBy("label").agg(F.count("*").alias("n_members"))
-    first = regions.drop("rings").withColumnRenamed("id", "label")
-    merged = first.join(counts, "label").join(pixel_count(runs, ["label"]), "label", "left")
-    return {"members": members, "merged": merged, "runs": runs}
+    own = [c for c in regions.columns if c not in ("rings", "id")]
+    order = F.struct(*[c for c in ("created_at", "id") if c in regions.columns])
+    first = joined.groupBy("label").agg(
+        F.min_by(F.struct(F.col("id").alias("first_id"), *own), order).alias("_first"), F.count("*").alias("n_members")
+    )
+    named = first.select("label", *[F.col("_first")[c].alias(c) for c in ("first_id", *own)], "n_members")
+    return {"members": members, "merged": named.join(pixel_count(runs, ["label"]), "label", "left"), "runs": runs}
 
 
 def subtract_loops(regions: DataFrame, loops: DataFrame) -> dict[str, DataFrame]:
-    """Cut a loop out of the regions of its slide and channel that it meets.
+    """Cut loops out of the regions of their slide and channel that they meet.
 
-    ``loops`` holds slide_name, biomarker, id and rings, one loop per slide and channel.
-    A region that would vanish stays as it is and has no row in the result: ``counts``
-    holds (id, before, after), ``runs`` the new masks.
+    ``loops`` holds slide_name, biomarker, id and rings, any number per slide and channel.
+    The loops of a region count in the order of their ids. A loop that would make what is
+    left of its region vanish is passed over; a region all of whose loops are passed over
+    stays as it is and has no row in the result: ``counts`` holds (id, before, after),
+    ``runs`` the new masks.
     """
     keys = ["slide_name", "biomarker"]
     pairs = sp.overlap_pairs(_shapes(regions, "l_", "id", keys), _shapes(loops, "r_", "id", keys), keys, 512.0)
@@ -339,17 +346,31 @@ def subtract_loops(regions: DataFrame, loops: DataFrame) -> dict[str, DataFrame]
     x, y = F.floor("l_x1"), F.floor("l_y1")
     frame = {"fov_x": x, "fov_y": y, "fov_w": F.ceil("l_x2") - x, "fov_h": F.ceil("l_y2") - y}
     met = pairs.where(rg.regions_meet(F.col("l_e"), F.col("r_e"))).select(
-        F.col("l_id").alias("id"), "l_e", "r_e", *[c.alias(k) for k, c in frame.items()]
+        F.col("l_id").alias("id"), F.col("r_id").alias("loop"), "l_e", "r_e", *[c.alias(k) for k, c in frame.items()]
     )
     met = durable(met)
-    corner = met.select("id", F.col("fov_x").cast("int").alias("_x"), F.col("fov_y").cast("int").alias("_y"))
-
-    def fill(edges: str) -> DataFrame:
-        rows = met.select("id", *frame, F.explode(edges).alias("e")).select("id", *frame, "e.*")
-        return rasterize(rows, ["id"], frame=True)
-
-    old = durable(fill("l_e"))
-    cut = durable(subtract_runs(old, fill("r_e"), ["id"]))
+    once = met.dropDuplicates(["id"])
+    corner = once.select("id", F.col("fov_x").cast("int").alias("_x"), F.col("fov_y").cast("int").alias("_y"))
+
+    def fill(shapes: DataFrame, edges: str, by: Sequence[str]) -> DataFrame:
+        rows = shapes.select(*by, *frame, F.explode(edges).alias("e")).select(*by, *frame, "e.*")
+        return rasterize(rows, by, frame=True)
+
+    old = durable(fill(once, "l_e", ["id"]))
+    holes = durable(fill(met, "r_e", ["id", "loop"]))
+    cut = durable(subtract_runs(old, union_runs(holes.drop("loop"), ["id"]), ["id"]))
+    # Only regions that all their loops together would erase go on loop by loop.
+    erased = durable(old.select("id").distinct().join(cut.select("id").distinct(), "id", "left_anti"))
+    if not erased.isEmpty():
+        left = old.join(erased, "id", "left_semi")
+        turn = F.row_number().over(Window.partitionBy("id").orderBy("loop"))
+        turns = durable(met.join(erased, "id", "left_semi").select("id", "loop", turn.alias("_turn")))
+        cuts = holes.join(turns, ["id", "loop"])
+        for k in range(1, turns.agg(F.max("_turn")).first()[0] + 1):
+            tried = durable(subtract_runs(left, cuts.where(F.col("_turn") == k).select(*old.columns), ["id"]))
+            left = durable(tried.unionByName(left.join(tried.select("id").distinct(), "id", "left_anti")))
+        sizes = pixel_count(left, ["id"]).join(pixel_count(old, ["id"]).withColumnRenamed("pixels", "_old"), "id")
+        cut = cut.unionByName(left.join(sizes.where("pixels < _old"), "id", "left_semi"))
     before = pixel_count(old, ["id"]).withColumnRenamed("pixels", "before")
     after = pixel_count(cut, ["id"]).withColumnRenamed("pixels", "after")
     placed = cut.join(corner, "id").select(

@@ -124,11 +124,11 @@ def argmax_class(t: Tables) -> DataFrame:
 
 @query(
     "labels_sequential",
-    "SELECT slide_name, channel, tile_y, tile_x, COUNT(DISTINCT l) FILTER (l > 0) = MAX(l) AS ok FROM (SELECT *, CAST(floor(v / 4000) - 3 - CASE WHEN v >= 20000 THEN 1 ELSE 0 END AS INT) AS l FROM {pixels}) q GROUP BY slide_name, channel, tile_y, tile_x HAVING MIN(l) >= 0",
+    "SELECT slide_name, channel, tile_y, tile_x, MIN(l) >= 0 AND COUNT(DISTINCT l) FILTER (l > 0) = MAX(l) AS ok FROM (SELECT *, CAST(floor(v / 4000) - 3 - CASE WHEN v >= 20000 THEN 1 ELSE 0 END AS INT) AS l FROM {pixels}) q GROUP BY slide_name, channel, tile_y, tile_x",
 )
 def labels_sequential(t: Tables) -> DataFrame:
     label = F.transform("px", lambda v: (F.floor(v / 4000) - 3 - F.when(v >= 20000, 1).otherwise(0)).cast("int"))
-    rows = t.tiles.withColumn("l", label).where(F.array_min("l") >= 0)
+    rows = t.tiles.withColumn("l", label)
     return rows.select("slide_name", "channel", "tile_y", "tile_x", sc.labels_sequential(F.col("l")).alias("ok"))
 
 

@@ -129,11 +129,11 @@ def scores_of(t: Tables) -> DataFrame:
 @query(
     "evaluation_pivot",
     """SELECT evaluation_id, MAX(CASE WHEN marker = 'CD68' THEN score END) AS "CD68", MAX(CASE WHEN marker = 'CD8' THEN score END) AS "CD8", MAX(CASE WHEN marker = 'FOXP3' THEN score END) AS "FOXP3",
- MAX(CASE WHEN marker = 'PanCK' THEN score END) AS "PanCK", MAX(CASE WHEN marker = '__overall__' THEN score END) AS "OVERALL" FROM {scored} GROUP BY evaluation_id""",
+ MAX(CASE WHEN marker = 'PanCK' THEN score END) AS "PanCK", MAX(CASE WHEN marker = '' THEN score END) AS "unnamed", MAX(CASE WHEN marker = '__overall__' THEN score END) AS "OVERALL" FROM {scored} GROUP BY evaluation_id""",
     COUNTS_SQL,
 )
 def evaluation_pivot(t: Tables) -> DataFrame:
-    return hs.evaluation_pivot(scores_of(t), ["CD68", "CD8", "FOXP3", "PanCK"])
+    return hs.evaluation_pivot(scores_of(t))
 
 
 @query("marker_columns", "SELECT DISTINCT marker FROM {evaluation_counts}")
@@ -179,10 +179,10 @@ def iso_date_local(t: Tables) -> DataFrame:
 
 @query(
     "csv_list",
-    "SELECT e.id AS evaluation_id, COALESCE(x.joined, '') AS joined, CAST(COALESCE(x.n, 0) AS INT) AS n FROM {evaluations} e LEFT JOIN (SELECT evaluation_id, string_agg(DISTINCT marker, ',' ORDER BY marker) AS joined, COUNT(DISTINCT marker) AS n FROM {evaluation_counts} WHERE marker <> '' GROUP BY evaluation_id) x ON x.evaluation_id = e.id",
+    "SELECT e.id AS evaluation_id, COALESCE(x.joined, '') AS joined, CAST(CASE WHEN COALESCE(x.joined, '') = '' THEN 0 ELSE x.n END AS INT) AS n FROM {evaluations} e LEFT JOIN (SELECT evaluation_id, string_agg(DISTINCT marker, ',' ORDER BY marker) AS joined, COUNT(DISTINCT marker) AS n FROM {evaluation_counts} GROUP BY evaluation_id) x ON x.evaluation_id = e.id",
 )
 def csv_list(t: Tables) -> DataFrame:
-    named = t.evaluation_counts.where("marker <> ''").groupBy("evaluation_id").agg(F.sort_array(F.collect_set("marker")).alias("ms"))
+    named = t.evaluation_counts.groupBy("evaluation_id").agg(F.sort_array(F.collect_set("marker")).alias("ms"))
     rows = t.evaluations.select(F.col("id").alias("evaluation_id")).join(named, "evaluation_id", "left")
     joined = nm.csv_join(F.coalesce("ms", F.array().cast("array<string>")))
     return rows.select("evaluation_id", joined.alias("joined")).withColumn("n", F.size(nm.csv_split(F.col("joined"))))

@@ -194,43 +194,60 @@ def connected_components(t: Tables) -> DataFrame:
 
 @query(
     "merge_regions",
-    "SELECT r.slide_name, r.biomarker, c.label, COUNT(*) AS n_members, MAX(p.pixels) AS pixels FROM {comp} c JOIN {regions} r ON r.id = c.id JOIN {lab_px} p ON p.label = c.label GROUP BY r.slide_name, r.biomarker, c.label",
+    "SELECT r.slide_name, r.biomarker, c.label, arg_min(c.id, reverse(c.id)) AS first_id, MIN(reverse(c.id)) AS created_at, COUNT(*) AS n_members, MAX(p.pixels) AS pixels FROM {comp} c JOIN {regions} r ON r.id = c.id JOIN {lab_px} p ON p.label = c.label GROUP BY r.slide_name, r.biomarker, c.label",
     RUNS,
     recursive=True,
 )
 def merge_regions(t: Tables) -> DataFrame:
-    return rn.merge_regions(region_table(t))["merged"]
+    # A load order that is not the order of the ids.
+    return rn.merge_regions(region_table(t).withColumn("created_at", F.reverse("id")))["merged"]
+
+
+def _covered(x1: str, y1: str, x2: str, y2: str, also: str = "") -> str:
+    """Pixels of run r inside a rectangle, as SQL; 0 without one."""
+    return (
+        f"coalesce(CASE WHEN {also}r.yy >= ceil({y1} - 0.5) AND r.yy <= ceil({y2} - 0.5) - 1 "
+        f"THEN greatest(0, least(r.x1, ceil({x2} - 0.5) - 1) - greatest(r.x0, ceil({x1} - 0.5)) + 1) ELSE 0 END, 0)"
+    )
 
 
 LOOP = {
     **RUNS,
-    "loop": "SELECT slide_name, biomarker, MIN(x) AS x1, MIN(y) AS y1, MIN(x) + 700 AS x2, MIN(y) + 900 AS y2 FROM {fovs} GROUP BY slide_name, biomarker",
-    "hit": """SELECT b.id, l.x1, l.y1, l.x2, l.y2 FROM {bb} b JOIN {loop} l ON l.slide_name = b.slide_name AND l.biomarker = b.biomarker WHERE
+    "loop": """SELECT 'a' AS lid, slide_name, biomarker, MIN(x) AS x1, MIN(y) AS y1, MIN(x) + 700 AS x2, MIN(y) + 900 AS y2 FROM {fovs} GROUP BY slide_name, biomarker
+ UNION ALL SELECT 'b', slide_name, biomarker, MIN(x) + 350, MIN(y) + 450, MIN(x) + 1050, MIN(y) + 1350 FROM {fovs} GROUP BY slide_name, biomarker""",
+    "hit": """SELECT b.id, l.lid, l.x1, l.y1, l.x2, l.y2 FROM {bb} b JOIN {loop} l ON l.slide_name = b.slide_name AND l.biomarker = b.biomarker WHERE
  EXISTS (SELECT 1 FROM {edge} e WHERE e.id = b.id AND greatest(e.x1,e.x2) >= l.x1 AND least(e.x1,e.x2) <= l.x2 AND greatest(e.y1,e.y2) >= l.y1 AND least(e.y1,e.y2) <= l.y2
    AND NOT (least(e.x1,e.x2) > l.x1 AND greatest(e.x1,e.x2) < l.x2 AND least(e.y1,e.y2) > l.y1 AND greatest(e.y1,e.y2) < l.y2)
    AND least((e.x2-e.x1)*(l.y1-e.y1)-(e.y2-e.y1)*(l.x1-e.x1), (e.x2-e.x1)*(l.y1-e.y1)-(e.y2-e.y1)*(l.x2-e.x1), (e.x2-e.x1)*(l.y2-e.y1)-(e.y2-e.y1)*(l.x1-e.x1), (e.x2-e.x1)*(l.y2-e.y1)-(e.y2-e.y1)*(l.x2-e.x1)) <= 0
    AND greatest((e.x2-e.x1)*(l.y1-e.y1)-(e.y2-e.y1)*(l.x1-e.x1), (e.x2-e.x1)*(l.y1-e.y1)-(e.y2-e.y1)*(l.x2-e.x1), (e.x2-e.x1)*(l.y2-e.y1)-(e.y2-e.y1)*(l.x1-e.x1), (e.x2-e.x1)*(l.y2-e.y1)-(e.y2-e.y1)*(l.x2-e.x1)) >= 0)
  OR EXISTS (SELECT 1 FROM {edge} e WHERE e.id = b.id AND e.seq = 0 AND e.x1 BETWEEN l.x1 AND l.x2 AND e.y1 BETWEEN l.y1 AND l.y2)
  OR (SELECT COUNT(*) FROM {edge} e WHERE e.id = b.id AND (e.y1 > l.y1) <> (e.y2 > l.y1) AND l.x1 < (e.x2-e.x1)*(l.y1-e.y1)/(e.y2-e.y1)+e.x1) % 2 = 1""",
-    "cut": """SELECT r.id, SUM(r.x1 - r.x0 + 1) AS before, SUM(r.x1 - r.x0 + 1 - CASE WHEN r.yy >= ceil(h.y1 - 0.5) AND r.yy <= ceil(h.y2 - 0.5) - 1
-  THEN greatest(0, least(r.x1, ceil(h.x2 - 0.5) - 1) - greatest(r.x0, ceil(h.x1 - 0.5)) + 1) ELSE 0 END) AS after FROM {slide_runs} r JOIN {hit} h ON h.id = r.id GROUP BY r.id""",
+    "cut": f"""SELECT id, SUM(n) AS before, SUM(n - ca) AS a, SUM(n - cb) AS b, SUM(n - ca - cb + cab) AS ab FROM (
+ SELECT r.id, r.x1 - r.x0 + 1 AS n, {_covered("h.x1", "h.y1", "h.x2", "h.y2")} AS ca, {_covered("k.x1", "k.y1", "k.x2", "k.y2")} AS cb,
+  {_covered("greatest(h.x1, k.x1)", "greatest(h.y1, k.y1)", "least(h.x2, k.x2)", "least(h.y2, k.y2)", "h.x1 IS NOT NULL AND k.x1 IS NOT NULL AND ")} AS cab
+ FROM {{slide_runs}} r LEFT JOIN {{hit}} h ON h.id = r.id AND h.lid = 'a' LEFT JOIN {{hit}} k ON k.id = r.id AND k.lid = 'b' WHERE h.id IS NOT NULL OR k.id IS NOT NULL) q GROUP BY id""",
+    # Where both loops erase a region, the first one that leaves something counts alone.
+    "remaining": "SELECT id, before, CASE WHEN ab > 0 THEN ab WHEN a > 0 AND a < before THEN a WHEN b > 0 AND b < before THEN b END AS after FROM {cut}",
 }
 
 
 def loops(t: Tables) -> DataFrame:
+    """Two overlapping rectangles per slide and channel."""
     box = t.fovs.groupBy("slide_name", "biomarker").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     x, y = F.col("x"), F.col("y")
-    return box.select("slide_name", "biomarker", F.lit("loop").alias("id"), F.array(rg.rect_ring(x, y, x + 700, y + 900)).alias("rings"))
+    rings = {"a": rg.rect_ring(x, y, x + 700, y + 900), "b": rg.rect_ring(x + 350, y + 450, x + 1050, y + 1350)}
+    a, b = [box.select("slide_name", "biomarker", F.lit(k).alias("id"), F.array(v).alias("rings")) for k, v in rings.items()]
+    return a.unionByName(b)
 
 
-@query("subtract_region", "SELECT id, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after FROM {cut} WHERE after > 0", LOOP)
+@query("subtract_region", "SELECT id, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after FROM {remaining} WHERE after > 0", LOOP)
 def subtract_region(t: Tables) -> DataFrame:
     return rn.subtract_loops(region_table(t), loops(t))["counts"]
 
 
 @query(
     "select_regions_in_rect",
-    LOOP["hit"].replace("SELECT b.id, l.x1, l.y1, l.x2, l.y2 FROM {bb} b JOIN {loop} l ON l.slide_name = b.slide_name AND l.biomarker = b.biomarker", "SELECT b.id FROM {bb} b JOIN (SELECT 500.0::DOUBLE AS x1, 600.0::DOUBLE AS y1, 900.0::DOUBLE AS x2, 1400.0::DOUBLE AS y2) l ON true"),
+    LOOP["hit"].replace("SELECT b.id, l.lid, l.x1, l.y1, l.x2, l.y2 FROM {bb} b JOIN {loop} l ON l.slide_name = b.slide_name AND l.biomarker = b.biomarker", "SELECT b.id FROM {bb} b JOIN (SELECT 500.0::DOUBLE AS x1, 600.0::DOUBLE AS y1, 900.0::DOUBLE AS x2, 1400.0::DOUBLE AS y2) l ON true"),
     GEO,
 )
 def select_regions_in_rect(t: Tables) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,13 +20,30 @@ def register_views(spark: SparkSession, root: str, names: tuple[str, ...] = VIEW
         df.createOrReplaceTempView(name)
 
 
-def query(spark: SparkSession, sql: str) -> DataFrame:
+#: Functions that call Java methods by name.
+REFLECTION = re.compile(r"'(?:java_method|reflect|try_reflect)\(", re.IGNORECASE)
+RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
+NAMED_PART = re.compile(r"CTE \[([^\]]*)\]")
+
+
+def query(spark: SparkSession, sql: str, views: Iterable[str] = VIEWS) -> DataFrame:
     """Run a query on the views.
 
     The text is used as a subquery, where Spark's grammar has no place for commands, so
-    a statement that would change or drop anything does not parse.
+    a statement that would change or drop anything does not parse. The parsed plan may
+    name nothing but the views and its own common table expressions, so no file or other
+    table can be read, and may not call Java methods.
     """
-    return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")
+    text = f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)"
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).treeString()
+    if REFLECTION.search(tree):
+        raise PermissionError("the query calls a Java method")
+    known = {v.lower() for v in views}
+    known |= {n.strip().lower() for part in NAMED_PART.findall(tree) for n in part.split(",")}
+    other = sorted({n for n in RELATION.findall(tree) if n.strip().lower() not in known})
+    if other:
+        raise PermissionError(f"the query reads {', '.join(other)}, which is no view")
+    return spark.sql(text)
 
 
 def run_sql(sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -33,4 +51,4 @@ def run_sql(sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return query(spark, sql)
+    return query(spark, sql, tables)

@@ -125,6 +125,17 @@ def test_save_replaces_slides(spark, t, tmp_path):
     for bad in ("DROP VIEW annotations", "INSERT INTO annotations SELECT * FROM annotations", "SELECT 1); DROP VIEW annotations --", "SET x=1"):
         with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
             sqlview.query(spark, bad)
+    n = sqlview.query(spark, "WITH a AS (SELECT * FROM annotations) SELECT count(*) AS n FROM a WHERE id IN (SELECT id FROM annotations)").first().n
+    assert n == after.count()
+    for bad in (
+        "SELECT java_method('java.lang.Math', 'max', 3, 4)",
+        "SELECT reflect('java.lang.Math', 'max', 3, 4)",
+        "SELECT * FROM text.`/etc/hosts`",
+        "SELECT id FROM annotations WHERE id IN (SELECT value FROM text.`/etc/hosts`)",
+        "SELECT * FROM some_other_table",
+    ):
+        with pytest.raises(PermissionError):
+            sqlview.query(spark, bad)
 
 
 def test_listing(spark, tmp_path):

@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from lamella.plans.registry import ORACLES, QUERIES
 from tests.compare import diff, duck, rows_of_duck, rows_of_spark
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,12 +14,12 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert name in oracle_sql()
-    got = rows_of_spark(queries()[name](spark, FOLDER))
+    assert name in ORACLES
+    got = rows_of_spark(QUERIES[name](spark, FOLDER))
     assert got[1], "no rows"
-    assert diff(got, rows_of_duck(con, oracle_sql()[name])) is None
+    assert diff(got, rows_of_duck(con, ORACLES[name])) is None
 
 
 def test_entry(spark):
