@@ -30,12 +30,16 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that repeat an id are one document, of which the least text stays. Rows without
     an id cannot be grouped and stay.
     """
-    groups = jaccard.jaccard_components(docs).where(F.col("doc_id") == F.col("component_id"))
-    heads = groups.select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
+    own = docs.select(*COLUMNS)
+    groups = stored(jaccard.jaccard_components(own), "groups").where(F.col("doc_id").isNotNull())
+    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    # Only documents that may be copies or repeated rows are joined and shuffled.
+    marked = jaccard.with_maybe(own, copies.unionByName(repeated).select(F.col("doc_id").alias("id")), "doc_id")
+    rest = marked.where("_maybe").select(*COLUMNS).join(copies, "doc_id", "left_anti")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = named.join(heads, "doc_id", "left_semi").withColumn("_turn", turn).where("_turn = 1")
-    return one.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    one = rest.withColumn("_turn", turn).where("_turn = 1")
+    return marked.where("NOT _maybe").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

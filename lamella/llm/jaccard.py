@@ -380,6 +380,23 @@ def bit_filter(ids: DataFrame) -> tuple[bytes, int]:
     return out.tobytes(), bits
 
 
+def with_maybe(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with a column ``_maybe``: false only where the id is surely not in ``ids``.
+
+    What is surely elsewhere needs no join, so that texts are shuffled for the rest alone.
+    A null id is in none.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
+
+    def start():
+        wanted = BitFilter(*held.value)
+        return lambda hashes: [wanted.has(hashes).tolist()]
+
+    h = F.xxhash64(id_col).alias("_h")
+    marked = map_rows(docs.select(h, *docs.columns), start, "_maybe boolean", len(docs.columns))
+    return marked.withColumn("_maybe", F.col("_maybe") & F.col(id_col).isNotNull())
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Rows ``(id, elements)`` of the documents in ``ids`` (and maybe a few others)."""
     kind = docs.schema[id_col].dataType.simpleString()
