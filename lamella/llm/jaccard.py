@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lamella.llm.common import map_rows, stored, table, utf8
+from lamella.llm.common import discard, map_rows, stored, table, utf8
 from lamella.operators.regions import connected_components
 
 #: Words of an element, and the similarity in hundredths.
@@ -48,7 +48,7 @@ COMMON_MOST = 200_000
 COMMON_FILES = 16
 SUMMARY = 50_000
 #: Further stars before the pairs across components.
-STARS = 2
+STARS = 1
 #: Least and greatest size of a filter of documents, in bits as a power of two; 2 ** 28 bits are
 #: 32 MB. A filter that is too small lets other documents pass, which costs work and changes nothing.
 FILTER_BITS = (16, 28)
@@ -301,7 +301,9 @@ def plausible(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
     Up to the lesser of the ends of the two posted parts, all elements of both sets are
     known; beyond it, the smaller rest may be shared at most.
     """
-    parts = posted.select("id", "n", "rare", "often", (F.size("light") > 0).alias("small"))
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    mine = with_maybe(posted, ends, "id").where("_maybe")
+    parts = mine.select("id", "n", "rare", "often", (F.size("light") > 0).alias("small"))
 
     def side(name: str) -> DataFrame:
         return parts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "rare", "often", "small")])
@@ -422,7 +424,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width:
 def verified(
     pairs: DataFrame, posted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: int
 ) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose whole sets are similar."""
+    """Those of the pairs ``(a, b)`` whose whole sets are similar, as a stored result."""
     pairs = stored(plausible(pairs, posted, similar), "plausible")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sets = stored(sets_of(docs, ends, id_col, text_col, width), "sets")
@@ -445,7 +447,10 @@ def verified(
         return step
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return map_rows(both.select("a", "b", "x", "y"), start, f"a {kind}, b {kind}").distinct()
+    links = stored(map_rows(both.select("a", "b", "x", "y"), start, f"a {kind}, b {kind}").distinct(), "links")
+    discard(sets)
+    discard(pairs)
+    return links
 
 
 def jaccard_components(
@@ -500,14 +505,15 @@ def jaccard_components(
     labels = stored(connected_components(links), "labels")
 
     for turn in range(stars + 1):
-        lists = stored(open_lists(lists, labels), "open")
+        before, lists = lists, stored(open_lists(lists, labels), "open")
+        discard(before)
         if lists.isEmpty():
             break
         more = across(lists, turn, similar) if turn < stars else all_across(lists, similar)
         more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        found = stored(verified(more, posted, docs, id_col, text_col, width, similar), "links")
+        found = verified(more, posted, docs, id_col, text_col, width, similar)
         tried = tried.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)
