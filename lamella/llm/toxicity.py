@@ -79,7 +79,7 @@ def fit(sample: DataFrame, text_col: str = "text", passes: int = PASSES, bits: i
             (r["_key"], r[text_col] or "", r["label"]) for batch in batches for r in batch.to_pylist()
         )
         model = Ftrl(bits)
-        data = [(np.unique(features(words_of(text), bits)), label) for _, text, label in rows]
+        data = [(np.unique(features(words_of(text), bits)).astype(np.int32), label) for _, text, label in rows]
         for _ in range(passes):
             for at, label in data:
                 model.learn(at, label)
