@@ -1,8 +1,8 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other.
 
 Both start from a bounded sample of labelled documents. In every round each labels the
-documents of a bounded unlabelled pool that it is surest of, and hands them to the other.
-The two are then calibrated on held-out labels and combined, and score all documents.
+documents it is sure of, among all documents outside that sample, and the other learns
+them. The two are then calibrated on held-out labels and combined, and score all documents.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import bounded_sample, distinct_labels, map_rows, table, utf8
+from lamella.llm.common import bounded_sample, discard, distinct_labels, map_rows, stored, table, utf8
 
-#: Labelled rows and unlabelled rows at most, rounds, documents per class and round.
+#: Labelled rows at most, rounds, calibrated probability of a class from which a label is handed over.
 LABELLED = 4000
-POOL = 4000
 ROUNDS = 4
-HANDED = 150
+SURE = 0.95
 PASSES = 4
 BITS = 15
+#: Tasks that combine what the parts of the pool have learned, feature by feature.
+COMBINED = 16
 #: Numbers of the metadata view: hashed categories first, then dense values.
 CATEGORIES = 256
 DENSE = 10
@@ -79,19 +80,47 @@ class Logistic:
         at, value = row
         return float(self.w[at] @ value + self.w[-1])
 
-    def learn(self, rows: list, labels: list[int], passes: int, seed: int) -> None:
+    def step(self, row, label: int, weight: float) -> None:
+        at, value = row
+        p = 1 / (1 + np.exp(-min(max(self.margin(row), -35.0), 35.0)))
+        slope = (p - label) * weight
+        step = slope * value + self.l2 * self.w[at]
+        self.g[at] += step * step
+        self.w[at] -= self.rate * step / np.sqrt(self.g[at])
+        self.g[-1] += slope * slope
+        self.w[-1] -= self.rate * slope / np.sqrt(self.g[-1])
+
+    def learn(self, rows: list, labels: list[int], weight: list[float], passes: int, seed: int) -> None:
         order = np.random.default_rng(seed)
-        weight = {y: len(labels) / (2 * max(1, labels.count(y))) for y in (0, 1)}
         for _ in range(passes):
             for k in order.permutation(len(rows)):
-                at, value = rows[k]
-                p = 1 / (1 + np.exp(-np.clip(self.margin(rows[k]), -35, 35)))
-                slope = (p - labels[k]) * weight[labels[k]]
-                step = slope * value + self.l2 * self.w[at]
-                self.g[at] += step * step
-                self.w[at] -= self.rate * step / np.sqrt(self.g[at])
-                self.g[-1] += slope * slope
-                self.w[-1] -= self.rate * slope / np.sqrt(self.g[-1])
+                self.step(rows[k], labels[k], weight[labels[k]])
+
+
+class State:
+    """Both models, their calibrations and the weights of the classes; None while a class has no labels."""
+
+    def __init__(self):
+        self.models = (Logistic(1 << BITS), Logistic(CATEGORIES + DENSE))
+        self.curves = [(1.0, 0.0), (1.0, 0.0)]
+        self.weight: list[float] | None = None
+
+    def plain(self) -> tuple:
+        """The state as arrays and numbers, which a broadcast can carry without this module."""
+        return [(m.w, m.g) for m in self.models], self.curves, self.weight
+
+    @staticmethod
+    def of(plain: tuple) -> State:
+        """A copy of what :meth:`plain` gave."""
+        out = State()
+        for model, (w, g) in zip(out.models, plain[0], strict=True):
+            model.w, model.g = w.copy(), g.copy()
+        out.curves, out.weight = list(plain[1]), plain[2]
+        return out
+
+    def odds(self, view: int, row) -> float:
+        a, b = self.curves[view]
+        return a * self.models[view].margin(row) + b
 
 
 def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -112,59 +141,101 @@ def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def cotrain(rows: list[tuple], rounds: int = ROUNDS, handed: int = HANDED, passes: int = PASSES):
-    """The two classifiers and their calibrations from rows ``(key, text, source, lang, n_chars, label)``.
+def from_labels(sample: DataFrame, state: State, turn: int, passes: int = PASSES) -> State:
+    """``state`` after it has learned the rows ``(_key, text, source, lang, n_chars, label)``.
 
-    Rows without a label are the pool. A fifth of the labelled rows, by key, only
+    The rows are bounded and one task reads them. A fifth of them, by key, only
     calibrates; with few labels all of them do both.
     """
-    views = [(text_view(r[1]), meta_view(*r[1:5])) for r in rows]
-    marked = [k for k, r in enumerate(rows) if r[5] is not None]
-    pool = [k for k, r in enumerate(rows) if r[5] is None]
-    held = [k for k in marked if rows[k][0] % 5 == 0]
-    base = [k for k in marked if rows[k][0] % 5]
-    if len({rows[k][5] for k in held}) < 2 or len({rows[k][5] for k in base}) < 2:
-        held = base = marked
-    models = (Logistic(1 << BITS), Logistic(CATEGORIES + DENSE))
-    extra: tuple[dict[int, int], dict[int, int]] = ({}, {})
-    for turn in range(rounds + 1):
-        for v, model in enumerate(models):
-            use = [(k, rows[k][5]) for k in base] + list(extra[v].items())
-            model.learn([views[k][v] for k, _ in use], [y for _, y in use], passes, turn)
-        if turn == rounds or not pool or not base:
-            break
-        for v, model in enumerate(models):
-            margins = np.array([model.margin(views[k][v]) for k in pool])
-            order = np.argsort(margins, kind="stable")
-            other = extra[1 - v]
-            for label, best in ((0, order), (1, order[::-1])):
-                sure = [pool[j] for j in best if (margins[j] > 0) == (label == 1) and pool[j] not in other]
-                other.update(dict.fromkeys(sure[:handed], label))
-    truth = np.array([rows[k][5] for k in held], float)
-    curves = [calibration(np.array([m.margin(views[k][v]) for k in held]), truth) if held else (1.0, 0.0) for v, m in enumerate(models)]
-    return models, curves
-
-
-def fit(sample: DataFrame) -> DataFrame:
-    """Rows ``(view, feature, weight)`` of the two models; features -1 to -3 are bias, slope and offset."""
+    given = sample.sparkSession.sparkContext.broadcast(state.plain())
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         rows = sorted(
             (tuple(r[c] for c in ("_key", "text", "source", "lang", "n_chars", "label")) for b in batches for r in b.to_pylist()),
-            key=lambda r: (r[0], r[1] or "", r[5] is None, r[5]),
+            key=lambda r: (r[0], r[1] or "", r[5]),
         )
-        models, curves = cotrain(rows)
-        for v, (model, (slope, offset)) in enumerate(zip(models, curves, strict=True)):
-            at = np.flatnonzero(model.w[:-1])
-            numbers = [*at.tolist(), -1, -2, -3]
-            weights = [*model.w[at].tolist(), float(model.w[-1]), slope, offset]
+        held = [r for r in rows if r[0] % 5 == 0]
+        base = [r for r in rows if r[0] % 5]
+        if len({r[5] for r in held}) < 2 or len({r[5] for r in base}) < 2:
+            held = base = rows
+        labels, truth = [r[5] for r in base], np.array([r[5] for r in held], float)
+        weight = [len(labels) / (2 * max(1, labels.count(y))) for y in (0, 1)]
+        for v, model in enumerate(State.of(given.value).models):
+            view = (lambda r: text_view(r[1])) if v == 0 else (lambda r: meta_view(*r[1:5]))
+            model.learn([view(r) for r in base], labels, weight, passes, turn)
+            curve = calibration(np.array([model.margin(view(r)) for r in held]), truth) if held else (1.0, 0.0)
+            at = np.flatnonzero((model.w != 0) | (model.g > 1e-8))
+            # Features -1 and -2: slope and offset, and the weights of the classes.
+            extra = [(-1, *curve), *([(-2, *weight)] if len(set(labels)) == 2 else [])]
+            columns = [np.concatenate(c) for c in zip((at, model.w[at], model.g[at]), zip(*extra, strict=True), strict=True)]
+            yield pa.RecordBatch.from_pydict(
+                {"view": pa.array([v] * len(columns[0]), pa.int32()), "feature": pa.array(columns[0].astype(np.int32))}
+                | {name: pa.array(c.astype(float)) for name, c in zip(("w", "g"), columns[1:], strict=True)}
+            )
+
+    out = State()
+    for view, feature, w, g in sample.repartition(1).mapInArrow(run, "view int, feature int, w double, g double").collect():
+        if feature == -1:
+            out.curves[view] = (w, g)
+        elif feature == -2:
+            out.weight = [w, g]
+        else:
+            out.models[view].w[feature], out.models[view].g[feature] = w, g
+    given.destroy()
+    return out
+
+
+def from_each_other(pool: DataFrame, state: State, sure: float = SURE) -> State:
+    """``state`` after each model has learned all rows of ``pool`` of which the other is sure.
+
+    ``pool`` has the columns (text, source, lang, n_chars). Every task starts from the
+    given models and learns the sure rows it reads, as they come. The moves of a feature
+    are averaged over the tasks, each with the weight of the squared slopes it saw there.
+    """
+    given = pool.sparkSession.sparkContext.broadcast(state.plain())
+    least = float(np.log(sure / (1 - sure)))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        known, own = State.of(given.value), State.of(given.value).models
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                views = (text_view(row[0]), meta_view(*row))
+                for v, view in enumerate(views):
+                    odds = known.odds(v, view)
+                    if abs(odds) >= least:
+                        label = int(odds > 0)
+                        own[1 - v].step(views[1 - v], label, known.weight[label])
+        for v, (model, old) in enumerate(zip(own, known.models, strict=True)):
+            gain = model.g - old.g
+            at = np.flatnonzero(gain > 0)
             yield pa.RecordBatch.from_pydict(
-                {"view": pa.array([v] * len(numbers), pa.int32()), "feature": pa.array(numbers, pa.int32()), "weight": pa.array(weights, pa.float64())}
+                {
+                    "view": pa.array([v] * len(at), pa.int32()),
+                    "feature": pa.array(at.astype(np.int32)),
+                    "moved": pa.array((model.w - old.w)[at]),
+                    "gain": pa.array(gain[at]),
+                }
             )
 
-    return sample.repartition(1).mapInArrow(run, "view int, feature int, weight double")
+    parts = pool.mapInArrow(run, "view int, feature int, moved double, gain double").repartition(COMBINED, "view", "feature")
+
+    def exact(c):
+        # Decimal sums do not depend on the order in which the tasks end.
+        return F.sum(c.cast("decimal(38, 14)")).cast("double")
+
+    sums = parts.groupBy("view", "feature").agg(
+        exact(F.col("gain") * F.col("moved")).alias("moved"), exact(F.col("gain") * F.col("gain")).alias("squared"), exact(F.col("gain")).alias("gain")
+    )
+    out = State.of(state.plain())
+    for view, feature, moved, squared, gain in sums.where("gain > 0").collect():
+        out.models[view].w[feature] += moved / gain
+        out.models[view].g[feature] += squared / gain
+    given.destroy()
+    return out
 
 
 def quality_scores(
@@ -172,47 +243,44 @@ def quality_scores(
     labelled: DataFrame,
     id_col: str = "doc_id",
     labelled_rows: int = LABELLED,
-    pool_rows: int = POOL,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows ``(id, text_score, meta_score, score)`` of all rows of ``docs``, with the columns ``carry``.
 
     ``docs`` has the columns of documents (id, text, lang, source, n_chars); ``labelled``
     rows ``(id, label)`` with label 1 for good. Learns from at most ``labelled_rows``
-    labelled and ``pool_rows`` other documents, those of the least hashes. Nulls are
-    values of their own (a null text is empty); labels without a document are left out;
-    with no labels at all, or one class only, the scores say nothing but keep their range.
+    labelled documents, those of the least hashes, and in every round from all other rows
+    of ``docs`` of which a model is sure, also those without an id; labels beyond the
+    sample are not looked at. Nulls are values of their own (a null text is empty); labels
+    without a document are left out; with no labels at all, or one class only, no labels
+    are handed over and the scores say nothing but keep their range.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("_id"), "text", "source", "lang", "n_chars")
-    few = bounded_sample(labelled.select(F.col(id_col).alias("_id"), "label").dropna(), "_id", labelled_rows)
-    others = own.select("_id").dropna().join(labelled.select(F.col(id_col).alias("_id")), "_id", "left_anti")
-    pool = bounded_sample(others, "_id", pool_rows).select("_id", F.lit(None).cast("int").alias("label"))
-    chosen = few.unionByName(pool).distinct()
-    sample = own.join(F.broadcast(chosen), "_id").select(
-        F.crc32(F.col("_id").cast("string").cast("binary")).alias("_key"), "text", "source", "lang", "n_chars", "label"
+    few = bounded_sample(labelled.select(F.col(id_col).alias("_id"), "label").dropna(), "_id", labelled_rows).distinct()
+    sample = stored(
+        own.join(F.broadcast(few), "_id").select(
+            "_id", F.crc32(F.col("_id").cast("string").cast("binary")).alias("_key"), "text", "source", "lang", "n_chars", "label"
+        ),
+        "labelled",
     )
-    weights: list[dict[int, float]] = [{}, {}]
-    for r in fit(sample).toLocalIterator():
-        weights[r["view"]][r["feature"]] = r["weight"]
-    held = spark.sparkContext.broadcast(weights)
+    pool = own.join(F.broadcast(sample.select("_id").distinct()), "_id", "left_anti").drop("_id")
+    state = from_labels(sample, State(), 0)
+    for turn in range(1, ROUNDS + 1):
+        if state.weight is not None:
+            state = from_each_other(pool, state)
+        state = from_labels(sample, state, turn)
+    discard(sample)
+    held = spark.sparkContext.broadcast(state.plain())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def start():
-        sizes, models, curves = (1 << BITS, CATEGORIES + DENSE), [], []
-        for size, known in zip(sizes, held.value, strict=True):
-            model = Logistic(size)
-            for k, w in known.items():
-                if k >= -1:
-                    model.w[k] = w
-            models.append(model)
-            curves.append((known.get(-2, 1.0), known.get(-3, 0.0)))
+        state = State.of(held.value)
 
         def step(ids, texts, sources, langs, sizes):
             out: list[list] = [[], [], []]
             for text, source, lang, size in zip(texts, sources, langs, sizes, strict=True):
-                margins = (models[0].margin(text_view(text)), models[1].margin(meta_view(text, source, lang, size)))
-                odds = [a * m + b for m, (a, b) in zip(margins, curves, strict=True)]
+                odds = [state.odds(0, text_view(text)), state.odds(1, meta_view(text, source, lang, size))]
                 for column, x in zip(out, (*odds, sum(odds) / 2), strict=True):
                     column.append(float(1 / (1 + np.exp(-np.clip(x, -35, 35)))))
             return ids, *out

@@ -115,3 +115,22 @@ def test_quality_rows(spark):
         rows = quality_scores(docs, known).collect()
         assert len(rows) == len(texts) and all(0 <= r.score <= 1 for r in rows)
     assert quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_quality_pool_is_the_corpus(spark):
+    """A kind of page beyond any fixed pool, without labels, is learned from the other view."""
+    rng = random.Random(21)
+    good, bad = ["meadow river", "harbour lantern"], ["casino jackpot", "prize bonus"]
+
+    def text(words, extra):
+        return " ".join(rng.choice(words) for _ in range(12)) + extra
+
+    rows = [(k, text((bad, good)[k % 2], ""), "en", ("spam", "press")[k % 2], 100) for k in range(400)]
+    # The only 12 pages of two rare kinds hide in 9,000 unlabelled ones; the source tells what they are.
+    rows += [(1000 + k, text((bad, good)[k % 2], ""), "en", ("spam", "press")[k % 2], 100) for k in range(9000)]
+    rows += [(20_000 + k, (" zqzq" * 30, " vjvj" * 30)[k % 2], "en", ("spam", "press")[k % 2], 100) for k in range(12)]
+    probe = [(30_000 + k, (" zqzq" * 30, " vjvj" * 30)[k % 2], "en", "other", 100) for k in range(2)]
+    docs = spark.createDataFrame(rows + probe, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id bigint, label int")
+    scores = {r.doc_id: r.text_score for r in quality_scores(docs, labels).where("doc_id >= 30000").collect()}
+    assert scores[30_001] - scores[30_000] > 0.3
