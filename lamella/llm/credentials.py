@@ -23,16 +23,37 @@ KINDS = ("assign", "access", "hex")
 ORDER = (*KINDS, "guess")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Names of credentials for the method; the value ends at white space, quotes or closing marks.
+#: Names of credentials for the method, with a suffix such as _PROD, up to where the value
+#: begins; a scheme word before the value is passed over. ``bearer`` needs no mark after it.
+NAME = (
+    r"""(?ai:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|(?:api|access|private|secret|auth|encryption)[_-]?key"""
+    r"""|client[_-]?secret|auth(?:orization)?|credentials?|bearer)(?:(?:[_.\-0-9]|(?<=[a-z])[A-Z])[A-Za-z0-9_.-]{0,32}+)?"""
+)
+SCHEME = r"""(?P<{}>(?ai:bearer|basic|token|digest|apikey)[\x20\t]+)?"""
 CONTEXT = (
-    r"""((?ai:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|(?:api|access|private|secret|auth|encryption)[_-]?key"""
-    r"""|client[_-]?secret|auth(?:orization)?|credentials?|bearer))["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["'`]?"""
-    r"""([^\s"'`<>,;(){}\[\]|]+)"""
+    rf"""(?:{NAME}["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*{SCHEME.format("scheme")}|(?P<bare>\b(?ai:bearer)[\x20\t]+))"""
+)
+#: A value up to its closing quote, or up to white space, quotes and tags if those are near.
+QUOTED = rf"""(["'`]){SCHEME.format("inner")}((?:(?!\1)[^\n])+)\1"""
+BARE = r"""["'`]?([^\s"'`<>]{1,512}+)(?![^\s"'`<>])"""
+#: The part of a bare value before a closing mark, and marks at its end.
+SHORT = r"""["'`]?([^\s"'`<>,;(){}\[\]|]*)"""
+MARKS = ".:,;(){}[]|"
+#: A bare value that goes on in the code around it: a call, an index, or a further named value.
+CODE = r"[A-Za-z_][\w.]*[(\[{].*|.*[,;(){}\[\]|][\w.-]+(?::=|=>|[:=]).*"
+#: Pieces with a vowel and without a long run of consonants, of one letter case or with a
+#: capital, each with a number at most: words, names and paths, not random characters.
+WORDLIKE = (
+    r"(?:(?=[a-z]*[aeiouyAEIOUY]|[A-Z][a-z]*[aeiouy]|[A-Z]*[AEIOUY])(?![a-zA-Z]?[b-df-hj-np-tv-xz]{5})"
+    r"(?:[A-Z]?[a-z]{2,}|[A-Z]{3,})(?:(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z]))\d*+|\d++)"
 )
+WORDLIKE = rf"[^\w\s]*{WORDLIKE}(?:[^\w]*_*{WORDLIKE})*+[^\w\s]*"
+
 #: A text without any of these, in lower case, has neither base assignments nor contexts.
 CUES = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
 
-#: A value is a secret from this many guesses (log10) and characters on.
+#: A value is a secret from this many characters and guesses (log10) on: GUESSES if it is made
+#: of words, or else as many as LENGTH unknown characters take.
 GUESSES = 10.0
 LENGTH = 8
 
@@ -132,6 +153,7 @@ class Scanner:
     def __init__(self, guesses: float = GUESSES, length: int = LENGTH):
         self.guesses, self.length = guesses, length
         self.assign, self.context = re.compile(ASSIGN), re.compile(CONTEXT)
+        self.quoted, self.bare, self.short, self.code, self.wordlike = map(re.compile, (QUOTED, BARE, SHORT, CODE, WORDLIKE))
         # The runs of ACCESS and HEX are maximal, so the least length may be asked for at once.
         self.access = re.compile(f"{ACCESS[:-1]}{{{LEAST['access'] - 4},}}")
         self.hex = re.compile(f"{HEX[:-1]}{{{LEAST['hex']},}}")
@@ -147,13 +169,41 @@ class Scanner:
 
     def guessed(self, text: str) -> list[tuple[int, int, str]]:
         """Values in a credential context that take many guesses."""
-        found = []
+        found, end = [], 0
         for m in self.context.finditer(text):
-            value = m[2].rstrip(".:!?")
-            if len(value) >= self.length and guess_cost(value) >= self.guesses:
-                found.append((m.start(2), m.start(2) + len(value), "guess"))
+            if m.start() < end:
+                continue  # inside a value that was judged
+            for at, value, strict in self.values(text, m.end(), bool(m["scheme"] or m["bare"])):
+                if len(value) >= self.length and self.hard(value, strict):
+                    end = at + len(value)
+                    found.append((at, end, "guess"))
+                    break
+            else:
+                end = self.short.match(text, m.end()).end()
         return found
 
+    def values(self, text: str, at: int, strict: bool):
+        """What may be the value at a place, longest first: (start, value, whether words are none)."""
+        if (m := self.quoted.match(text, at)) is not None:
+            value = m[3]
+            # Words of prose in quotes are no value; its first word is judged as a bare one.
+            if not (re.search(r"\s", value) and self.wordlike.fullmatch(value)):
+                yield m.start(3), value, strict or bool(m["inner"])
+                return
+        if (m := self.bare.match(text, at)) is not None:
+            value = m[1].rstrip(MARKS)
+            if self.wordlike.fullmatch(value):
+                value = value.rstrip("!?" + MARKS)
+            if not self.code.fullmatch(value):
+                yield m.start(1), value, strict
+        m = self.short.match(text, at)
+        yield m.start(1), m[1].rstrip(".:!?"), strict
+
+    def hard(self, value: str, strict: bool) -> bool:
+        if self.wordlike.fullmatch(value):
+            return not strict and guess_cost(value) >= self.guesses
+        return guess_cost(value) >= min(self.guesses, self.length * BRUTE)
+
     def scan(self, text: str) -> list[tuple[int, int, str]]:
         """All spans (start, end, kind) by start."""
         low = text.lower()
@@ -168,8 +218,8 @@ def find_secrets(
     """Rows ``(id, spans, hardest)``, one per row of ``docs``.
 
     ``spans`` is an array of (kind, start, end) in code points by start: the base kinds,
-    and ``guess`` for a credential value of at least ``guesses`` (log10) and ``length``
-    characters. ``hardest`` is the greatest guess cost of the guessed values, else null.
+    and ``guess`` for a credential value of at least ``length`` characters and ``guesses``
+    (log10), or for a value that is not made of words as many as ``length`` unknown characters. ``hardest`` is the greatest guess cost of the guessed values, else null.
     Null and empty texts have no spans; repeated rows are scanned each; a null id stays
     null.
     """

@@ -83,3 +83,64 @@ def test_long_value_is_linear():
     assert guess_cost("aB3$" + "xk9Q" * 5000 + "!") > 4
     assert time.time() - start < 10
     assert Scanner().scan("token=" + "q7" * 20000)
+
+
+def guessed(text):
+    return [text[a:b] for a, b, _ in Scanner().guessed(text)]
+
+
+def test_common_forms_of_secrets():
+    for text, value in {
+        "pwd: xK9#mQ2!": "xK9#mQ2!",
+        "passphrase: T7#kQz!9": "T7#kQz!9",
+        'pwd="k9(Vx;2Lp#Qz7"': "k9(Vx;2Lp#Qz7",
+        "pwd = 'k9<Vx |2Lp#Qz7' # x": "k9<Vx |2Lp#Qz7",
+        "password = aB3,xY9!kLm2": "aB3,xY9!kLm2",
+        "(pwd: aB3,xY9!kLm2), next": "aB3,xY9!kLm2",
+        "f(pwd=aB3xY9!kLm2,user=root)": "aB3xY9!kLm2",
+        "f(pwd=short,token=aB3xY9!kLm2)": "aB3xY9!kLm2",
+        "Authorization: Bearer q8Zk2LmP0xVb73TnR": "q8Zk2LmP0xVb73TnR",
+        '"Authorization": "Basic q8Zk2LmP0xVb73TnR"': "q8Zk2LmP0xVb73TnR",
+        "send bearer q8Zk2LmP0xVb73TnR": "q8Zk2LmP0xVb73TnR",
+        "DB_PASSWORD_PROD=x!9Kd$2Qw#7p": "x!9Kd$2Qw#7p",
+        "dbPasswordProd: x!9Kd$2Qw#7p": "x!9Kd$2Qw#7p",
+    }.items():
+        assert guessed(text) == [value], text
+
+
+def test_words_dates_repeats_and_walks_stay():
+    for text in (
+        "password: something!",
+        "secret: chapter12",
+        "pwd = getToken(user)",
+        "passage: xK9#mQ2!",
+        "author: Wilhelmina",
+        "pwd: 12/05/1987",
+        "pwd: aaaaaaaaaaaa",
+        "pwd: abcabcabcabc",
+        "pwd: qwertyuiop",
+        "pwd: 12345678",
+        "the bearer certificates of the company",
+        "Authorization: Basic information",
+        'secret: "Nobody knows what happened there"',
+    ):
+        assert guessed(text) == [], text
+
+
+def test_random_values_of_least_length():
+    import random
+    import string
+
+    rng = random.Random(5)
+    marks = string.ascii_letters + string.digits + "#$%&*+-@^~"
+    values = ["".join(rng.choices(marks, k=8)) for _ in range(300)]
+    assert sum(guessed(f"pwd: {v} x") != [] for v in values) > 0.9 * len(values)
+
+
+def test_many_contexts_are_linear():
+    import time
+
+    start = time.time()
+    for text in ("pwd='" * 5000, 'token="a' * 5000, "password:" * 5000, "pass" + "_" * 25_000, "pwd: " + "Ab" * 12_000 + "!", "pwd: " + "abc_" * 12_000 + "#", "token:a,token:(b," * 2500, "pwd: abc" + "1" * 500 + "%x", 'pwd: "' + "abc1 " * 5000 + '#x"'):
+        Scanner().guessed(text)
+    assert time.time() - start < 20
