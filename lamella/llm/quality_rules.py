@@ -32,7 +32,10 @@ MIN_CHARS = 200
 MIN_WORDS = 60
 #: Greatest Jensen-Shannon distances (0 to 1) of a kept document.
 MAX_CLASS_DISTANCE = 0.33
+#: Of the query and its SQL. A text without common words has a distance of about 0.33.
 MAX_WORD_DISTANCE = 0.36
+#: Elsewhere: share of the distance that a text without common words has to the reference.
+WORD_SHARE = 0.95
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -168,24 +171,33 @@ def quality_rules(
     text_col: str = "text",
     lang_col: str = "lang",
     max_class_distance: float = MAX_CLASS_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
+    max_word_distance: float | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: base counts, distances (null where a guard holds) and the verdict.
 
     Null and empty texts have no words and fail the base rule. A null or other language
     has no reference and passes the divergence rules, as do texts shorter than MIN_CHARS
     or MIN_WORDS. References are one row per language with a word list, so their
-    broadcast is bounded by that list.
+    broadcast is bounded by that list. Unless ``max_word_distance`` is given, the limit of
+    the word distance is WORD_SHARE of what a text without common words has to the
+    reference of its language.
     """
+    none = F.array(*[F.lit(0.0)] * 16, F.lit(1.0))
     rows = stored(measured(docs, id_col, text_col, lang_col), "quality")
-    with_reference = rows.join(F.broadcast(references(rows)), "_lang", "left")
+    if max_word_distance is None:
+        # A reference without common words asks for none: its limit is null.
+        far = js_distance(none, F.col("_common_reference"))
+        limit = F.when(far > 0, far * WORD_SHARE)
+    else:
+        limit = F.lit(max_word_distance)
+    with_reference = rows.join(F.broadcast(references(rows).withColumn("_limit", limit)), "_lang", "left")
     scored = with_reference.withColumn(
         "class_distance", F.when(F.col("word_chars") >= MIN_CHARS, js_distance(F.col("_classes"), F.col("_class_reference")))
     ).withColumn(
         "word_distance", F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("_common"), F.col("_common_reference")))
     )
-    odd = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (
-        F.coalesce("word_distance", F.lit(0.0)) > max_word_distance
+    odd = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | F.coalesce(
+        F.col("word_distance") > F.col("_limit"), F.lit(False)
     )
     return scored.select(
         id_col,
@@ -202,4 +214,6 @@ def quality_rules(
 
 
 def op5_quality_rules(spark, folder: str) -> DataFrame:
-    return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
+    # The limit of its SQL, which the distance of a text without common words stays below.
+    rows = quality_rules(table(spark, folder, "documents"), max_word_distance=MAX_WORD_DISTANCE)
+    return rows.drop("class_distance", "word_distance")

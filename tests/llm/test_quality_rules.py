@@ -78,3 +78,18 @@ def test_native_plan(spark):
 
 def test_empty_table(spark):
     assert quality_rules(docs_of(spark, [])).count() == 0
+
+
+def test_text_without_common_words_goes(spark):
+    """Clean prose has a fifth of common words, as the given tables have; gibberish has none."""
+    rng = random.Random(14)
+    common = "the of and to in a is that it for was on with as by at".split()
+
+    def page(share):
+        return " ".join(rng.choice(common) if rng.random() < share else "".join(rng.choices("abcdefgh", k=6)) for _ in range(400))
+
+    texts = [page(0.2) for _ in range(60)] + [page(0.0), page(0.0)]
+    df = docs_of(spark, texts).withColumn("lang", F.lit("en"))
+    rows = {r.doc_id: r for r in quality_rules(df).collect()}
+    assert all(rows[k].kept for k in range(60))
+    assert not any(rows[k].kept or rows[k].base_failed for k in (60, 61))
