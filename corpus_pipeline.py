@@ -27,8 +27,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group: the one with the least id.
 
-    Rows that repeat an id are one document, of which the least text stays. Rows without
-    an id cannot be grouped and stay.
+    Rows that repeat an id are one document, of which the greatest text stays, so that no
+    null or empty one takes the place of a real one. Rows without an id cannot be grouped
+    and stay.
     """
     own = docs.select(*COLUMNS)
     groups = stored(jaccard.jaccard_components(own), "groups").where(F.col("doc_id").isNotNull())
@@ -37,7 +38,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # Only documents that may be copies or repeated rows are joined and shuffled.
     marked = jaccard.with_maybe(own, copies.unionByName(repeated).select(F.col("doc_id").alias("id")), "doc_id")
     rest = marked.where("_maybe").select(*COLUMNS).join(copies, "doc_id", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
     one = rest.withColumn("_turn", turn).where("_turn = 1")
     return marked.where("NOT _maybe").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 

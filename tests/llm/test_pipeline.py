@@ -83,3 +83,11 @@ def test_empty_documents(spark):
     docs = docs_of(spark, [])
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SMALL).count() == 0
+
+
+def test_real_text_of_a_repeated_id_stays(spark):
+    data = [(1, None), (1, "one two three four five six"), (1, ""), (2, ""), (2, "seven eight nine ten eleven twelve")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").select(
+        "*", *[F.lit(None).cast(t).alias(n) for n, t in (("lang", "string"), ("source", "string"), ("n_chars", "bigint"))]
+    )
+    assert rows(cp.jaccard_join(spark, df, SMALL)) == [data[1], data[4]]
