@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import rings as rg
@@ -124,22 +124,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating star rounds: each joins every node's greater neighbours, then its lesser
     ones, to the least node around it, which shortens paths geometrically. A round needs
     per-node minima (combined before the shuffle) and ends in stored rows, so neither
-    the lineage nor any single group grows. It is done when every edge leads from a
-    node's only neighbour, the least of its component; the driver sees just that.
+    the lineage nor any single group grows. It is one job: while its edges are written
+    their number and checksum are observed, and a round that changes neither is the last.
     """
-    e = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
-    now = durable(edges.where(F.col("a") != F.col("b")).select(*e).distinct())
-    while not _are_stars(now):
-        now = durable(_small_star(_large_star(now)))
+    now, seen = _observed(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+    while seen[0]:
+        before = seen
+        now, seen = _observed(_small_star(_large_star(now)))
+        if seen == before:
+            break
     leaves = now.select(F.col("hi").alias("id"), F.col("lo").alias("label"))
     return leaves.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("label")).distinct())
 
 
-def _are_stars(e: DataFrame) -> bool:
-    """Whether each upper end has one edge and no lower end is an upper end."""
-    if not e.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return False
-    return e.join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
+def _observed(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored edges, with their number and a checksum that is observed as they are written."""
+    seen = Observation()
+    digest = F.xxhash64("lo", "hi")
+    total = F.sum(digest.cast("decimal(38,0)"))
+    kept = durable(e.observe(seen, F.count("*").alias("n"), F.bit_xor(digest).alias("x"), total.alias("s")))
+    got = seen.get
+    return kept, (got["n"], got["x"], got["s"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:
