@@ -35,6 +35,8 @@ def tuned(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Splitting a hot join key is worth an extra shuffle behind it.
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
@@ -96,6 +98,27 @@ def discard(df: DataFrame) -> None:
     place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: A key with this share of the rows is joined apart, so at most as many keys as its inverse are.
+HOT_SHARE = 1 / 2000
+
+
+def joined_hot(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key``, of which ``side`` holds one row per value.
+
+    Values that hold more than ``HOT_SHARE`` of all rows, 2,000 at most, are joined by
+    broadcast, where their rows lie; the rest is shuffled, with no value that fills a task.
+    ``counts`` gives (key, n) where that is known. ``rows`` and ``side`` are read twice and
+    should be stored.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") > rows.count() * HOT_SHARE).select(key)
+    hot = side.join(F.broadcast(often), key, "left_semi")
+    rest = rows.join(F.broadcast(often), key, "left_anti").join(side, key)
+    columns = [*rows.columns, *[c for c in side.columns if c != key]]
+    return rest.select(*columns).unionByName(rows.join(F.broadcast(hot), key).select(*columns))
+
+
 def bucket_of(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the fold of a row."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod

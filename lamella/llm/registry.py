@@ -12,6 +12,7 @@ from lamella.llm.oracles import DECONTAMINATION, JACCARD, QUALITY_RULES
 from lamella.llm.packing import op7_packing
 from lamella.llm.quality_rules import op5_quality_rules
 from lamella.llm.credentials import op1_secrets
+from lamella.llm.simhash import op11_simhash_components
 from lamella.llm.token_counts import op10_token_counts
 from lamella.llm.toxicity import op3_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op11_simhash_components": op11_simhash_components,
     "pipeline": corpus_pipeline.run,
 }
 #: The other operators learn a model, call a tokenizer or add findings of a program; tests

@@ -17,7 +17,7 @@ ROOT = pathlib.Path(__file__).parent.parent.parent
 def test_registered():
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 12)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
