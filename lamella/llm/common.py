@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.session import scratch_path
@@ -91,6 +91,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """A :func:`stored` result with its number of rows as ``n_rows``, counted as it is written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count("*").alias("n")), name)
+    out.n_rows = seen.get["n"]
+    return out
+
+
+def bounded_rows(df: DataFrame, name: str) -> Iterator[Row]:
+    """The rows of a result that is bounded by constants, such as a model's weights.
+
+    It is made where its partitions are and stored; one small task then brings it to the
+    driver, where an iterator over the partitions would run a job for each.
+    """
+    kept = stored(df, name)
+    yield from kept.coalesce(1).toLocalIterator()
+    discard(kept)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a :func:`stored` result that nothing lazy depends on any more."""
     context = df.sparkSession.sparkContext

@@ -124,3 +124,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND NOT coalesce(n_words >= {MIN_WORDS} AND {_js("q", "rq")} > {MAX_WORD_DISTANCE}, FALSE) AS kept
 FROM rows LEFT JOIN refs USING (lang)
 """
+
+HARD_NEGATIVES = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+s AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+           CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+    FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+),
+p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+),
+n AS (
+    SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS place
+    FROM p JOIN s ON p.anchor_id = s.anchor_id
+    WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE place <= 10
+"""

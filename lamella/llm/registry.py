@@ -5,11 +5,13 @@ from __future__ import annotations
 import corpus_pipeline
 from lamella.llm.cotraining import op6_quality_cotraining
 from lamella.llm.decontamination import op8_decontamination
+from lamella.llm.hard_negatives import op13_hard_negatives
 from lamella.llm.jaccard import op9_jaccard_join
 from lamella.llm.languages import op4_language_mixture
 from lamella.llm.licenses import op2_licenses
-from lamella.llm.oracles import DECONTAMINATION, JACCARD, QUALITY_RULES
+from lamella.llm.oracles import DECONTAMINATION, HARD_NEGATIVES, JACCARD, QUALITY_RULES
 from lamella.llm.packing import op7_packing
+from lamella.llm.periodic_runs import op12_periodic_runs
 from lamella.llm.quality_rules import op5_quality_rules
 from lamella.llm.credentials import op1_secrets
 from lamella.llm.simhash import op11_simhash_components
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
     "op11_simhash_components": op11_simhash_components,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 #: The other operators learn a model, call a tokenizer or add findings of a program; tests
@@ -36,6 +40,7 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY_RULES,
     "op8_decontamination": DECONTAMINATION,
     "op9_jaccard_join": JACCARD,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
