@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from lamella.functions import rings as rg
 from lamella.functions.names import fov_file_name
+from lamella.operators import meeting as mt
 from lamella.operators import spatial as sp
+from lamella.operators.contours import outlines
 from lamella.session import durable
 
 
@@ -63,21 +65,11 @@ def region_bboxes(points: DataFrame) -> DataFrame:
     )
 
 
-def _shapes(regions: DataFrame, prefix: str, name: str, keys: Sequence[str]) -> DataFrame:
-    es = rg.region_edges(F.col("rings"))
-    box = rg.ring_bbox(F.flatten(F.col("rings")))
-    rows = regions.select(*keys, F.col(name).alias(f"{prefix}id"), es.alias(f"{prefix}e"), *[c.alias(f"{prefix}{k}") for k, c in box.items()])
-    return rows.where(F.size(f"{prefix}e") > 0)
-
-
-def touching_regions(regions: DataFrame, size: float = 512.0) -> DataFrame:
+def touching_regions(regions: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of one slide and channel that touch, overlap or contain."""
     keys = ["slide_name", "biomarker"]
-    pairs = sp.overlap_pairs(
-        _shapes(regions, "l_", "id", keys), _shapes(regions, "r_", "id", keys), keys, size, F.col("l_id") < F.col("r_id")
-    )
-    meet = rg.regions_meet(F.col("l_e"), F.col("r_e"))
-    return pairs.where(meet).select(*keys, F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    pairs = mt.meeting_pairs(regions, regions, keys, F.col("l_id") < F.col("r_id"))
+    return pairs.select(*keys, F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
 def select_regions_in_rect(regions: DataFrame, x: float, y: float, w: float, h: float) -> DataFrame:
@@ -90,13 +82,11 @@ def select_regions_in_rect(regions: DataFrame, x: float, y: float, w: float, h:
     return regions.where(near & (F.size(es) > 0)).where(rg.regions_meet(es, rect))
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, size: float = 512.0) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(point_id, region id) where the point of the slide lies in the region's fill."""
-    shapes = _shapes(regions, "r_", "id", ["slide_name"])
-    at = points.select("slide_name", "point_id", "px", "py", *[F.col(f"p{k}").alias(f"l_{k}{n}") for k in "xy" for n in (1, 2)])
-    pairs = sp.overlap_pairs(at, shapes, ["slide_name"], size)
-    inside = rg.point_in_edges(F.col("r_e"), F.col("px"), F.col("py"))
-    return pairs.where(inside).select("slide_name", "point_id", F.col("r_id").alias("id"))
+    at = points.select("slide_name", "point_id", "px", "py").distinct()
+    inside = mt.points_inside(at, regions, ["slide_name"])
+    return inside.select("slide_name", "point_id", F.col("rid").alias("id"))
 
 
 def hit_test(points: DataFrame, markers: DataFrame, regions: DataFrame, fovs: DataFrame, radius: float) -> DataFrame:
@@ -301,15 +291,20 @@ def mask_files(masks: DataFrame, fovs: DataFrame) -> DataFrame:
 
 
 def component_edges(regions: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect touching regions, without all pairs among exact copies.
+    """Edges (a, b) that connect the regions of a slide and channel as all touching pairs do.
 
-    Copies of one geometry hang on the copy of the least id, and only that one is tested
-    against other regions.
+    Boundaries are connected first, ring by ring and cell by cell, by spanning forests. A
+    connected group of boundaries then lies inside another region, or outside of it, as a
+    whole, so one point of each group decides on containment. Neither step forms the pairs
+    of a crowd.
     """
-    alike = ["slide_name", "biomarker", "rings"]
-    first = regions.groupBy(*alike).agg(F.min("id").alias("id"))
-    copies = regions.join(first.withColumnRenamed("id", "a"), alike).select("a", F.col("id").alias("b"))
-    return touching_regions(first).select("a", "b").unionByName(copies.where("a <> b"))
+    keys = ["slide_name", "biomarker"]
+    links = durable(mt.ring_links(mt.region_edges(regions, keys), keys))
+    groups = connected_components(links)
+    later = groups.where("id <> label").select("id.id", "id.ring")
+    points = mt.ring_points(regions, keys).join(later, ["id", "ring"], "left_anti")
+    inside = mt.points_inside(points, regions, keys).select(F.col("id").alias("a"), F.col("rid").alias("b"))
+    return links.select("a.id", F.col("b.id").alias("b")).toDF("a", "b").unionByName(inside).where("a <> b").distinct()
 
 
 def merge_regions(regions: DataFrame) -> dict[str, DataFrame]:
@@ -318,8 +313,9 @@ def merge_regions(regions: DataFrame) -> dict[str, DataFrame]:
     ``members`` lists (slide_name, biomarker, label, id) of the regions that go;
     ``merged`` holds one row per new region with the attributes of its first member in
     load order (``created_at`` where the regions have it, then the id), the number of
-    members and the pixels; ``runs`` holds its mask. The label is the least member id.
-    Regions that touch none are in none of the three.
+    members, the pixels and the ``rings`` of its outline, whose fill is its mask; ``runs``
+    holds the mask. The label is the least member id. Regions that touch none are in none
+    of the three.
     """
     regions = durable(regions)
     labels = durable(connected_components(component_edges(regions)))
@@ -333,7 +329,21 @@ def merge_regions(regions: DataFrame) -> dict[str, DataFrame]:
         F.min_by(F.struct(F.col("id").alias("first_id"), *own), order).alias("_first"), F.count("*").alias("n_members")
     )
     named = first.select("label", *[F.col("_first")[c].alias(c) for c in ("first_id", *own)], "n_members")
-    return {"members": members, "merged": named.join(pixel_count(runs, ["label"]), "label", "left"), "runs": runs}
+    shapes = pixel_count(runs, ["label"]).join(outlines(runs, ["label"]), "label")
+    return {"members": members, "merged": named.join(shapes, "label", "left"), "runs": runs}
+
+
+def merged_regions(regions: DataFrame, merge: dict[str, DataFrame]) -> DataFrame:
+    """``regions`` after :func:`merge_regions`: the members replaced by the merged regions.
+
+    A merged region is a region like any other: it can be saved, exported, cut and merged
+    again. Its id is derived from the least id of its members; one without a single pixel
+    centre has no outline, and its members stay.
+    """
+    drawn = merge["merged"].where(F.col("rings").isNotNull())
+    gone = merge["members"].join(drawn.select("label"), "label", "left_semi").select("id")
+    new = drawn.withColumn("id", F.sha2(F.concat(F.lit("merged:"), "label"), 256))
+    return regions.join(gone, "id", "left_anti").select(*regions.columns).unionByName(new.select(*regions.columns))
 
 
 def subtract_loops(regions: DataFrame, loops: DataFrame) -> dict[str, DataFrame]:
@@ -343,37 +353,30 @@ def subtract_loops(regions: DataFrame, loops: DataFrame) -> dict[str, DataFrame]
     The loops of a region count in the order of their ids. A loop that would make what is
     left of its region vanish is passed over; a region all of whose loops are passed over
     stays as it is and has no row in the result: ``counts`` holds (id, before, after),
-    ``runs`` the new masks.
+    ``runs`` the new masks and ``rings`` (id, rings) their outlines.
     """
     keys = ["slide_name", "biomarker"]
-    pairs = sp.overlap_pairs(_shapes(regions, "l_", "id", keys), _shapes(loops, "r_", "id", keys), keys, 512.0)
+    pairs = durable(mt.meeting_pairs(regions, loops, keys))
     # Both shapes are filled inside the region's own bounding box only.
-    x, y = F.floor("l_x1"), F.floor("l_y1")
-    frame = {"fov_x": x, "fov_y": y, "fov_w": F.ceil("l_x2") - x, "fov_h": F.ceil("l_y2") - y}
-    met = pairs.where(rg.regions_meet(F.col("l_e"), F.col("r_e"))).select(
-        F.col("l_id").alias("id"), F.col("r_id").alias("loop"), "l_e", "r_e", *[c.alias(k) for k, c in frame.items()]
-    )
-    met = durable(met)
-    once = met.dropDuplicates(["id"])
+    x, y = F.floor("x1"), F.floor("y1")
+    frame = {"fov_x": x, "fov_y": y, "fov_w": F.ceil("x2") - x, "fov_h": F.ceil("y2") - y}
+    boxes = mt.region_boxes(regions, keys).select("id", *[c.alias(k) for k, c in frame.items()])
+    met = pairs.select(*keys, F.col("l_id").alias("id"), F.col("r_id").alias("loop")).join(boxes, "id")
+    once = met.select("id", *frame).distinct()
     corner = once.select("id", F.col("fov_x").cast("int").alias("_x"), F.col("fov_y").cast("int").alias("_y"))
 
-    def fill(shapes: DataFrame, edges: str, by: Sequence[str]) -> DataFrame:
-        rows = shapes.select(*by, *frame, F.explode(edges).alias("e")).select(*by, *frame, "e.*")
+    def fill(shapes: DataFrame, edges: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
+        rows = shapes.join(edges.select(*on, *mt.SIDES), list(on)).select(*by, *frame, *mt.SIDES)
         return rasterize(rows, by, frame=True)
 
-    old = durable(fill(once, "l_e", ["id"]))
-    holes = durable(fill(met, "r_e", ["id", "loop"]))
+    old = durable(fill(once, mt.region_edges(regions, []), ["id"], ["id"]))
+    cuts = mt.region_edges(loops, keys).withColumnRenamed("id", "loop")
+    holes = durable(fill(met, cuts, [*keys, "loop"], ["id", "loop"]))
     cut = durable(subtract_runs(old, union_runs(holes.drop("loop"), ["id"]), ["id"]))
-    # Only regions that all their loops together would erase go on loop by loop.
+    # Regions that all their loops together would erase are cut loop by loop.
     erased = durable(old.select("id").distinct().join(cut.select("id").distinct(), "id", "left_anti"))
     if not erased.isEmpty():
-        left = old.join(erased, "id", "left_semi")
-        turn = F.row_number().over(Window.partitionBy("id").orderBy("loop"))
-        turns = durable(met.join(erased, "id", "left_semi").select("id", "loop", turn.alias("_turn")))
-        cuts = holes.join(turns, ["id", "loop"])
-        for k in range(1, turns.agg(F.max("_turn")).first()[0] + 1):
-            tried = durable(subtract_runs(left, cuts.where(F.col("_turn") == k).select(*old.columns), ["id"]))
-            left = durable(tried.unionByName(left.join(tried.select("id").distinct(), "id", "left_anti")))
+        left = durable(_cut_in_turn(old.join(erased, "id", "left_semi"), holes.join(erased, "id", "left_semi")))
         sizes = pixel_count(left, ["id"]).join(pixel_count(old, ["id"]).withColumnRenamed("pixels", "_old"), "id")
         cut = cut.unionByName(left.join(sizes.where("pixels < _old"), "id", "left_semi"))
     before = pixel_count(old, ["id"]).withColumnRenamed("pixels", "before")
@@ -381,4 +384,42 @@ def subtract_loops(regions: DataFrame, loops: DataFrame) -> dict[str, DataFrame]
     placed = cut.join(corner, "id").select(
         "id", (F.col("row") + F.col("_y")).alias("row"), *[(F.col(c) + F.col("_x")).alias(c) for c in ("x0", "x1")]
     )
-    return {"counts": before.join(after, "id"), "runs": placed}
+    placed = durable(placed)
+    return {"counts": before.join(after, "id"), "runs": placed, "rings": outlines(placed, ["id"])}
+
+
+def _cut_in_turn(runs: DataFrame, holes: DataFrame) -> DataFrame:
+    """Runs (id, row, x0, x1) after the loops of ``holes`` (also: loop) in their order, passing
+    over each loop that would leave nothing; every pixel lies in some loop.
+
+    What happens to a pixel depends only on the set of loops that hold it. Runs are cut
+    where that set changes, and one fold per region over its loops, on the distinct sets,
+    tells which sets are left at the end.
+    """
+    by = ["id", "row"]
+    ends = runs.unionByName(holes.select(*runs.columns)).select(*by, F.explode(F.array("x0", F.col("x1") + 1)).alias("x0")).distinct()
+    pieces = ends.withColumn("_end", F.lead("x0").over(Window.partitionBy(*by).orderBy("x0"))).where(F.col("_end").isNotNull())
+    pieces = pieces.select(*by, "x0", (F.col("_end") - 1).alias("x1"))
+
+    def within(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select(*by, F.col("x0").alias(f"{name}0"), F.col("x1").alias(f"{name}1"), *more)
+
+    own = pieces.join(within(runs, "r"), by).where("r0 <= x0 AND x1 <= r1").select(*by, "x0", "x1")
+    held = own.join(within(holes, "h", "loop"), by).where("h0 <= x0 AND x1 <= h1")
+    held = durable(held.groupBy(*by, "x0", "x1").agg(F.array_sort(F.collect_set("loop")).alias("loops")))
+    sets = held.groupBy("id").agg(F.collect_set("loops").alias("sets"))
+
+    def turn(left: Column, loop: Column) -> Column:
+        rest = F.filter(left, lambda s: ~F.array_contains(s, loop))
+        return F.when(F.size(rest) > 0, rest).otherwise(left)
+
+    order = F.array_sort(F.array_distinct(F.flatten("sets")))
+    kept = held.join(sets.select("id", F.aggregate(order, F.col("sets"), turn).alias("left")), "id")
+    return union_runs(kept.where(F.array_contains("left", F.col("loops"))).select(*by, "x0", "x1"), ["id"])
+
+
+def cut_regions(regions: DataFrame, cut: dict[str, DataFrame]) -> DataFrame:
+    """``regions`` after :func:`subtract_loops`: those that were cut have their new rings."""
+    new = cut["rings"].withColumnRenamed("rings", "_rings")
+    drawn = F.coalesce("_rings", "rings").alias("rings")
+    return regions.join(new, "id", "left").select(*[drawn if c == "rings" else c for c in regions.columns])

@@ -1,9 +1,11 @@
-"""Spatial joins on grid cells.
+"""Spatial joins on grid cells of several sizes.
 
 A range or overlap predicate alone would make Spark compare every pair inside a slide.
-Here both sides get the grid cells they cover, the join is an equi-join on slide and
-cell, and the exact predicate stays as a residual filter. A slide with many rows is so
-spread over its cells, and AQE splits a cell that is still too large.
+Here rectangles get the cells they cover on the grid of their own size, at most four; a
+point, or a smaller rectangle, looks up its cells on every grid that the other side uses.
+The join is an equi-join on slide, grid and cell, and the exact predicate stays as a
+residual filter. A slide with many rows is so spread over its cells, AQE splits a cell
+that is still too large, and a rectangle over a whole slide costs no more than a small one.
 """
 
 from __future__ import annotations
@@ -15,45 +17,89 @@ from pyspark.sql import functions as F
 
 from lamella.functions import boxes as bx
 
+#: Cells of the finest grid in pixels, unless a caller says otherwise; grid k has cells 2 ** k
+#: times as long.
+FINEST = 1.0
+COARSEST = 40
+
 
 def cell(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(float(size))).cast("bigint")
 
 
 def on_cells(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> DataFrame:
-    """One row per grid cell the closed box touches, with ``_cx, _cy``."""
+    """One row per cell ``_cx, _cy`` of one grid that the closed box touches."""
     return df.withColumn(
         "_cx", F.explode(F.sequence(cell(x1, size), cell(x2, size)))
     ).withColumn("_cy", F.explode(F.sequence(cell(y1, size), cell(y2, size))))
 
 
+def grid_of(x1: Column, y1: Column, x2: Column, y2: Column, size: float = FINEST) -> Column:
+    """The finest grid whose cells are as long as the longer side of the box."""
+    side = F.greatest(x2 - x1, y2 - y1, F.lit(float(size))) / F.lit(float(size))
+    return F.least(F.ceil(F.log2(side)), F.lit(COARSEST)).cast("int")
+
+
+def _on_grid(v: Column, size: float) -> Column:
+    return F.floor(v / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_grid")))).cast("bigint")
+
+
+def grid_cells(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float = FINEST) -> DataFrame:
+    """One row per cell ``_cx, _cy`` of the grid ``_grid`` that the closed box touches."""
+    for name, low, high in (("_cx", x1, x2), ("_cy", y1, y2)):
+        df = df.withColumn(name, F.explode(F.sequence(_on_grid(low, size), _on_grid(high, size))))
+    return df
+
+
+def grids_in_use(df: DataFrame, grid: Column) -> Column:
+    """The distinct grids of ``df`` as an array: one small row that is read as a value."""
+    return df.agg(F.sort_array(F.collect_set(grid)).alias("_grids")).scalar()
+
+
 def overlap_pairs(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, residual: Column | None = None
+    left: DataFrame, right: DataFrame, keys: Sequence[str], size: float = FINEST, residual: Column | None = None
 ) -> DataFrame:
     """Pairs of rows with equal ``keys`` whose closed boxes touch.
 
     Left boxes are ``l_x1..l_y2``, right boxes ``r_x1..r_y2``; ``keys`` exist on both
-    sides and appear once in the result. A pair is found in every cell both boxes touch
-    and kept only in the lowest one, which holds the lower corner of the common part.
+    sides and appear once in the result. A pair meets on the coarser of the two boxes'
+    grids, in every cell there that both touch, and is kept in the lowest one only, which
+    holds the lower corner of the common part.
     """
-    a = on_cells(left, *bx.box("l_"), size)
-    b = on_cells(right, *bx.box("r_"), size)
-    joined = a.join(b, [*keys, "_cx", "_cy"])
+    sides = []
+    for mine, p, its, q in ((left, "l_", right, "r_"), (right, "r_", left, "l_")):
+        other = grids_in_use(its, grid_of(*bx.box(q), size))
+        own = mine.withColumn(f"{p}_grid", grid_of(*bx.box(p), size))
+        coarser = F.filter(other, lambda g, p=p: g > F.col(f"{p}_grid"))
+        dealt = own.withColumn("_grid", F.explode(F.concat(F.array(f"{p}_grid"), coarser)))
+        sides.append(grid_cells(dealt, *bx.box(p), size))
+    joined = sides[0].join(sides[1], [*keys, "_grid", "_cx", "_cy"])
     low_x = F.greatest("l_x1", "r_x1")
     low_y = F.greatest("l_y1", "r_y1")
     cond = (
-        (low_x <= F.least("l_x2", "r_x2"))
+        (F.col("_grid") == F.greatest("l__grid", "r__grid"))
+        & (low_x <= F.least("l_x2", "r_x2"))
         & (low_y <= F.least("l_y2", "r_y2"))
-        & (F.col("_cx") == cell(low_x, size))
-        & (F.col("_cy") == cell(low_y, size))
+        & (F.col("_cx") == _on_grid(low_x, size))
+        & (F.col("_cy") == _on_grid(low_y, size))
     )
     if residual is not None:
         cond = cond & residual
-    return joined.where(cond).drop("_cx", "_cy")
+    return joined.where(cond).drop("_grid", "_cx", "_cy", "l__grid", "r__grid")
+
+
+def points_in_boxes(
+    points: DataFrame, x: str, y: str, boxes: DataFrame, sides: Sequence[Column], keys: Sequence[str], size: float = FINEST
+) -> DataFrame:
+    """Candidates: points and boxes of equal ``keys`` in a common cell of the box's grid."""
+    b = grid_cells(boxes.withColumn("_grid", grid_of(*sides, size)), *sides, size)
+    p = points.withColumn("_grid", F.explode(grids_in_use(boxes, grid_of(*sides, size))))
+    p = p.withColumns({"_cx": _on_grid(F.col(x), size), "_cy": _on_grid(F.col(y), size)})
+    return p.join(b, [*keys, "_grid", "_cx", "_cy"]).drop("_grid", "_cx", "_cy")
 
 
 def markers_in_fovs(
-    markers: DataFrame, fovs: DataFrame, same_channel: bool = False, size: float = 512.0
+    markers: DataFrame, fovs: DataFrame, same_channel: bool = False, size: float = FINEST
 ) -> DataFrame:
     """Markers inside each field of view of their slide, sides included.
 
@@ -70,19 +116,14 @@ def markers_in_fovs(
         F.col("h").alias("fov_h"),
         F.col("created_at").alias("fov_created_at"),
     )
-    f = on_cells(f, F.col("fov_x"), F.col("fov_y"), F.col("fov_x") + F.col("fov_w"), F.col("fov_y") + F.col("fov_h"), size)
-    m = (
-        markers.withColumnRenamed("id", "marker_id")
-        .withColumn("_cx", cell(F.col("x"), size))
-        .withColumn("_cy", cell(F.col("y"), size))
-    )
+    sides = (F.col("fov_x"), F.col("fov_y"), F.col("fov_x") + F.col("fov_w"), F.col("fov_y") + F.col("fov_h"))
     inside = bx.in_rect(*[F.col(c) for c in ("x", "y", "fov_x", "fov_y", "fov_w", "fov_h")])
     if same_channel:
         inside = inside & (F.col("biomarker") == F.col("fov_channel"))
-    return m.join(f, ["slide_name", "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+    return points_in_boxes(markers.withColumnRenamed("id", "marker_id"), "x", "y", f, sides, ["slide_name"], size).where(inside)
 
 
-def regions_in_fovs(bboxes: DataFrame, fovs: DataFrame, size: float = 512.0) -> DataFrame:
+def regions_in_fovs(bboxes: DataFrame, fovs: DataFrame, size: float = FINEST) -> DataFrame:
     """Region bounding boxes touching a field of view of the same slide and channel.
 
     ``bboxes`` holds region_id, slide_name, biomarker, x1, y1, x2, y2.
@@ -115,7 +156,7 @@ def regions_in_fovs(bboxes: DataFrame, fovs: DataFrame, size: float = 512.0) ->
 
 
 def iou_join(
-    pred: DataFrame, gt: DataFrame, keys: Sequence[str], threshold: float = bx.IOU_THRESHOLD, size: float = 64.0
+    pred: DataFrame, gt: DataFrame, keys: Sequence[str], threshold: float = bx.IOU_THRESHOLD, size: float = FINEST
 ) -> DataFrame:
     """Prediction/truth pairs of equal ``keys`` with IoU of at least ``threshold``.
 

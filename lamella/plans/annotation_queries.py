@@ -40,15 +40,26 @@ def upgrade_region_points(t: Tables) -> DataFrame:
 
 @query(
     "save_annotations",
-    """SELECT id, slide_name, biomarker, x, CASE WHEN slide_path LIKE '%/test/%' THEN 1 ELSE 0 END AS saved FROM (
- SELECT m.id, m.slide_name, m.biomarker, CASE WHEN s.slide_path LIKE '%/test/%' THEN m.x + 1 ELSE m.x END AS x, s.slide_path
- FROM {markers} m JOIN {slides} s ON s.slide_name = m.slide_name) q WHERE NOT (slide_path LIKE '%/test/%' AND biomarker = '')""",
+    """SELECT id, type, slide_name, biomarker, CASE WHEN again THEN x + 1 ELSE x END AS x, CAST(again AS INT) AS saved, coalesce(n, 0) AS n_points FROM (
+ SELECT a.*, coalesce(s.slide_path LIKE '%/test/%', false) AS again, p.n FROM {annotations} a LEFT JOIN {slides} s ON s.slide_name = a.slide_name
+ LEFT JOIN (SELECT annotation_id, COUNT(*) AS n FROM {region_points} GROUP BY annotation_id) p ON p.annotation_id = a.id) q
+ WHERE NOT (again AND biomarker = '')""",
 )
 def save_annotations(t: Tables) -> DataFrame:
+    """Everything saved once, then some slides again with moved markers, fewer regions and fields of view."""
+    root = scratch_path(t.spark, "annotations")
+    owner = t.annotations.select(F.col("id").alias("annotation_id"), "slide_name")
+    points = t.region_points.join(owner, "annotation_id")
     slides = t.slides.where(F.contains("slide_path", F.lit("/test/"))).select("slide_name")
-    current = t.markers.select("id", "slide_name", "biomarker", "x", F.lit(0).alias("modified_at"))
-    saved = current.join(slides, "slide_name", "left_semi").where("biomarker <> ''").withColumn("x", F.col("x") + 1)
-    return an.replace_slides(current, saved, slides, F.lit(1)).withColumnRenamed("modified_at", "saved")
+    tb.save_annotations(t.annotations, points, owner, root, F.lit("2024-01-01").cast("timestamp"))
+    kept = t.annotations.join(slides, "slide_name", "left_semi").where("biomarker <> ''").withColumn("x", F.col("x") + 1)
+    left = points.join(kept.select(F.col("id").alias("annotation_id")), "annotation_id", "left_semi")
+    tb.save_annotations(kept, left, slides, root, F.lit("2024-02-01").cast("timestamp"))
+    back = tb.read_annotations(t.spark, root)
+    n = back["region_points"].groupBy(F.col("annotation_id").alias("id")).agg(F.count("*").alias("n"))
+    saved = (F.col("modified_at") > F.lit("2024-01-15").cast("timestamp")).cast("int").alias("saved")
+    rows = back["annotations"].select("id", "type", "slide_name", "biomarker", "x", saved)
+    return rows.join(n, "id", "left").withColumn("n_points", F.coalesce("n", F.lit(0))).drop("n")
 
 
 @query(

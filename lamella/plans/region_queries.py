@@ -10,7 +10,9 @@ from lamella.operators import export as ex
 from lamella.operators import regions as rn
 from lamella.operators import spatial as sp
 from lamella.plans.registry import query
+from lamella.session import durable, scratch_path
 from lamella.sources import files as fl
+from lamella.sources import tables as tb
 from lamella.sources.derived import Tables
 
 
@@ -65,6 +67,19 @@ RUNS = {
   SELECT *, CASE WHEN x0 <= MAX(x1) OVER (PARTITION BY label, yy ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {lab_runs}) a) b GROUP BY label, yy, island) c GROUP BY label""",
 }
 
+# Unions whose runs do not touch, and the corners of their outlines: run ends of a row that
+# the row above does not share.
+OUTLINES = {
+    **RUNS,
+    "lab_union": """SELECT label, yy, MIN(x0) AS x0, MAX(x1) AS x1 FROM (
+ SELECT *, SUM(fresh) OVER (PARTITION BY label, yy ORDER BY x0, x1) AS island FROM (
+  SELECT *, CASE WHEN x0 <= 1 + MAX(x1) OVER (PARTITION BY label, yy ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {lab_runs}) a) b GROUP BY label, yy, island""",
+    "corners": """SELECT label, COUNT(*) AS n_points FROM (SELECT label, y, x, s FROM (
+ SELECT label, yy AS y, x0 AS x, 0 AS s FROM {lab_union} UNION ALL SELECT label, yy, x1 + 1, 1 FROM {lab_union}
+ UNION ALL SELECT label, yy + 1, x0, 0 FROM {lab_union} UNION ALL SELECT label, yy + 1, x1 + 1, 1 FROM {lab_union}) e
+ GROUP BY label, y, x, s HAVING COUNT(*) = 1) c GROUP BY label""",
+}
+
 FOV_RUNS = {
     **GEO,
     "fov_hit": """SELECT slide_name, biomarker, fov_id, region_id, w, yy, ax + (yy + 0.5 - ay) * (bx - ax) / (by_ - ay) AS xc FROM (
@@ -194,13 +209,55 @@ def connected_components(t: Tables) -> DataFrame:
 
 @query(
     "merge_regions",
-    "SELECT r.slide_name, r.biomarker, c.label, arg_min(c.id, reverse(c.id)) AS first_id, MIN(reverse(c.id)) AS created_at, COUNT(*) AS n_members, MAX(p.pixels) AS pixels FROM {comp} c JOIN {regions} r ON r.id = c.id JOIN {lab_px} p ON p.label = c.label GROUP BY r.slide_name, r.biomarker, c.label",
-    RUNS,
+    """SELECT r.slide_name, r.biomarker, c.label, arg_min(c.id, reverse(c.id)) AS first_id, MIN(reverse(c.id)) AS created_at, COUNT(*) AS n_members, MAX(p.pixels) AS pixels,
+ CAST(MAX(o.n_points) AS INT) AS n_points, CAST(MAX(p.pixels) AS DOUBLE) AS area
+ FROM {comp} c JOIN {regions} r ON r.id = c.id JOIN {lab_px} p ON p.label = c.label JOIN {corners} o ON o.label = c.label GROUP BY r.slide_name, r.biomarker, c.label""",
+    OUTLINES,
     recursive=True,
 )
 def merge_regions(t: Tables) -> DataFrame:
     # A load order that is not the order of the ids.
-    return rn.merge_regions(region_table(t).withColumn("created_at", F.reverse("id")))["merged"]
+    merged = rn.merge_regions(region_table(t).withColumn("created_at", F.reverse("id")))["merged"]
+    # Outer rings and holes turn in opposite ways, so their areas add up to the region's.
+    area = F.aggregate(F.transform("rings", rg.ring_area), F.lit(0.0), lambda a, v: a + v)
+    return merged.withColumns({"n_points": F.size(F.flatten("rings")), "area": area}).drop("rings")
+
+
+@query(
+    "merged_region_fill",
+    "SELECT label, CAST(yy AS INT) AS row, CAST(x0 AS INT) AS x0, CAST(x1 AS INT) AS x1 FROM {lab_union}",
+    OUTLINES,
+    recursive=True,
+)
+def merged_region_fill(t: Tables) -> DataFrame:
+    """The pixel runs inside the rings of the merged regions."""
+    merged = rn.merge_regions(region_table(t))["merged"]
+    return rn.rasterize(rn.region_edge_rows(merged, ["label"]), ["label"]).select("label", "row", "x0", "x1")
+
+
+@query(
+    "saved_merged_regions",
+    """SELECT r.slide_name, r.biomarker, coalesce(sha256('merged:' || c.label), r.id) AS id, MAX(coalesce(p.pixels, q.pixels)) AS pixels
+ FROM {regions} r LEFT JOIN {comp} c ON c.id = r.id LEFT JOIN {lab_px} p ON p.label = c.label
+ LEFT JOIN (SELECT id, CAST(SUM(x1 - x0 + 1) AS BIGINT) AS pixels FROM {slide_runs} GROUP BY id) q ON q.id = r.id
+ GROUP BY r.slide_name, r.biomarker, coalesce(sha256('merged:' || c.label), r.id)""",
+    OUTLINES,
+    recursive=True,
+)
+def saved_merged_regions(t: Tables) -> DataFrame:
+    """Merged regions after saving and reading the table, and exporting and reading documents."""
+    root = scratch_path(t.spark, "merged")
+    before = region_table(t)
+    after = durable(rn.merged_regions(before, rn.merge_regions(before)))
+    points = rn.explode_region_points(after).join(after.select(F.col("id").alias("annotation_id"), "slide_name"), "annotation_id")
+    rows = after.select("id", "slide_name", "biomarker", F.lit("region").alias("type"))
+    tb.save_annotations(rows, points, rows.select("slide_name"), root, F.current_timestamp())
+    read = tb.read_annotations(t.spark, root)
+    regions = rn.assemble_regions(read["region_points"]).join(read["annotations"].select("id", "slide_name", "biomarker"), "id")
+    ex.export_regions_json(regions, f"{root}/documents")
+    drawn = fl.read_regions_json(t.spark, f"{root}/documents")
+    pixels = rn.pixel_count(rn.rasterize(rn.region_edge_rows(drawn, ["id"]), ["id"]), ["id"])
+    return drawn.select("slide_name", "biomarker", "id").join(pixels, "id", "left")
 
 
 def _covered(x1: str, y1: str, x2: str, y2: str, also: str = "") -> str:
@@ -222,10 +279,10 @@ LOOP = {
    AND greatest((e.x2-e.x1)*(l.y1-e.y1)-(e.y2-e.y1)*(l.x1-e.x1), (e.x2-e.x1)*(l.y1-e.y1)-(e.y2-e.y1)*(l.x2-e.x1), (e.x2-e.x1)*(l.y2-e.y1)-(e.y2-e.y1)*(l.x1-e.x1), (e.x2-e.x1)*(l.y2-e.y1)-(e.y2-e.y1)*(l.x2-e.x1)) >= 0)
  OR EXISTS (SELECT 1 FROM {edge} e WHERE e.id = b.id AND e.seq = 0 AND e.x1 BETWEEN l.x1 AND l.x2 AND e.y1 BETWEEN l.y1 AND l.y2)
  OR (SELECT COUNT(*) FROM {edge} e WHERE e.id = b.id AND (e.y1 > l.y1) <> (e.y2 > l.y1) AND l.x1 < (e.x2-e.x1)*(l.y1-e.y1)/(e.y2-e.y1)+e.x1) % 2 = 1""",
-    "cut": f"""SELECT id, SUM(n) AS before, SUM(n - ca) AS a, SUM(n - cb) AS b, SUM(n - ca - cb + cab) AS ab FROM (
- SELECT r.id, r.x1 - r.x0 + 1 AS n, {_covered("h.x1", "h.y1", "h.x2", "h.y2")} AS ca, {_covered("k.x1", "k.y1", "k.x2", "k.y2")} AS cb,
+    "cut_runs": f"""SELECT r.id, r.yy, r.x1 - r.x0 + 1 AS n, {_covered("h.x1", "h.y1", "h.x2", "h.y2")} AS ca, {_covered("k.x1", "k.y1", "k.x2", "k.y2")} AS cb,
   {_covered("greatest(h.x1, k.x1)", "greatest(h.y1, k.y1)", "least(h.x2, k.x2)", "least(h.y2, k.y2)", "h.x1 IS NOT NULL AND k.x1 IS NOT NULL AND ")} AS cab
- FROM {{slide_runs}} r LEFT JOIN {{hit}} h ON h.id = r.id AND h.lid = 'a' LEFT JOIN {{hit}} k ON k.id = r.id AND k.lid = 'b' WHERE h.id IS NOT NULL OR k.id IS NOT NULL) q GROUP BY id""",
+ FROM {{slide_runs}} r LEFT JOIN {{hit}} h ON h.id = r.id AND h.lid = 'a' LEFT JOIN {{hit}} k ON k.id = r.id AND k.lid = 'b' WHERE h.id IS NOT NULL OR k.id IS NOT NULL""",
+    "cut": "SELECT id, SUM(n) AS before, SUM(n - ca) AS a, SUM(n - cb) AS b, SUM(n - ca - cb + cab) AS ab FROM {cut_runs} GROUP BY id",
     # Where both loops erase a region, the first one that leaves something counts alone.
     "remaining": "SELECT id, before, CASE WHEN ab > 0 THEN ab WHEN a > 0 AND a < before THEN a WHEN b > 0 AND b < before THEN b END AS after FROM {cut}",
 }
@@ -245,6 +302,21 @@ def subtract_region(t: Tables) -> DataFrame:
     return rn.subtract_loops(region_table(t), loops(t))["counts"]
 
 
+@query(
+    "cut_region_rows",
+    """SELECT id, CAST(yy AS INT) AS row, CAST(SUM(n - CASE how WHEN 'ab' THEN ca + cb - cab WHEN 'a' THEN ca ELSE cb END) AS BIGINT) AS pixels FROM {cut_runs} r
+ JOIN (SELECT id, CASE WHEN ab > 0 THEN 'ab' WHEN a > 0 AND a < before THEN 'a' WHEN b > 0 AND b < before THEN 'b' END AS how FROM {cut}) c USING (id)
+ WHERE how IS NOT NULL GROUP BY id, yy HAVING SUM(n - CASE how WHEN 'ab' THEN ca + cb - cab WHEN 'a' THEN ca ELSE cb END) > 0""",
+    LOOP,
+)
+def cut_region_rows(t: Tables) -> DataFrame:
+    """Pixels per row inside the rings of the regions that loops have cut."""
+    before = region_table(t)
+    cut = rn.subtract_loops(before, loops(t))
+    after = rn.cut_regions(before, cut).join(cut["counts"].select("id"), "id", "left_semi")
+    return rn.pixel_count(rn.rasterize(rn.region_edge_rows(after, ["id"]), ["id"]), ["id", "row"])
+
+
 @query(
     "select_regions_in_rect",
     LOOP["hit"].replace("SELECT b.id, l.lid, l.x1, l.y1, l.x2, l.y2 FROM {bb} b JOIN {loop} l ON l.slide_name = b.slide_name AND l.biomarker = b.biomarker", "SELECT b.id FROM {bb} b JOIN (SELECT 500.0::DOUBLE AS x1, 600.0::DOUBLE AS y1, 900.0::DOUBLE AS x2, 1400.0::DOUBLE AS y2) l ON true"),

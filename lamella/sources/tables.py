@@ -30,23 +30,50 @@ SCHEMAS = {
     "evaluations": EVALUATIONS,
     "evaluation_metrics": EVALUATION_METRICS,
 }
-# Type of the one row that keeps the partition of a slide saved without annotations.
-EMPTY = ""
+#: One folder holds annotations and region points of all slides, so that one write replaces
+#: both; ``record`` tells the rows apart. The third kind is the one row that keeps the
+#: partition of a slide saved without annotations.
+STORE = "annotation_store"
+STORED = ANNOTATIONS.removesuffix(", slide_name string") + ", " + REGION_POINTS.removesuffix(", slide_name string")
+STORED += ", record string, slide_name string"
+ANNOTATION, POINT, EMPTY = "annotation", "point", "empty"
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _records(store: DataFrame, record: str, schema: str) -> DataFrame:
+    names = store.sparkSession.createDataFrame([], schema).columns
+    return store.where(F.col("record") == record).select(*names)
+
+
 def read_annotations(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """annotations, region_points and slide_paths below ``root``.
 
-    The first two are partitioned by slide_name, so a slide filter prunes folders.
+    The first two are views of the store that :func:`save_annotations` writes, which is
+    partitioned by slide_name, so a slide filter prunes folders. Roots from before it hold
+    a folder for each. A root without slide paths has none.
     """
-    tables = {n: read_table(spark, root, n) for n in ("annotations", "region_points", "slide_paths")}
-    tables["annotations"] = tables["annotations"].where(F.col("type") != EMPTY)
-    tables["region_points"] = upgrade_region_points(tables["region_points"].where(F.col("annotation_id") != EMPTY))
-    return tables
+    if _exists(spark, f"{root}/{STORE}"):
+        store = spark.read.schema(STORED).parquet(f"{root}/{STORE}")
+        tables = {"annotations": _records(store, ANNOTATION, ANNOTATIONS), "region_points": _records(store, POINT, REGION_POINTS)}
+    else:
+        tables = _separate(spark, root)
+    if _exists(spark, f"{root}/slide_paths"):
+        return tables | {"slide_paths": read_table(spark, root, "slide_paths")}
+    return tables | {"slide_paths": spark.createDataFrame([], SLIDE_PATHS)}
+
+
+def _separate(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    annotations = read_table(spark, root, "annotations").where("type <> ''")
+    points = read_table(spark, root, "region_points").where("annotation_id <> ''")
+    return {"annotations": annotations, "region_points": upgrade_region_points(points)}
 
 
 def upgrade_region_points(df: DataFrame) -> DataFrame:
@@ -56,33 +83,37 @@ def upgrade_region_points(df: DataFrame) -> DataFrame:
     return df.withColumn("ring", F.coalesce("ring", F.lit(0)))
 
 
-def _replace(df: DataFrame, slides: DataFrame, path: str, schema: str, mark: str) -> None:
-    spark = df.sparkSession
-    shape = spark.createDataFrame([], schema)
-    names = shape.columns
-    full = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(shape.schema[c].dataType).alias(c) for c in names])
-    empty = slides.select("slide_name").distinct().join(df.select("slide_name").distinct(), "slide_name", "left_anti")
-    marks = empty.select(
-        *[(F.lit(EMPTY) if c == mark else F.col(c) if c == "slide_name" else F.lit(None)).cast(shape.schema[c].dataType).alias(c) for c in names]
-    )
-    rows = durable(full.unionByName(marks)).hint("rebalance", "slide_name")
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("slide_name")
-        .parquet(path)
-    )
-
-
 def save_annotations(
     annotations: DataFrame, points: DataFrame, slides: DataFrame, root: str, now: Column
 ) -> None:
     """Replace all rows of ``slides`` below ``root`` by the given rows; other slides stay.
 
-    Only the folders of the saved slides are rewritten. A slide saved without rows keeps
-    a folder with one marker row, which reading leaves out. ``points`` are the region
-    points of ``annotations``, with slide_name.
+    ``points`` are the region points of ``annotations``, with slide_name. Both go into one
+    table and are replaced by one write, so no slide is ever seen with the annotations of
+    one save and the points of another. Only the folders of the saved slides are rewritten.
+    A slide saved without rows keeps a folder with one row, which reading leaves out. The
+    first save below a root with separate folders takes their other slides along.
     """
-    saved = annotations.withColumn("modified_at", now)
-    _replace(saved, slides, f"{root}/annotations", ANNOTATIONS, "type")
-    _replace(points, slides, f"{root}/region_points", REGION_POINTS, "annotation_id")
+    spark = annotations.sparkSession
+    shape = spark.createDataFrame([], STORED).schema
+
+    def stored(df: DataFrame, record: str) -> DataFrame:
+        have = {"record": F.lit(record)} | {c: F.col(c) for c in df.columns}
+        return df.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
+
+    listed = slides.select("slide_name").distinct()
+    rows = stored(annotations.withColumn("modified_at", now), ANNOTATION).unionByName(stored(points, POINT))
+    empty = listed.join(rows.select("slide_name").distinct(), "slide_name", "left_anti")
+    rows = rows.unionByName(stored(empty, EMPTY))
+    if not _exists(spark, f"{root}/{STORE}") and _exists(spark, f"{root}/annotations"):
+        old = _separate(spark, root)
+        both = stored(old["annotations"], ANNOTATION).unionByName(stored(old["region_points"], POINT))
+        rows = rows.unionByName(both.join(listed, "slide_name", "left_anti").select(*shape.names))
+    (
+        durable(rows)
+        .hint("rebalance", "slide_name")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("slide_name")
+        .parquet(f"{root}/{STORE}")
+    )

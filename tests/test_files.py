@@ -133,9 +133,42 @@ def test_save_replaces_slides(spark, t, tmp_path):
         "SELECT * FROM text.`/etc/hosts`",
         "SELECT id FROM annotations WHERE id IN (SELECT value FROM text.`/etc/hosts`)",
         "SELECT * FROM some_other_table",
+        # Names that are put together, shadowed views, table functions, nested reads.
+        "SELECT IDENTIFIER('java_method')('java.lang.Math', 'max', 3, 4)",
+        "SELECT * FROM IDENTIFIER('text.`/etc/hosts`')",
+        "SELECT * FROM IDENTIFIER(java_method('java.lang.System', 'getProperty', 'user.dir'))",
+        "WITH a AS (WITH b AS (SELECT * FROM IDENTIFIER('text.`/etc/hosts`')) SELECT * FROM b) SELECT * FROM a",
+        "WITH annotations AS (SELECT * FROM text.`/etc/hosts`) SELECT * FROM annotations",
+        "SELECT (SELECT max(value) FROM text.`/etc/hosts`) AS x",
+        "SELECT * FROM range(3)",
+        "SELECT try_reflect('java.lang.Math', 'max', 3, 4)",
     ):
         with pytest.raises(PermissionError):
             sqlview.query(spark, bad)
+    spark.range(3).createOrReplaceTempView("someone_elses")
+    with pytest.raises(PermissionError):
+        sqlview.query(spark, "SELECT * FROM someone_elses")
+    for good in ("SELECT explode(array(1, 2)) AS x", "SELECT * FROM VALUES (1), (2)", "SELECT b.x FROM annotations a JOIN LATERAL (SELECT a.x) b"):
+        assert sqlview.query(spark, good).count() > 0
+
+
+def test_one_write_for_both_tables(spark, t, tmp_path):
+    """Annotations and points are one table; folders of their own are taken over by the first save."""
+    root = str(tmp_path / "db")
+    points = t.region_points.join(t.regions.select(F.col("id").alias("annotation_id"), "slide_name"), "annotation_id")
+    t.annotations.write.partitionBy("slide_name").parquet(f"{root}/annotations")
+    points.drop("ring").write.partitionBy("slide_name").parquet(f"{root}/region_points")
+    old = tb.read_annotations(spark, root)
+    assert old["annotations"].count() == t.annotations.count() and old["slide_paths"].count() == 0
+    assert old["region_points"].where("ring = 0").count() == points.count()
+    slide = points.select("slide_name").orderBy("slide_name").limit(1)
+    gone = t.annotations.limit(0)
+    tb.save_annotations(gone, points.limit(0), slide, root, F.lit("2024-01-01").cast("timestamp"))
+    after = tb.read_annotations(spark, root)
+    assert sorted(p.name for p in (tmp_path / "db").iterdir()) == ["annotation_store", "annotations", "region_points"]
+    rest = lambda df: rows(df.join(slide, "slide_name", "left_anti"), df.columns[0])
+    assert rows(after["annotations"], "id") == rest(t.annotations.select("id", "slide_name"))
+    assert rows(after["region_points"], "annotation_id") == rest(points)
 
 
 def test_listing(spark, tmp_path):
