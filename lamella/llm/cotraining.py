@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import bounded_sample, discard, distinct_labels, map_rows, stored, table, utf8
+from lamella.llm.common import bounded_rows, bounded_sample, discard, distinct_labels, map_rows, stored, table, utf8
 
 #: Labelled rows at most, rounds, calibrated probability of a class from which a label is handed over.
 LABELLED = 4000
@@ -176,7 +176,7 @@ def from_labels(sample: DataFrame, state: State, turn: int, passes: int = PASSES
             )
 
     out = State()
-    for view, feature, w, g in sample.repartition(1).mapInArrow(run, "view int, feature int, w double, g double").collect():
+    for view, feature, w, g in sample.repartition(1).mapInArrow(run, "view int, feature int, w double, g double").toLocalIterator():
         if feature == -1:
             out.curves[view] = (w, g)
         elif feature == -2:
@@ -231,7 +231,7 @@ def from_each_other(pool: DataFrame, state: State, sure: float = SURE) -> State:
         exact(F.col("gain") * F.col("moved")).alias("moved"), exact(F.col("gain") * F.col("gain")).alias("squared"), exact(F.col("gain")).alias("gain")
     )
     out = State.of(state.plain())
-    for view, feature, moved, squared, gain in sums.where("gain > 0").collect():
+    for view, feature, moved, squared, gain in bounded_rows(sums.where("gain > 0"), "moves"):
         out.models[view].w[feature] += moved / gain
         out.models[view].g[feature] += squared / gain
     given.destroy()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lamella.llm.common import discard, map_rows, stored, table, utf8
+from lamella.llm.common import bounded_rows, counted, discard, joined_hot, map_rows, stored, table, utf8
 from lamella.operators.regions import connected_components
 
 #: Words of an element, and the similarity in hundredths.
@@ -188,7 +188,7 @@ def light_keys(elements: np.ndarray, similar: int) -> list[int]:
 
 
 def postings(
-    docs: DataFrame, heads: DataFrame, common: list[int], light: int, id_col: str, text_col: str, width: int, similar: int
+    docs: DataFrame, heads: DataFrame, n_heads: int, common: list[int], light: int, id_col: str, text_col: str, width: int, similar: int
 ) -> DataFrame:
     """Rows ``(id, n, whole_rare, light, rare, often)`` of the sets of ``heads``.
 
@@ -198,7 +198,7 @@ def postings(
     order; ``whole_rare`` is the number of elements of the whole set that are not common.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast((np.array(sorted(common), np.int64).tobytes(), bit_filter(heads)))
+    held = docs.sparkSession.sparkContext.broadcast((np.array(sorted(common), np.int64).tobytes(), bit_filter(heads, n_heads)))
 
     def start():
         listed, (words, bits) = held.value
@@ -296,13 +296,13 @@ def within_reach(n: str, most: str, m: str, its_most: str, similar: int) -> Colu
 
 
 def plausible(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
-    """The pairs whose posted elements leave similarity possible.
+    """The ``counted`` pairs whose posted elements leave similarity possible.
 
     Up to the lesser of the ends of the two posted parts, all elements of both sets are
     known; beyond it, the smaller rest may be shared at most.
     """
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    mine = with_maybe(posted, ends, "id").where("_maybe")
+    mine = with_maybe(posted, ends, "id", 2 * pairs.n_rows).where("_maybe")
     parts = mine.select("id", "n", "rare", "often", (F.size("light") > 0).alias("small"))
 
     def side(name: str) -> DataFrame:
@@ -367,28 +367,28 @@ class BitFilter:
         return found
 
 
-def bit_filter(ids: DataFrame) -> tuple[bytes, int]:
-    """The words and size of a filter of the column ``id``: 16 bits a row, within FILTER_BITS."""
+def bit_filter(ids: DataFrame, n: int) -> tuple[bytes, int]:
+    """The words and size of a filter of the ``n`` values of the column ``id``: 16 bits each, within FILTER_BITS."""
     low, high = FILTER_BITS
-    bits = min(high, max(low, (16 * ids.count()).bit_length()))
+    bits = min(high, max(low, (16 * n).bit_length()))
     h = F.xxhash64("id")
     spots = ids.select(F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), F.pmod(h, F.lit(1 << bits)))).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("spot", F.lit(64)).cast("int"))).alias("bits")
     )
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in words.toLocalIterator():
+    for r in bounded_rows(words, "filter"):
         out[r["word"]] = r["bits"]
     return out.tobytes(), bits
 
 
-def with_maybe(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with a column ``_maybe``: false only where the id is surely not in ``ids``.
+def with_maybe(docs: DataFrame, ids: DataFrame, id_col: str, n: int) -> DataFrame:
+    """``docs`` with a column ``_maybe``: false only where the id is surely not in the ``n`` rows of ``ids``.
 
     What is surely elsewhere needs no join, so that texts are shuffled for the rest alone.
     A null id is in none.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, n))
 
     def start():
         wanted = BitFilter(*held.value)
@@ -399,10 +399,10 @@ def with_maybe(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return marked.withColumn("_maybe", F.col("_maybe") & F.col(id_col).isNotNull())
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows ``(id, elements)`` of the documents in ``ids`` (and maybe a few others)."""
+def sets_of(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Rows ``(id, elements)`` of the documents in the ``n`` rows of ``ids`` (and maybe a few others)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, n))
 
     def start():
         wanted = BitFilter(*held.value)
@@ -424,10 +424,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width:
 def verified(
     pairs: DataFrame, posted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: int
 ) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose whole sets are similar, as a stored result."""
-    pairs = stored(plausible(pairs, posted, similar), "plausible")
+    """Those of the ``counted`` pairs ``(a, b)`` whose whole sets are similar, counted too."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    if pairs.n_rows:
+        pairs = counted(plausible(pairs, posted, similar), "plausible")
+    if not pairs.n_rows:
+        return counted(pairs.select("a", "b"), "links")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = stored(sets_of(docs, ends, id_col, text_col, width), "sets")
+    sets = stored(sets_of(docs, ends, 2 * pairs.n_rows, id_col, text_col, width), "sets")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
 
@@ -446,8 +450,7 @@ def verified(
 
         return step
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    links = stored(map_rows(both.select("a", "b", "x", "y"), start, f"a {kind}, b {kind}").distinct(), "links")
+    links = counted(map_rows(both.select("a", "b", "x", "y"), start, f"a {kind}, b {kind}").distinct(), "links")
     discard(sets)
     discard(pairs)
     return links
@@ -471,64 +474,73 @@ def jaccard_components(
     set (null if all of those have no id) and links with nothing else.
     ``light`` fixes the boundary that is otherwise chosen by cost.
     """
-    spark = docs.sparkSession
     profile = stored(profiles(docs, id_col, text_col, width), "profiles")
-    rows = profile.where(F.col("sig").isNotNull())
-    common = [
-        r["key"]
-        for r in profile.where(F.col("sig").isNull())
+    rows = profile.where(F.col("sig").isNotNull()).select("id", "n", "sig")
+    often = (
+        profile.where(F.col("sig").isNull())
         .select(F.explode(F.arrays_zip("keys", "counts")).alias("e"))
         .groupBy(F.col("e.keys").alias("key"))
         .agg(F.sum("e.counts").alias("m"))
         .where(F.col("m") >= common_files)
         .orderBy(F.desc("m"), "key")
         .limit(COMMON_MOST)
-        .toLocalIterator()
-    ]
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    )
+    common = [r["key"] for r in bounded_rows(often.select("key"), "common")]
+    sets = rows.where("n > 0").groupBy("sig")
+    classes = counted(sets.agg(F.min("id").alias("rep"), F.first("n").alias("size"), F.count("*").alias("n")), "classes")
     if light is None:
-        small = classes.where(F.col("n") <= LIGHT_MOST).groupBy("n").count()
-        light = light_boundary({r["n"]: r["count"] for r in small.toLocalIterator()}, similar)
+        small = classes.where(F.col("size") <= LIGHT_MOST).groupBy("size").count()
+        light = light_boundary({r["size"]: r["count"] for r in bounded_rows(small, "sizes")}, similar)
 
     heads = classes.select(F.col("rep").alias("id")).dropna().distinct()
-    posted = stored(postings(docs, heads, common, light, id_col, text_col, width, similar), "postings")
-    lists = stored(lists_with_pivots(posted), "lists")
+    posted = stored(postings(docs, heads, classes.n_rows, common, light, id_col, text_col, width, similar), "postings")
+    lists = counted(lists_with_pivots(posted), "lists")
 
     star = lists.where((F.col("id") != F.col("pivot")) & within_reach("n", "most", "pivot_n", "pivot_most", similar))
-    tried = stored(star.select(*pair("pivot", "id")).distinct(), "pairs")
+    tried = counted(star.select(*pair("pivot", "id")).distinct(), "pairs")
     links = verified(tried, posted, docs, id_col, text_col, width, similar)
     # Rows of one id with several texts hold their classes together.
-    named = rows.where("n > 0").join(classes.select("sig", "rep"), "sig").dropna(subset=["id"])
-    several = named.groupBy("id").agg(F.count_distinct("sig").alias("m")).where("m > 1").select("id")
-    same = named.join(several, "id").where("id <> rep").select(*pair("id", "rep")).distinct()
-    links = stored(links.unionByName(same), "links")
-    labels = stored(connected_components(links), "labels")
+    texts = rows.where("n > 0 AND id IS NOT NULL").groupBy("id")
+    several = texts.agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("id")
+    named = rows.where("n > 0").join(several, "id").join(classes.select("sig", "rep"), "sig")
+    same = named.where("id <> rep").select(*pair("id", "rep")).distinct()
+    labels = stored(connected_components(links.unionByName(same)), "labels")
 
     for turn in range(stars + 1):
-        before, lists = lists, stored(open_lists(lists, labels), "open")
+        before, lists = lists, counted(open_lists(lists, labels), "open")
         discard(before)
-        if lists.isEmpty():
+        if not lists.n_rows:
             break
         more = across(lists, turn, similar) if turn < stars else all_across(lists, similar)
-        more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
+        more = counted(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = verified(more, posted, docs, id_col, text_col, width, similar)
         tried = tried.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = stored(connected_components(links), "labels")
-
-    reps = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "sig", F.coalesce("label", "rep").alias("component_id")
-    )
-    full = rows.select("id", F.col("n").alias("n_shingles"), "sig")
-    joined = full.join(reps, "sig", "left")
+        if found.n_rows:
+            labels = stored(joined_labels(labels, found), "labels")
+
+    reps = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    reps = stored(reps.select("sig", F.coalesce("label", "rep").alias("component_id"), F.col("n").alias("copies")), "reps")
+    whole = joined_hot(rows.where("n > 0"), reps.drop("copies"), "sig", reps.select("sig", F.col("copies").alias("n")))
+    empty = rows.where("n = 0").withColumn("component_id", F.col("id"))
+    joined = whole.unionByName(empty.select(*whole.columns))
     return joined.select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only the components that a link joins are labelled anew."""
+    ends = links
+    for end in ("a", "b"):
+        own = labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        ends = ends.join(own, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    crossing = ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b")
+    new = stored(connected_components(crossing), "joined").select(F.col("id").alias("old"), F.col("label").alias("new"))
+    moved = labels.join(new, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+    alone = new.join(labels.select(F.col("id").alias("old")), "old", "left_anti")
+    return moved.unionByName(alone.select(F.col("old").alias("id"), F.col("new").alias("label")))
+
+
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows ``(key, id, n, most, kind, posted, n_often, component)`` of the lists that hold several components."""
     own = ["key", "id", "n", "most", "kind", "posted", "n_often"]

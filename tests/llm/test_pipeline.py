@@ -45,6 +45,23 @@ def test_one_document_of_each_group(spark):
     assert rows(cp.jaccard_join(spark, df, SMALL)) == sorted([*want, *(x for x in data if x[0] is None)], key=str)
 
 
+def test_texts_of_one_id(spark):
+    """Unrelated texts of a repeated id all stay, once each; copies and blank ones do not."""
+    rng = random.Random(31)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    data = [(1, a), (5, b), (5, c), (5, c), (5, None), (5, " "), (6, a), (7, d), (7, d), (8, None), (8, ""), (9, b + " more")]
+    data += [(20, prose(rng, 30)) for _ in range(40)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").select(
+        "*", *[F.lit(None).cast(t).alias(n) for n, t in (("lang", "string"), ("source", "string"), ("n_chars", "bigint"))]
+    )
+    got = rows(cp.jaccard_join(spark, df, SMALL))
+    wanted = {(1, a), (7, d), (8, ""), *data[12:]}
+    best = max(b, c)
+    # Of the texts of id 5 the greatest keeps the id; b and its near copy are one group.
+    wanted |= {(5, b), (5, c)} if best == b else {(5, c), (9, b + " more")}
+    assert got == sorted(wanted, key=str)
+
+
 def test_leaking_documents_go(spark, tmp_path):
     texts, items = tables()
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
