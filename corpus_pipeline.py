@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamella.llm import cotraining, credentials, decontamination, jaccard, packing
-from lamella.llm.common import distinct_labels, stored, table, tuned
+from lamella.llm.common import counted, distinct_labels, joined_hot, stored, table, tuned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,23 +23,42 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("score") >= cotraining.KEEP).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` of its own for every text of an id that comes several times.
+
+    The greatest text of such an id keeps the id, so that no null or empty one takes the
+    place of a real one; its other texts get keys beyond all ids, equal ones one key. Those
+    without a word say nothing beside it and go.
+    """
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = counted(ids.where("n > 1").select("doc_id"), "repeated")
+    if not repeated.n_rows:
+        return docs.withColumn("_key", F.col("doc_id"))
+    rest = F.min(F.struct(*COLUMNS[2:])).alias("_rest")
+    several = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(rest)
+    several = stored(several.withColumn("_at", F.monotonically_increasing_id()), "several")
+    first = several.groupBy("doc_id").agg(F.max("text").alias("_first"))
+    beyond = docs.agg(F.max("doc_id").alias("most")).first()["most"] + 1
+    own = F.col("text").eqNullSafe(F.col("_first"))
+    texts = joined_hot(several, first, "doc_id").where(own | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    key = F.when(own, F.col("doc_id")).otherwise(F.col("_at") + F.lit(beyond))
+    named = texts.select("doc_id", "text", *[F.col("_rest")[c].alias(c) for c in COLUMNS[2:]], key.alias("_key"))
+    return stored(docs.join(repeated, "doc_id", "left_anti").withColumn("_key", F.col("doc_id")).unionByName(named), "keyed")
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group: the one with the least id.
 
-    Rows that repeat an id are one document, of which the greatest text stays, so that no
-    null or empty one takes the place of a real one. Rows without an id cannot be grouped
-    and stay.
+    Different texts of one id are documents of their own here: each stays unless it equals
+    or links with one that does. Rows without an id cannot be grouped and stay.
     """
-    own = docs.select(*COLUMNS)
-    groups = stored(jaccard.jaccard_components(own), "groups").where(F.col("doc_id").isNotNull())
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # Only documents that may be copies or repeated rows are joined and shuffled.
-    marked = jaccard.with_maybe(own, copies.unionByName(repeated).select(F.col("doc_id").alias("id")), "doc_id")
-    rest = marked.where("_maybe").select(*COLUMNS).join(copies, "doc_id", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
-    one = rest.withColumn("_turn", turn).where("_turn = 1")
-    return marked.where("NOT _maybe").select(*COLUMNS).unionByName(one.select(*COLUMNS))
+    own = keyed(docs.select(*COLUMNS))
+    groups = jaccard.jaccard_components(own, id_col="_key")
+    copies = counted(groups.where(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("id")), "copies")
+    # Only documents that may be copies are joined and shuffled.
+    marked = jaccard.with_maybe(own, copies, "_key", copies.n_rows)
+    rest = marked.where("_maybe").join(copies.withColumnRenamed("id", "_key"), "_key", "left_anti")
+    return marked.where("NOT _maybe").select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
