@@ -2,47 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import boxes as bx
 from lamella.functions import names as nm
-from lamella.session import numbered
+from lamella.session import durable, numbered
+from lamella.sources.ordered_files import write_ordered
 
-# A line of box text holds at most about this many boxes; readers join lines of one key.
-BOXES_PER_LINE = 4096
 FOV_GROUP = ["slide_name", "biomarker", "fov_id"]
 
 
-def box_text_lines(pairs: DataFrame, boxes_per_line: int = BOXES_PER_LINE) -> DataFrame:
+def of_channels(df: DataFrame, channels: Sequence[str] | None) -> DataFrame:
+    """The rows of the chosen channels; None stands for all."""
+    return df if channels is None else df.where(F.col("biomarker").isin(list(channels)))
+
+
+def _line_key() -> Column:
+    return F.concat_ws("_", "slide_name", nm.whole(F.col("fov_x")), nm.whole(F.col("fov_y")))
+
+
+def _box_text() -> Column:
+    return F.concat_ws(",", *bx.export_box(*[F.col(c) for c in ("x", "y", "fov_x", "fov_y")]).values())
+
+
+def box_text_lines(pairs: DataFrame) -> DataFrame:
     """Box-text lines of marker/field-of-view pairs: ``slide_x_y: x1,y1,x2,y2 ...``.
 
-    One line per channel and field of view with markers, boxes in marker load order. A
-    field of view with very many markers is spread over lines of the same key by a hash
-    of the marker, so no task gathers it whole.
+    One line per channel and field of view with markers, boxes in marker load order. A line
+    is one value here; :func:`export_box_text` writes lines box by box.
     """
-    counts = pairs.groupBy(*FOV_GROUP).agg(F.count("*").alias("_n"))
-    lines = F.ceil(F.col("_n") / F.lit(boxes_per_line))
-    rows = pairs.join(counts, FOV_GROUP).withColumn("_line", F.pmod(F.xxhash64("marker_id"), lines))
-    sides = bx.export_box(*[F.col(c) for c in ("x", "y", "fov_x", "fov_y")])
-    item = F.struct("created_at", "marker_id", F.concat_ws(",", *sides.values()).alias("text"))
-    grouped = rows.groupBy(*FOV_GROUP, "fov_created_at", "fov_x", "fov_y", "_line").agg(
-        F.sort_array(F.collect_list(item)).alias("_boxes")
-    )
-    key = F.concat_ws("_", "slide_name", nm.whole(F.col("fov_x")), nm.whole(F.col("fov_y")))
+    item = F.struct("created_at", "marker_id", _box_text().alias("text"))
+    grouped = pairs.groupBy(*FOV_GROUP, "fov_created_at", "fov_x", "fov_y").agg(F.sort_array(F.collect_list(item)).alias("_boxes"))
     text = F.array_join(F.transform("_boxes", lambda b: b["text"]), " ")
-    return grouped.select(
-        "slide_name", "biomarker", "fov_id", "fov_created_at", "_line", F.concat(key, F.lit(": "), text).alias("line")
-    ).withColumnRenamed("_line", "part")
+    return grouped.select("slide_name", "biomarker", "fov_id", "fov_created_at", F.concat(_line_key(), F.lit(": "), text).alias("line"))
 
 
-def export_box_text(pairs: DataFrame, path: str, boxes_per_line: int = BOXES_PER_LINE) -> None:
-    """Write text files below slide_name=/channel= folders, lines in load order."""
-    lines = box_text_lines(pairs, boxes_per_line).hint("rebalance", "slide_name", "biomarker")
-    ordered = lines.withColumnRenamed("biomarker", "channel").sortWithinPartitions(
-        "slide_name", "channel", "fov_created_at", "fov_id", "part"
-    )
-    ordered.select("slide_name", "channel", "line").write.partitionBy("slide_name", "channel").mode("overwrite").text(path)
+def export_box_text(pairs: DataFrame, path: str, channels: Sequence[str] | None = None) -> DataFrame:
+    """Write the files ``{slide}_{channel}.txt`` below ``path``; returns (file, bytes).
+
+    A file has a line per field of view with markers of the channel, in load order, and a
+    line its boxes, in load order. Keys, boxes and line ends are rows of their own, so a
+    crowded field of view is no single value and a large file is written by many tasks.
+    """
+    rows = of_channels(pairs, channels).withColumn("file", F.format_string("%s_%s.txt", "slide_name", "biomarker"))
+    lines = rows.select("file", "fov_created_at", "fov_id", "slide_name", "fov_x", "fov_y").distinct()
+    order = ["fov_created_at", "fov_id", "_turn", "created_at", "marker_id"]
+
+    def piece(df: DataFrame, turn: int, text: Column, *own: Column) -> DataFrame:
+        own = own or [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in order[3:]]
+        return df.select("file", *order[:2], F.lit(turn).alias("_turn"), *own, text.alias("text"))
+
+    boxes = piece(rows, 1, F.concat(F.lit(" "), _box_text()), *[F.col(c) for c in order[3:]])
+    heads = piece(lines, 0, F.concat(_line_key(), F.lit(":")))
+    return write_ordered(boxes.unionByName(heads).unionByName(piece(lines, 2, F.lit("\n"))), order, path)
 
 
 def coco_categories(markers: DataFrame) -> DataFrame:
@@ -92,27 +107,37 @@ def coco_annotations(pairs: DataFrame, images: DataFrame, categories: DataFrame)
     )
 
 
-def export_coco(pairs: DataFrame, markers: DataFrame, path: str) -> None:
-    """Write COCO objects as JSON lines: images, annotations and categories per slide.
+def export_coco(pairs: DataFrame, markers: DataFrame, path: str, channels: Sequence[str] | None = None) -> DataFrame:
+    """Write one COCO document ``{slide}_coco.json`` per slide below ``path``; returns (file, bytes).
 
-    The three lists of a COCO document become three folders of one object per line, so a
-    slide's document is written by as many tasks as it needs. Slides without annotations
-    have none of the three.
+    ``channels`` chooses the channels, and category ids count the chosen ones of a slide.
+    Slides without annotations have no document. Every object is a row, so a document is
+    written by as many tasks as it needs.
     """
-    images = coco_images(pairs)
+    pairs = of_channels(pairs, channels)
+    images = durable(coco_images(pairs))
     slides = images.select("slide_name").distinct()
-    categories = coco_categories(markers).join(slides, "slide_name", "left_semi")
+    categories = durable(coco_categories(of_channels(markers, channels)).join(slides, "slide_name", "left_semi"))
     bbox = F.array(*[F.col(f"bbox_{c}").cast("double") for c in ("x", "y", "w", "h")]).alias("bbox")
-    annotations = coco_annotations(pairs, images, categories).select(
-        "slide_name", "id", "image_id", "category_id", bbox, "area", "iscrowd"
-    )
-    tables = {
-        "images": images.select("slide_name", "id", "file_name", "width", "height"),
-        "annotations": annotations,
-        "categories": categories,
-    }
-    for name, df in tables.items():
-        df.hint("rebalance", "slide_name").write.partitionBy("slide_name").mode("overwrite").json(f"{path}/{name}")
+    annotations = coco_annotations(pairs, images, categories)
+    lists = [
+        ("images", images, F.struct("id", "file_name", "width", "height")),
+        ("annotations", annotations, F.struct("id", "image_id", "category_id", bbox, "area", "iscrowd")),
+        ("categories", categories, F.struct("id", "name")),
+    ]
+    file = F.concat("slide_name", F.lit("_coco.json")).alias("file")
+
+    def piece(df: DataFrame, turn: int, id_: Column, text: Column) -> DataFrame:
+        return df.select(file, F.lit(turn).alias("_turn"), id_.cast("bigint").alias("_id"), text.alias("text"))
+
+    # The ids of a list count from 1, which tells its first object.
+    rows = piece(slides, 2 * len(lists), F.lit(0), F.lit("\n]}\n"))
+    for k, (name, df, fields) in enumerate(lists):
+        opening = f'{{"{name}": [' if k == 0 else f'\n],\n"{name}": ['
+        rows = rows.unionByName(piece(slides, 2 * k, F.lit(0), F.lit(opening)))
+        comma = F.when(F.col("id") > 1, ",\n").otherwise("\n")
+        rows = rows.unionByName(piece(df, 2 * k + 1, F.col("id"), F.concat(comma, F.to_json(fields))))
+    return write_ordered(rows, ["_turn", "_id"], path)
 
 
 def regions_json(regions: DataFrame) -> DataFrame:

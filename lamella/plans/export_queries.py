@@ -11,6 +11,7 @@ from lamella.operators import spatial as sp
 from lamella.plans.annotation_queries import pairs_of
 from lamella.plans.flagship import NAIVE, gt_boxes, pred_boxes, rounded
 from lamella.plans.registry import query
+from lamella.session import scratch_path
 from lamella.sources import files as fl
 from lamella.sources.derived import Tables
 
@@ -89,6 +90,19 @@ def export_box_text(t: Tables) -> DataFrame:
     return ex.box_text_lines(pairs_of(t)).select("slide_name", "biomarker", "fov_id", "line")
 
 
+@query(
+    "box_text_files",
+    f"""SELECT slide_name || '_' || biomarker || '.txt' AS file_name, slide_name || '_' || CAST(CAST(round_even(fov_x,0) AS BIGINT) AS STRING) || '_' || CAST(CAST(round_even(fov_y,0) AS BIGINT) AS STRING)
+ || ': ' || string_agg({BOX_TEXT}, ' ' ORDER BY created_at, marker_id) AS line FROM {{mf}} WHERE biomarker IN ('CD8', 'CD68', 'PanCK') GROUP BY slide_name, biomarker, fov_id, fov_x, fov_y""",
+    NAIVE,
+)
+def box_text_files(t: Tables) -> DataFrame:
+    """The lines of the files written for some channels, as another tool reads them."""
+    root = scratch_path(t.spark, "boxes")
+    ex.export_box_text(pairs_of(t), root, ["CD8", "CD68", "PanCK"])
+    return t.spark.read.text(root).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"))
+
+
 IMAGES = {
     **NAIVE,
     "imgs": "SELECT *, row_number() OVER (PARTITION BY slide_name ORDER BY biomarker, fov_created_at, fov_id) AS id FROM (SELECT DISTINCT slide_name, biomarker, fov_id, fov_created_at, fov_x, fov_y, fov_w, fov_h FROM {mf}) q",
@@ -123,6 +137,29 @@ def export_coco(t: Tables) -> DataFrame:
     return ex.coco_annotations(pairs, ex.coco_images(pairs), ex.coco_categories(t.markers))
 
 
+CHOSEN = {
+    **NAIVE,
+    "cm": "SELECT * FROM {mf} WHERE biomarker IN ('CD8', 'FOXP3')",
+    "ci": "SELECT *, row_number() OVER (PARTITION BY slide_name ORDER BY biomarker, fov_created_at, fov_id) AS id FROM (SELECT DISTINCT slide_name, biomarker, fov_id, fov_created_at, fov_x, fov_y, fov_w, fov_h FROM {cm}) q",
+    "cc": "SELECT slide_name, name, row_number() OVER (PARTITION BY slide_name ORDER BY name) AS id FROM (SELECT DISTINCT slide_name, biomarker AS name FROM {markers} WHERE biomarker IN ('CD8', 'FOXP3')) q",
+}
+
+
+@query(
+    "coco_files",
+    f"""SELECT m.slide_name || '_coco.json' AS document, m.slide_name, row_number() OVER (PARTITION BY m.slide_name ORDER BY i.id, m.created_at, m.marker_id) AS id, i.id AS image_id,
+ {FILE_NAME.format('i', 'biomarker', 'fov_')} AS file_name, CAST(i.fov_w AS INT) AS width, CAST(i.fov_h AS INT) AS height, c.id AS category_id, m.biomarker,
+ round_even(m.x-10-m.fov_x,2) AS bbox_x, round_even(m.y-10-m.fov_y,2) AS bbox_y, 20::DOUBLE AS bbox_w, 20::DOUBLE AS bbox_h, 400::DOUBLE AS area, CAST(0 AS INT) AS iscrowd
+ FROM {{cm}} m JOIN {{ci}} i ON i.slide_name = m.slide_name AND i.biomarker = m.biomarker AND i.fov_id = m.fov_id JOIN {{cc}} c ON c.slide_name = m.slide_name AND c.name = m.biomarker""",
+    CHOSEN,
+)
+def coco_files(t: Tables) -> DataFrame:
+    """The annotations of the documents written for two channels, read back whole."""
+    root = scratch_path(t.spark, "coco")
+    ex.export_coco(pairs_of(t), t.markers, root, ["CD8", "FOXP3"])
+    return fl.read_coco(t.spark, root)
+
+
 @query(
     "coco_ids",
     """SELECT q.slide_name, q.marker_id, q.fov_id, i.id AS image_id, row_number() OVER (PARTITION BY q.slide_name ORDER BY i.id, q.created_at, q.marker_id) AS ann_id

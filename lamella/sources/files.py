@@ -76,10 +76,39 @@ def read_box_text(spark: SparkSession, path: str, slides: DataFrame) -> DataFram
     return parse_box_text(of_slides(lines, slides, "stem").withColumnRenamed("rest", "biomarker"))
 
 
-def read_box_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parse the text files that ``export_box_text`` wrote."""
-    lines = spark.read.schema("value string, slide_name string, channel string").text(path)
-    return parse_box_text(lines.withColumn("biomarker", F.coalesce("channel", F.lit(""))))
+COCO = (
+    "images array<struct<id:bigint,file_name:string,width:int,height:int>>, "
+    "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int>>, "
+    "categories array<struct<id:bigint,name:string>>"
+)
+
+
+def read_coco(spark: SparkSession, path: str) -> DataFrame:
+    """The annotations of COCO documents, each with its image and category by their ids.
+
+    The file name gives slide_name when it ends with ``_coco.json``. Ids count within a
+    document, in any order.
+    """
+    docs = spark.read.schema(COCO).json(path, multiLine=True)
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)_coco\.json$", 1)
+    docs = docs.select(F.col("_metadata.file_name").alias("document"), F.nullif(named, F.lit("")).alias("slide_name"), "*")
+    keyed = lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["id"], x)))
+    flat = docs.select("document", "slide_name", keyed("images").alias("_i"), keyed("categories").alias("_c"), F.explode("annotations").alias("a"))
+    image = F.element_at("_i", F.col("a.image_id"))
+    return flat.select(
+        "document",
+        "slide_name",
+        F.col("a.id").alias("id"),
+        F.col("a.image_id").alias("image_id"),
+        image["file_name"].alias("file_name"),
+        image["width"].alias("width"),
+        image["height"].alias("height"),
+        F.col("a.category_id").alias("category_id"),
+        F.element_at("_c", F.col("a.category_id"))["name"].alias("biomarker"),
+        *[F.get("a.bbox", k).alias(f"bbox_{c}") for k, c in enumerate("xywh")],
+        F.col("a.area").alias("area"),
+        F.col("a.iscrowd").alias("iscrowd"),
+    )
 
 
 def regions_from_json(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from lamella.operators import spatial as sp
 from lamella.operators.catalog import slide_catalog
 from lamella.plans.region_queries import region_table
 from lamella.sources import files as fl
+from lamella.sources.ordered_files import write_ordered
 from lamella.sources import sqlview
 from lamella.sources import tables as tb
 from lamella.sources.derived import Tables
@@ -30,12 +31,41 @@ def rows(df, *cols):
 
 def test_box_text(spark, t, tmp_path):
     pairs = sp.markers_in_fovs(t.markers, t.fovs)
-    ex.export_box_text(pairs, str(tmp_path / "boxes"), 3)
-    back = fl.read_box_text_table(spark, str(tmp_path / "boxes"))
-    stems = ex.box_text_lines(pairs).select(F.col("line").alias("value"), F.concat_ws("_", "slide_name", "biomarker").alias("stem"))
+    written = ex.export_box_text(pairs, str(tmp_path / "boxes"))
+    back = fl.read_box_text(spark, str(tmp_path / "boxes"), t.slides)
+    lines = ex.box_text_lines(pairs)
+    stems = lines.select(F.col("line").alias("value"), F.concat_ws("_", "slide_name", "biomarker").alias("stem"))
     want = fl.parse_box_text(fl.of_slides(stems, t.slides, "stem").withColumnRenamed("rest", "biomarker"))
     cols = ["slide_name", "biomarker", "fov_x", "fov_y", "x", "y"]
     assert rows(back, *cols) == rows(want, *cols)
+    # The files are, byte for byte, their lines in load order.
+    texts = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.fov_created_at, r.fov_id)):
+        name = f"{r.slide_name}_{r.biomarker}.txt"
+        texts[name] = texts.get(name, "") + r.line + "\n"
+    assert {p.name: p.read_text() for p in (tmp_path / "boxes").iterdir()} == texts
+    assert {r.file: r.bytes for r in written.collect()} == {k: len(v.encode()) for k, v in texts.items()}
+
+
+def test_ordered_files_in_parts(spark, tmp_path):
+    """A large file is made of many parts, keeps its order, and replaces an older one."""
+    n = 20_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "small é.txt").otherwise("large.txt").alias("file"),
+        (-F.col("id")).alias("k"),
+        F.concat(F.col("id").cast("string"), F.lit("ß ")).alias("text"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):
+            write_ordered(df, ["k"], str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["large.txt", "small é.txt"]
+    assert (tmp_path / "large.txt").read_text() == "".join(f"{k}ß " for k in reversed(range(n)) if k % 3)
+    assert (tmp_path / "small é.txt").read_text() == "".join(f"{k}ß " for k in reversed(range(n)) if k % 3 == 0)
+    assert write_ordered(df.where("false"), ["k"], str(tmp_path / "none")).collect() == []
 
 
 def test_box_text_files_of_other_tools(spark, tmp_path):
@@ -57,15 +87,23 @@ def test_box_text_files_of_other_tools(spark, tmp_path):
 
 def test_coco(spark, t, tmp_path):
     pairs = sp.markers_in_fovs(t.markers, t.fovs)
-    ex.export_coco(pairs, t.markers, str(tmp_path / "coco"))
-    ann = spark.read.json(str(tmp_path / "coco/annotations"))
-    img = spark.read.json(str(tmp_path / "coco/images"))
-    cat = spark.read.json(str(tmp_path / "coco/categories"))
-    assert ann.count() == pairs.count()
-    assert ann.join(img.withColumnRenamed("id", "image_id"), ["slide_name", "image_id"], "left_anti").count() == 0
-    assert ann.join(cat.withColumnRenamed("id", "category_id"), ["slide_name", "category_id"], "left_anti").count() == 0
-    assert ann.groupBy("slide_name").agg((F.max("id") == F.count("*")).alias("ok")).where("not ok").count() == 0
-    assert ann.where((F.size("bbox") != 4) | (F.get("bbox", 2) != 20)).count() == 0
+    ex.export_coco(pairs, t.markers, str(tmp_path))
+    docs = {p.name.removesuffix("_coco.json"): json.loads(p.read_text()) for p in tmp_path.iterdir()}
+    assert set(docs) == {r.slide_name for r in pairs.select("slide_name").distinct().collect()}
+    assert sum(len(d["annotations"]) for d in docs.values()) == pairs.count()
+    channels = {}
+    for r in t.markers.select("slide_name", "biomarker").distinct().collect():
+        channels.setdefault(r.slide_name, []).append(r.biomarker)
+    for slide, d in docs.items():
+        assert list(d) == ["images", "annotations", "categories"]
+        assert [c["name"] for c in d["categories"]] == sorted(channels[slide])
+        for part in d.values():
+            assert [x["id"] for x in part] == list(range(1, len(part) + 1))
+        images = [a["image_id"] for a in d["annotations"]]
+        assert images == sorted(images) and set(images) == {x["id"] for x in d["images"]}
+        assert all(len(a["bbox"]) == 4 and a["bbox"][2:] == [20, 20] and a["area"] == 400 and a["iscrowd"] == 0 for a in d["annotations"])
+    back = fl.read_coco(spark, str(tmp_path))
+    assert back.count() == pairs.count() and back.where("file_name IS NULL OR biomarker IS NULL").count() == 0
 
 
 def test_regions_json(spark, t, tmp_path):
