@@ -6,10 +6,13 @@ import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamella.functions import boxes as bx
 from lamella.functions.scores import argmax, sigmoid
@@ -64,6 +67,10 @@ def decode_queries(queries: DataFrame, p: float, size: float = 512.0) -> DataFra
 
 #: Edge of a grid cell: most detections of a cell touch no other one.
 CELL = 256.0
+#: A cell with more items is cut in four, down to the smallest cells; there the items beyond
+#: the best so many wait for them.
+CROWDED = 1024
+SMALLEST = 16.0
 
 
 def _settle_cells(state: DataFrame, by: Sequence[str], hit: Hit) -> DataFrame:
@@ -105,7 +112,58 @@ def _settle_cells(state: DataFrame, by: Sequence[str], hit: Hit) -> DataFrame:
     return rows.select(*by, *[F.col("_row")[c].alias(c) for c in ("key", "score", "body", "n", "known", "first")])
 
 
-def greedy_keep(items: DataFrame, keys: Sequence[str], hit: Hit, size: float = CELL) -> DataFrame:
+def _best_of_equals(items: DataFrame, keys: Sequence[str], hit: Hit) -> DataFrame:
+    """Of items with one body, the first; the others go to it, if a body suppresses itself."""
+    best = items.groupBy(*keys, "body", *bx.SIDES).agg(F.max(F.struct("score", "key")).alias("_b"))
+    one = best.select(*keys, "body", *bx.SIDES, "_b.score", "_b.key")
+    apart = ~F.coalesce(hit(F.col("body"), F.col("body")), F.lit(False))
+    return one.where(~apart).select(*items.columns).unionByName(items.where(apart))
+
+
+def _dealt(items: DataFrame, keys: Sequence[str], hit: Hit, size: float, crowded: int) -> tuple[DataFrame, bool]:
+    """Items on cells, with the number ``n`` of each one's cells; and whether some of them wait.
+
+    Crowded cells are cut in four until none is crowded or the smallest size is reached.
+    """
+    by = [*keys, "_size", "_cx", "_cy"]
+
+    def on(df: DataFrame, size: float) -> DataFrame:
+        return on_cells(df, *bx.box(), size).withColumn("_size", F.lit(float(size)))
+
+    def crowds(cells: DataFrame) -> DataFrame:
+        return durable(cells.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).drop("_n"))
+
+    known = F.lit(False).alias("known")
+    own = [*by, "score", "key", "body", "n"]
+    cells = on(items, size)
+    full = crowds(cells)
+    if full.isEmpty():
+        spread = (cell(F.col("x2"), size) - cell(F.col("x1"), size) + 1) * (cell(F.col("y2"), size) - cell(F.col("y1"), size) + 1)
+        return cells.withColumn("n", spread).select(*own, known), False
+    cells, done = durable(on(_best_of_equals(items, keys, hit), size)), []
+    full = crowds(cells)
+    while size > SMALLEST and not full.isEmpty():
+        done.append(cells.join(full, by, "left_anti").select(*cells.columns))
+        size /= 2
+        inside = cells.join(full, by, "left_semi").withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).drop("_size")
+        parts = on(inside, size).where((F.floor(F.col("_cx") / 2) == F.col("_px")) & (F.floor(F.col("_cy") / 2) == F.col("_py")))
+        cells = durable(parts.select(*done[0].columns))
+        full = crowds(cells)
+    cells = reduce(DataFrame.unionByName, [*done, cells])
+    n = cells.groupBy(*keys, "key").agg(F.count("*").alias("n"))
+    return durable(cells.join(n, [*keys, "key"]).select(*own, known)), not full.isEmpty()
+
+
+def _best_first(state: DataFrame, by: Sequence[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The settled and the best ``most`` other items of each cell, and those that wait for them."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("key")))
+    undecided = state.where("NOT known")
+    best = durable(undecided.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank"))
+    waiting = undecided.join(best.select(*by, "key"), [*by, "key"], "left_anti").select(*state.columns)
+    return best.unionByName(state.where("known")), waiting
+
+
+def greedy_keep(items: DataFrame, keys: Sequence[str], hit: Hit, size: float = CELL, crowded: int = CROWDED) -> DataFrame:
     """Keys that survive greedy suppression in descending (score, key) order per group.
 
     ``items`` holds ``keys``, score, key (unique in the group), the bounding box x1..y2
@@ -117,20 +175,24 @@ def greedy_keep(items: DataFrame, keys: Sequence[str], hit: Hit, size: float = C
     size of their group. An item of several cells is kept once it is the first of its
     place in all of them, and goes once any of them drops it. Only chains of suppression
     that cross cells take further rounds, each with the cells that still hold open items.
+    Where items crowd, equal ones become one, cells are cut, and in the smallest cells only
+    the best items are gathered: what they suppress is taken away before the next ones are.
     """
     keys = list(keys)
-    by = [*keys, "_cx", "_cy"]
+    by = [*keys, "_size", "_cx", "_cy"]
     sides = bx.box()
     bare = reduce(lambda a, b: a | b, [c.isNull() | F.isnan(c.cast("double")) for c in sides])
     ordered = items.where(~bare).withColumns(
         {"x1": F.least("x1", "x2"), "x2": F.greatest("x1", "x2"), "y1": F.least("y1", "y2"), "y2": F.greatest("y1", "y2")}
     )
-    spread = (cell(F.col("x2"), size) - cell(F.col("x1"), size) + 1) * (cell(F.col("y2"), size) - cell(F.col("y1"), size) + 1)
-    cells = on_cells(ordered.withColumn("n", spread), *bx.box(), size)
-    state = cells.select(*by, "score", "key", "body", "n", F.lit(False).alias("known"))
+    state, waits = _dealt(ordered, keys, hit, size, crowded)
     found = [items.where(bare).select(*keys, "key")]
     while True:
-        settled = durable(_settle_cells(state, by, hit))
+        active, waiting = _best_first(state, by, crowded) if waits else (state, None)
+        settled = _settle_cells(active, by, hit)
+        if waiting is not None:
+            settled = settled.unionByName(waiting.withColumn("first", F.lit(False)))
+        settled = durable(settled)
         wide = settled.where((F.col("n") > 1) & ~F.col("known"))
         votes = wide.groupBy(*keys, "key", "n").agg(F.count("*").alias("_in"), F.sum(F.col("first").cast("int")).alias("_first"))
         verdict = votes.select(
@@ -140,6 +202,12 @@ def greedy_keep(items: DataFrame, keys: Sequence[str], hit: Hit, size: float = C
         new = (F.col("n") == 1) & F.col("first") | F.coalesce("_kept", F.lit(False))
         joined = durable(joined.select(*by, "score", "key", "body", "n", "known", (new & ~F.col("known")).alias("_new")))
         found.append(joined.where("_new").select(*keys, "key").distinct())
+        if waits:
+            # Whatever a newly kept item suppresses in its cell need not be gathered any more.
+            fresh = joined.where("_new").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("body").alias("_kept"))
+            meets = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in by])
+            gone = ~F.col("known") & ~F.col("_new") & hit(F.col("_kept"), F.col("body"))
+            joined = durable(joined.join(fresh, meets & gone, "left_anti"))
         open_cells = joined.where(~F.col("known") & ~F.col("_new")).select(*by).distinct()
         if open_cells.isEmpty():
             return reduce(DataFrame.unionByName, found)
@@ -147,7 +215,7 @@ def greedy_keep(items: DataFrame, keys: Sequence[str], hit: Hit, size: float = C
         state = rest.select(*by, "score", "key", "body", "n", (F.col("known") | F.col("_new")).alias("known"))
 
 
-def nms_boxes(dets: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
+def nms_boxes(dets: DataFrame, threshold: float, keys: Sequence[str], crowded: int = CROWDED) -> DataFrame:
     """Detections kept by greedy box suppression per group.
 
     Boxes include their last pixel; a box goes when its IoU with a kept one exceeds the
@@ -158,10 +226,10 @@ def nms_boxes(dets: DataFrame, threshold: float, keys: Sequence[str]) -> DataFra
         return dets
     # Detections are read twice below and may come from a model run.
     dets = durable(dets)
-    side = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    side = bx.box()
     items = dets.select(*keys, "score", "key", F.struct(*side).alias("body"), "x1", "y1", (F.col("x2") + 1).alias("x2"), (F.col("y2") + 1).alias("y2"))
     sides = lambda b: tuple(b[c] for c in ("x1", "y1", "x2", "y2"))
-    kept = greedy_keep(items, keys, lambda a, b: bx.iou_plus1(sides(a), sides(b)) > F.lit(float(threshold)))
+    kept = greedy_keep(items, keys, lambda a, b: bx.iou_plus1(sides(a), sides(b)) > F.lit(float(threshold)), crowded=crowded)
     return dets.join(kept, [*keys, "key"], "left_semi")
 
 
@@ -279,18 +347,51 @@ def nms_polygons(polygons: DataFrame, threshold: float, keys: Sequence[str]) ->
     return polygons.join(kept.unionByName(bare), own, "left_semi")
 
 
-def label_image(polygons: DataFrame, key: str, rows: int, cols: int, min_prob: float | None = None) -> DataFrame:
-    """Labelled pixels (key, row, col, label) of an image; all others are background 0.
+def label_runs(polygons: DataFrame, key: str, rows: int, cols: int, min_prob: float | None = None) -> DataFrame:
+    """Labelled runs (key, row, x0, x1, label) of an image; all else is background.
 
     ``polygons`` holds ``idx``, their place in the given order; the label is idx + 1.
-    Where polygons overlap the greater score wins, then the later place.
+    Where polygons overlap the greater score wins, then the later place. Each pixel row is
+    painted by itself, from the least run to the greatest, and read off as runs.
     """
     above = polygons if min_prob is None else polygons.where(F.col("prob") > F.lit(float(min_prob)))
     runs = star_runs(above, [key, "idx", "prob"]).where(F.col("row").between(0, rows - 1))
     x0, x1 = F.greatest("x0", F.lit(0)), F.least("x1", F.lit(cols - 1))
-    pixels = runs.where(x0 <= x1).select(key, "row", "idx", "prob", F.explode(F.sequence(x0, x1)).alias("col"))
-    top = pixels.groupBy(key, "row", "col").agg(F.max(F.struct("prob", "idx")).alias("t"))
-    return top.select(key, "row", "col", (F.col("t.idx") + 1).alias("label"))
+    seen = runs.where(x0 <= x1).select(key, "row", F.struct("prob", "idx", x0.alias("x0"), x1.alias("x1")).alias("r"))
+    lines = seen.groupBy(key, "row").agg(F.sort_array(F.collect_list("r")).alias("_runs"))
+    shape = lines.select(key, "row", *[F.lit(0).cast("int").alias(c) for c in ("x0", "x1")], F.lit(0).cast("bigint").alias("label")).schema
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = np.zeros(cols + 2, np.int64)
+        for batch in batches:
+            lists = batch.column(2)
+            at, flat = lists.offsets.to_numpy(), lists.values
+            idx, x0, x1 = (flat.field(k).to_numpy(zero_copy_only=False).tolist() for k in (1, 2, 3))
+            owner, found = [], []
+            for k in range(batch.num_rows):
+                line[:] = 0
+                # The first and last place stay background, so every run has both ends.
+                for j in range(at[k], at[k + 1]):
+                    line[x0[j] + 1 : x1[j] + 2] = idx[j] + 1
+                turns = np.flatnonzero(line[1:] != line[:-1])
+                label = line[turns[:-1] + 1]
+                some = label > 0
+                owner.append(np.full(int(some.sum()), k))
+                found.append((turns[:-1][some], turns[1:][some] - 1, label[some]))
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                kept = batch.take(pa.array(np.concatenate(owner))).columns[:2]
+                made = [pa.array(v, t) for v, t in zip(columns, arrow.types[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
+
+    return lines.mapInArrow(run, shape)
+
+
+def label_image(polygons: DataFrame, key: str, rows: int, cols: int, min_prob: float | None = None) -> DataFrame:
+    """Labelled pixels (key, row, col, label) of an image: the pixels of its ``label_runs``."""
+    runs = label_runs(polygons, key, rows, cols, min_prob)
+    return runs.select(key, "row", F.explode(F.sequence("x0", "x1")).alias("col"), "label")
 
 
 def detector_family(inputs: Column, outputs: Column) -> Column:

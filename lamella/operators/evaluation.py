@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamella.functions.scores import precision_recall_f1
 from lamella.operators.regions import connected_components
@@ -14,98 +16,89 @@ from lamella.operators.spatial import iou_join
 from lamella.session import durable
 
 OVERALL = "__overall__"
-FOLD_LIMIT = 512
-CROWD_LIMIT = 512
+#: Rounds of mutual best pairs before what is left is matched component by component.
+ROUNDS = 2
 
 
-def _fold_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Greedy matching of small groups: one ordered pass over the group's sorted pairs."""
-    ordered = F.sort_array(F.collect_list(F.struct("iou", "pred", "gt")), asc=False)
-    kind = pairs.select("pred", "gt").schema
-    start = F.struct(
-        F.array().cast(f"array<{kind['pred'].dataType.simpleString()}>").alias("p"),
-        F.array().cast(f"array<{kind['gt'].dataType.simpleString()}>").alias("g"),
-    )
-
-    def step(acc: Column, pair: Column) -> Column:
-        taken = F.array_contains(acc["p"], pair["pred"]) | F.array_contains(acc["g"], pair["gt"])
-        return F.when(taken, acc).otherwise(
-            F.struct(
-                F.array_append(acc["p"], pair["pred"]).alias("p"),
-                F.array_append(acc["g"], pair["gt"]).alias("g"),
-            )
-        )
-
-    picked = pairs.groupBy(*keys).agg(ordered.alias("pairs")).select(
-        *keys, F.explode(F.arrays_zip(*_fields(F.aggregate("pairs", start, step)))).alias("m")
-    )
-    return picked.select(*keys, F.col("m.p").alias("pred"), F.col("m.g").alias("gt"))
-
-
-def _fields(state: Column) -> list[Column]:
-    return [state["p"].alias("p"), state["g"].alias("g")]
+def _mutual_round(left: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Take all pairs that are the best of both their boxes: (taken with m, the pairs left).
 
-
-def _mutual_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same matching in rounds, for groups of any size.
-
-    ``pairs`` also holds ``np`` and ``ng``, the number of equal boxes each side stands
-    for, and the result ``m``, the number of matches of the pair. Under a total order a
-    pair that is the best of both its boxes is always in the greedy result, so every
-    round takes all such pairs and drops the pairs of used-up boxes. Each round needs
-    only per-box maxima (combined before the shuffle) and ends in stored rows; whether
-    any are left is all the driver sees.
+    Under a total order such a pair is always in the greedy result. The round needs only
+    per-box maxima, combined before the shuffle.
     """
     rank = F.struct("iou", "pred", "gt")
-    left, found = durable(pairs), []
-    while not left.isEmpty():
-        best_p = left.groupBy(*keys, "pred").agg(F.max(rank).alias("b"), F.first("np").alias("np")).select(*keys, "pred", "b.gt", "np")
-        best_g = left.groupBy(*keys, "gt").agg(F.max(rank).alias("b"), F.first("ng").alias("ng")).select(*keys, "b.pred", "gt", "ng")
-        taken = best_p.join(best_g, [*keys, "pred", "gt"]).withColumn("m", F.least("np", "ng")).drop("np", "ng")
-        taken = durable(taken)
-        found.append(taken)
-        used_p = taken.select(*keys, "pred", F.col("m").alias("_mp"))
-        used_g = taken.select(*keys, "gt", F.col("m").alias("_mg"))
-        rest = left.join(used_p, [*keys, "pred"], "left").join(used_g, [*keys, "gt"], "left")
-        rest = rest.withColumns(
-            {"np": F.col("np") - F.coalesce("_mp", F.lit(0)), "ng": F.col("ng") - F.coalesce("_mg", F.lit(0))}
-        )
-        left = durable(rest.where("np > 0 AND ng > 0").select(*pairs.columns))
-    empty = pairs.select(*keys, "pred", "gt", F.col("np").alias("m")).limit(0)
-    return reduce(DataFrame.unionByName, found) if found else empty
+    best_p = left.groupBy(*keys, "pred").agg(F.max(rank).alias("b"), F.first("np").alias("np")).select(*keys, "pred", "b.gt", "np")
+    best_g = left.groupBy(*keys, "gt").agg(F.max(rank).alias("b"), F.first("ng").alias("ng")).select(*keys, "b.pred", "gt", "ng")
+    taken = best_p.join(best_g, [*keys, "pred", "gt"]).withColumn("m", F.least("np", "ng")).drop("np", "ng")
+    taken = durable(taken)
+    used_p = taken.select(*keys, "pred", F.col("m").alias("_mp"))
+    used_g = taken.select(*keys, "gt", F.col("m").alias("_mg"))
+    rest = left.join(used_p, [*keys, "pred"], "left").join(used_g, [*keys, "gt"], "left")
+    rest = rest.withColumns(
+        {"np": F.col("np") - F.coalesce("_mp", F.lit(0)), "ng": F.col("ng") - F.coalesce("_mg", F.lit(0))}
+    )
+    return taken, durable(rest.where("np > 0 AND ng > 0").select(*left.columns))
 
 
 def _component_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same matching for large groups, folded per conflict component.
+    """Greedy matching per connected component of the pairs, which are streamed in order.
 
-    Pairs that share no box do not contend, so each connected component of the pairs is
-    matched alone. Components are local however large the group is; finding them takes
-    rounds that grow with the logarithm of a chain's length.
+    Pairs that share no box do not contend. A task reads the pairs of its components from
+    the best one on and remembers only what is left of the boxes of the present one.
     """
 
     def node(side: str, key: str) -> Column:
         return F.struct(*keys, F.lit(side).alias("_side"), F.col(key).cast("string").alias("_key"))
 
     labels = connected_components(pairs.select(node("p", "pred").alias("a"), node("g", "gt").alias("b")))
-    at = labels.select(F.col("id").alias("_node"), F.col("label").alias("_label"))
-    labelled = pairs.withColumn("_node", node("p", "pred")).join(at, "_node").drop("_node")
-    return _fold_matches(labelled, [*keys, "_label"]).drop("_label")
+    at = labels.select(F.col("id").alias("_node"), F.to_json("label").alias("_label"))
+    labelled = pairs.withColumn("_node", node("p", "pred")).join(at, "_node")
+    order = [F.col("_label"), F.desc("iou"), F.desc("pred"), F.desc("gt")]
+    text = [F.col(c).cast("string").alias(f"_{c}") for c in ("pred", "gt")]
+    own = [*keys, "pred", "gt"]
+    ranked = labelled.repartition("_label").sortWithinPartitions(*order).select(*own, "np", "ng", "_label", *text)
+    shape = pairs.select(*own, F.col("np").alias("m")).schema
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free_p, free_g = None, {}, {}
+        for batch in batches:
+            places, counts = [], []
+            rows = zip(*(c.to_pylist() for c in batch.columns[len(own) :]), strict=True)
+            for place, (n_pred, n_gt, label, pred, gt) in enumerate(rows):
+                if label != now:
+                    now, free_p, free_g = label, {}, {}
+                m = min(free_p.get(pred, n_pred), free_g.get(gt, n_gt))
+                if m > 0:
+                    free_p[pred], free_g[gt] = free_p.get(pred, n_pred) - m, free_g.get(gt, n_gt) - m
+                    places.append(place)
+                    counts.append(m)
+            kept = batch.take(pa.array(places, pa.int64())).columns[: len(own)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, arrow.types[-1])], schema=arrow)
+
+    return ranked.mapInArrow(run, shape)
+
+
+def _matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs (keys, pred, gt, m) taken in descending (iou, pred, gt) order.
+
+    ``pairs`` also holds ``np`` and ``ng``, the number of equal boxes each side stands for;
+    ``m`` is the number of matches of the pair. One path for groups of every size: rounds
+    that take mutual best pairs leave little, and that contends in small components.
+    """
+    left, found = durable(pairs), []
+    for _ in range(ROUNDS):
+        taken, left = _mutual_round(left, keys)
+        found.append(taken.select(*keys, "pred", "gt", "m"))
+    if not left.isEmpty():
+        found.append(_component_matches(left, keys))
+    return reduce(DataFrame.unionByName, found)
 
 
-def greedy_matches(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """One-to-one pairs taken in descending (iou, pred, gt) order per group.
-
-    Groups of up to ``fold_limit`` pairs are folded inside one row; larger groups are
-    folded per connected component of their pairs, which gives the same matching.
-    """
-    pairs = durable(pairs)
-    sizes = pairs.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = durable(sizes.where(F.col("_n") > fold_limit).drop("_n"))
-    if large.isEmpty():
-        return _fold_matches(pairs, keys)
-    small = pairs.join(large, list(keys), "left_anti")
-    big = durable(pairs.join(large, list(keys), "left_semi"))
-    return _fold_matches(small, keys).unionByName(_component_matches(big, keys))
+def greedy_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One-to-one pairs (keys, pred, gt) taken in descending (iou, pred, gt) order per group."""
+    one = F.lit(1).cast("bigint")
+    return _matches(pairs.withColumns({"np": one, "ng": one}), list(keys)).drop("m")
 
 
 _SIDES = ("x1", "y1", "x2", "y2")
@@ -132,8 +125,8 @@ def _take_apart(
     return pairs.join(tied, [*keys, side], "left_anti").select(*pairs.columns).unionByName(opened)
 
 
-def crowded_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """Greedy matches (keys, pred, gt, m) of groups with many boxes on both sides.
+def class_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Greedy matches (keys, pred, gt, m) of classes of equal boxes.
 
     Equal boxes have the same IoU with everything, so copies are paired as one class
     with a count, and n copies against m copies make one pair instead of n * m. Only
@@ -148,50 +141,33 @@ def crowded_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], thresho
     pairs = iou_join(cp, cg, keys, threshold)
     pairs = pairs.join(cp.select(*keys, F.col("key").alias("pred"), F.col("n").alias("np")), [*keys, "pred"])
     pairs = durable(pairs.join(cg.select(*keys, F.col("key").alias("gt"), F.col("n").alias("ng")), [*keys, "gt"]))
-    tied_gt, tied_pred = _tied(pairs, keys, "gt", "ng"), _tied(pairs, keys, "pred", "np")
-    pairs = _take_apart(pairs, tied_gt, gt, cg, keys, "gt", "ng")
-    pairs = _take_apart(pairs, tied_pred, pred, cp, keys, "pred", "np")
-    return _mutual_matches(pairs, keys)
-
-
-def match_boxes(
-    gt: DataFrame,
-    pred: DataFrame,
-    keys: Sequence[str],
-    threshold: float = 0.3,
-    fold_limit: int = FOLD_LIMIT,
-    crowd_limit: int = CROWD_LIMIT,
-) -> DataFrame:
+    if not pairs.where("np > 1 OR ng > 1").isEmpty():
+        tied_gt, tied_pred = _tied(pairs, keys, "gt", "ng"), _tied(pairs, keys, "pred", "np")
+        pairs = _take_apart(pairs, tied_gt, gt, cg, keys, "gt", "ng")
+        pairs = _take_apart(pairs, tied_pred, pred, cp, keys, "pred", "np")
+    return _matches(pairs, keys)
+
+
+def match_boxes(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.3) -> DataFrame:
     """True positives, false positives and misses per group.
 
-    Inputs hold ``keys``, an orderable ``key`` unique inside the group, and x1..y2. A
-    group with more than ``crowd_limit`` boxes on both sides is matched by classes of
-    equal boxes. Neither limit changes the result.
+    Inputs hold ``keys``, an orderable ``key`` unique inside the group, and x1..y2. Groups
+    of every size take the same path: classes of equal boxes, then mutual best pairs, then
+    the components of what is left.
     """
     keys = list(keys)
     # Both sides are read for the group sizes and again for the pairs.
     gt, pred = [durable(df.select(*keys, "key", *_SIDES)) for df in (gt, pred)]
     one, zero = F.lit(1), F.lit(0)
     sides = gt.select(*keys, zero.alias("_p"), one.alias("_g")).unionByName(pred.select(*keys, one.alias("_p"), zero.alias("_g")))
-    sizes = durable(sides.groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_g").alias("_g")))
-    crowds = durable(sizes.where((F.col("_p") > crowd_limit) & (F.col("_g") > crowd_limit)).select(*keys))
-    if crowds.isEmpty():
-        matches = _counted(greedy_matches(iou_join(pred, gt, keys, threshold), keys, fold_limit), keys)
-    else:
-        some, rest = [[df.join(crowds, keys, how) for df in (gt, pred)] for how in ("left_semi", "left_anti")]
-        plain = greedy_matches(iou_join(rest[1], rest[0], keys, threshold), keys, fold_limit)
-        crowded = crowded_matches(*some, keys, threshold).groupBy(*keys).agg(F.sum("m").alias("_m"))
-        matches = _counted(plain, keys).unionByName(crowded)
+    sizes = sides.groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_g").alias("_g"))
+    matches = class_matches(gt, pred, keys, threshold).groupBy(*keys).agg(F.sum("m").alias("_m"))
     tp = F.coalesce("_m", F.lit(0)).cast("bigint")
     return sizes.join(matches, keys, "left").select(
         *keys, tp.alias("tp"), (F.col("_p") - tp).alias("fp"), (F.col("_g") - tp).alias("fn")
     )
 
 
-def _counted(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return matches.groupBy(*keys).agg(F.count("*").alias("_m"))
-
-
 def _with_overall(df: DataFrame, by: Sequence[str], marker: str, aggs: Sequence[Column]) -> DataFrame:
     sets = [[*by, marker], list(by)]
     out = df.groupingSets(sets, *by, marker).agg(F.grouping(marker).alias("_all"), *aggs)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators import detection as dt
 from lamella.operators import evaluation as ev
+from lamella.operators import pixel_kernels as pk
 from lamella.operators import pixels as px
 from lamella.session import durable
 
@@ -44,17 +45,19 @@ def fov_stacks(
         "h",
     )
     stain = nuclear.select("slide_name", "channel")
-    marked = wanted.select("slide_name", F.col("marker").alias("channel"))
+    marked = wanted.select("slide_name", "fov_id", F.col("marker").alias("channel"))
     present = tiles.select("slide_name", "channel").distinct()
-    channels = marked.unionByName(stain).distinct().join(present, ["slide_name", "channel"], "left_semi")
+    stained = wanted.select("slide_name", "fov_id").distinct().join(stain, "slide_name").select(*marked.columns)
+    # Only what is looked at is stitched: the markers of each field of view, and the stain.
+    spots = grid.select("request_id", "slide_name", "fov_id")
+    asked = marked.unionByName(stained).distinct().join(present, ["slide_name", "channel"], "left_semi")
+    channels = spots.join(asked, ["slide_name", "fov_id"]).select("request_id", "slide_name", "channel")
     strips = px.read_region(tiles, requests, channels, edge)
     images = strips.groupBy("request_id", "channel").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row", "px"))), lambda s: s["px"])).alias("px")
     )
     placed = images.join(grid, "request_id")
-    padded = placed.withColumn("px", px.pad_tile(F.col("px"), F.col("h"), F.col("w"), size)).withColumns(
-        {"h": F.lit(size), "w": F.lit(size)}
-    )
+    padded = pk.pad_tiles(placed, size).withColumns({"h": F.lit(size), "w": F.lit(size)})
     place = ["slide_name", "fov_id", "ty", "tx", "ox", "oy"]
     stacks = px.stack_rgb16(padded, stain, place).withColumnRenamed("channel", "marker")
     return stacks.join(wanted.select("slide_name", "fov_id", "marker").distinct(), ["slide_name", "fov_id", "marker"], "left_semi")

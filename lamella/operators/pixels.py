@@ -1,8 +1,9 @@
 """Pixel tiles: statistics, compositing, normalisation, cropping, resampling.
 
 A tile row holds slide_name, channel, level, tile_y, tile_x, h, w and ``px``, its pixels
-row by row. Work on one tile stays inside the row as array functions. Crops and
-resampling move row strips, not single pixels, between tasks.
+row by row. Work on one tile stays inside the row as array functions; ``pixel_kernels`` has
+the same for whole batches of tiles. Crops and resampling move row strips, not single
+pixels, between tasks.
 """
 
 from __future__ import annotations
@@ -130,15 +131,13 @@ def composite(tiles: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
-def thumbnail(tiles: DataFrame, levels: DataFrame, settings: DataFrame) -> DataFrame:
-    """Composite of the coarsest level of slides with several levels and a small last one."""
+def thumbnail_levels(levels: DataFrame) -> DataFrame:
+    """(slide_name, level, factor): the coarsest level of slides with several and a small last one."""
     last = levels.groupBy("slide_name").agg(
         F.count("*").alias("n"), F.max_by(F.struct("level", "factor", "width", "height"), "level").alias("l")
     )
     fit = last.where((F.col("n") >= 2) & (F.col("l.width").cast("bigint") * F.col("l.height") <= THUMBNAIL_PIXELS))
-    wanted = fit.select("slide_name", "l.level", "l.factor")
-    out = composite(tiles.join(wanted.drop("factor"), ["slide_name", "level"]).select(*tiles.columns), settings)
-    return out.join(wanted, ["slide_name", "level"])
+    return fit.select("slide_name", "l.level", "l.factor")
 
 
 def normalize_minmax(px: Column, lo: Column, hi: Column) -> Column:
@@ -248,11 +247,12 @@ def read_region(tiles: DataFrame, requests: DataFrame, channels: DataFrame, size
     """Row strips (request_id, channel, row, px) of a rectangle of one level.
 
     ``requests`` holds request_id, slide_name, level, x, y, w and h; ``channels`` holds
-    slide_name and channel. A negative corner moves to 0 without shrinking the
+    slide_name and channel, and request_id where each request has its own. A negative corner moves to 0 without shrinking the
     rectangle; pixels outside the slide are 0. Every covered tile gives one segment per
     row, and the segments of a row are joined, so no step handles single pixels.
     """
-    at = requests.withColumns({c: F.greatest(c, F.lit(0)) for c in ("x", "y")}).join(channels, "slide_name")
+    on = ["slide_name", *(["request_id"] if "request_id" in channels.columns else [])]
+    at = requests.withColumns({c: F.greatest(c, F.lit(0)) for c in ("x", "y")}).join(channels, on)
     span = lambda c, n: F.sequence(F.floor(F.col(c) / size).cast("int"), F.floor((F.col(c) + F.col(n) - 1) / size).cast("int"))
     grid = at.withColumnsRenamed({"w": "_w", "h": "_h"}).where("_w > 0 AND _h > 0")
     grid = grid.withColumn("tile_y", F.explode(span("y", "_h"))).withColumn("tile_x", F.explode(span("x", "_w")))
@@ -300,9 +300,14 @@ def downsample_nearest(tiles: DataFrame, dims: DataFrame, remaining: float, size
     def picks(n: str, tile: str, extent: str) -> Column:
         count = out(n)
         step = (F.col(n) - 1) / F.greatest(count - 1, F.lit(1))
-        every = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        begin = F.col(tile) * size
+        # The output rows whose source can lie in the tile, by arithmetic, with one to spare.
+        low = F.greatest(F.floor((begin - 1) / F.nullif(step, F.lit(0.0))), F.lit(0))
+        high = F.least(F.ceil((begin + F.col(extent) + 1) / F.nullif(step, F.lit(0.0))), count - 1)
+        low, high = [F.coalesce(v, F.lit(0)).cast("int") for v in (low, high)]
+        near = F.when((count > 0) & (high >= low), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
         source = lambda k: F.when((k == count - 1) & (count > 1), F.col(n) - 1).otherwise(F.rint(k * step).cast("int"))
-        pairs = F.transform(every, lambda k: F.struct(k.alias("k"), (source(k) - F.col(tile) * size).alias("at")))
+        pairs = F.transform(near, lambda k: F.struct(k.alias("k"), (source(k) - begin).alias("at")))
         return F.filter(pairs, lambda p: (p["at"] >= 0) & (p["at"] < F.col(extent)))
 
     chosen = sized.withColumns({"_rows": picks("height", "tile_y", "h"), "_cols": picks("width", "tile_x", "w")})

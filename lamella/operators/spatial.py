@@ -70,9 +70,8 @@ def overlap_pairs(
     for mine, p, its, q in ((left, "l_", right, "r_"), (right, "r_", left, "l_")):
         other = grids_in_use(its, grid_of(*bx.box(q), size))
         own = mine.withColumn(f"{p}_grid", grid_of(*bx.box(p), size))
-        coarser = F.filter(other, lambda g, p=p: g > F.col(f"{p}_grid"))
-        dealt = own.withColumn("_grid", F.explode(F.concat(F.array(f"{p}_grid"), coarser)))
-        sides.append(grid_cells(dealt, *bx.box(p), size))
+        every = own.withColumn("_grid", F.explode(F.array_union(F.array(f"{p}_grid"), other)))
+        sides.append(grid_cells(every.where(F.col("_grid") >= F.col(f"{p}_grid")), *bx.box(p), size))
     joined = sides[0].join(sides[1], [*keys, "_grid", "_cx", "_cy"])
     low_x = F.greatest("l_x1", "r_x1")
     low_y = F.greatest("l_y1", "r_y1")

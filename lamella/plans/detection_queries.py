@@ -227,6 +227,19 @@ def nms_polygons(t: Tables) -> DataFrame:
     return dt.nms_polygons(t.star_polygons, 0.3, ["fov_id"]).select("fov_id", "id")
 
 
+@query(
+    "label_runs",
+    """SELECT fov_id, CAST(yy AS INT) AS row, CAST(MIN(xx) AS INT) AS x0, CAST(MAX(xx) AS INT) AS x1, id + 1 AS label FROM (
+ SELECT fov_id, yy, xx, id, xx - row_number() OVER (PARTITION BY fov_id, yy, id ORDER BY xx) AS island FROM (
+  SELECT *, row_number() OVER (PARTITION BY fov_id, yy, xx ORDER BY prob DESC, id DESC) AS rn FROM (
+  SELECT m.fov_id, m.id, m.prob, r.yy, unnest(generate_series(greatest(r.x0, 0), least(r.x1, 499))) AS xx FROM {sruns} r JOIN {smeta} m ON m.id = r.id WHERE r.yy BETWEEN 0 AND 499) a) b WHERE rn = 1) c
+ GROUP BY fov_id, yy, id, island""",
+    STAR,
+)
+def label_runs(t: Tables) -> DataFrame:
+    return dt.label_runs(t.star_polygons.withColumnRenamed("id", "idx"), "fov_id", 500, 500)
+
+
 @query(
     "label_image",
     """SELECT fov_id, CAST(yy AS INT) AS row, CAST(xx AS INT) AS col, id + 1 AS label FROM (SELECT *, row_number() OVER (PARTITION BY fov_id, yy, xx ORDER BY prob DESC, id DESC) AS rn FROM (

@@ -11,8 +11,9 @@ from lamella.operators import spatial as sp
 from lamella.plans.annotation_queries import pairs_of
 from lamella.plans.flagship import NAIVE, gt_boxes, pred_boxes, rounded
 from lamella.plans.registry import query
-from lamella.session import scratch_path
+from lamella.session import durable, scratch_path
 from lamella.sources import files as fl
+from lamella.sources import tables as tb
 from lamella.sources.derived import Tables
 
 FILE_NAME = "{0}.slide_name || '_' || {0}.{1} || '_' || CAST(CAST(round_even({0}.{2}x,0) AS BIGINT) AS STRING) || '_' || CAST(CAST(round_even({0}.{2}y,0) AS BIGINT) AS STRING) || '.png'"
@@ -251,10 +252,40 @@ def read_box_text(t: Tables) -> DataFrame:
     BOXES,
 )
 def load_structured(t: Tables) -> DataFrame:
+    return structured(t).select("type", "slide_name", "biomarker", "x", "y", "w", "h")
+
+
+def structured(t: Tables) -> DataFrame:
     from lamella.plans.region_queries import region_table
 
     docs = ex.regions_json(region_table(t))
     parsed = docs.select("slide_name", F.from_json("js", fl.REGION_JSON).alias("d")).select("slide_name", "d.*")
     fovs = fl.region_image_fovs(t.fov_files, t.slides)
-    out = fl.load_structured(parsed_boxes(t), fovs, fl.regions_from_json(parsed))
-    return out.select("type", "slide_name", "biomarker", "x", "y", "w", "h")
+    return fl.load_structured(parsed_boxes(t), fovs, fl.regions_from_json(parsed))
+
+
+@query(
+    "import_structured",
+    r"""SELECT type, slide_name, biomarker, x, y, n_points, CAST(1 AS BIGINT) AS same_id, true AS dated FROM (
+ SELECT 'cell_marker' AS type, slide_name, biomarker, x, y, CAST(0 AS BIGINT) AS n_points FROM {rb}
+ UNION ALL SELECT 'fov', slide_name, '', CAST(fov_x AS DOUBLE), CAST(fov_y AS DOUBLE), 0 FROM (SELECT slide_name, fov_x, fov_y FROM {rb}
+  UNION SELECT slide_name, CAST(regexp_extract(file_name, '_(-?\d+)_(-?\d+)\.png$', 1) AS INT), CAST(regexp_extract(file_name, '_(-?\d+)_(-?\d+)\.png$', 2) AS INT) FROM {fov_files}) u
+ UNION ALL SELECT 'region', r.slide_name, r.biomarker, NULL, NULL, COUNT(*) FROM {regions} r JOIN {region_points} p ON p.annotation_id = r.id GROUP BY r.id, r.slide_name, r.biomarker) q""",
+    BOXES,
+)
+def import_structured(t: Tables) -> DataFrame:
+    """Parsed files saved as annotations and read back: every row has an id of its own and a time."""
+    from lamella.operators.regions import explode_region_points
+
+    root = scratch_path(t.spark, "imported")
+    rows = durable(structured(t))
+    regions = rows.where("type = 'region'")
+    points = explode_region_points(regions).join(regions.select(F.col("id").alias("annotation_id"), "slide_name"), "annotation_id")
+    tb.save_annotations(rows.drop("rings"), points, rows.select("slide_name"), root, F.current_timestamp())
+    back = tb.read_annotations(t.spark, root)
+    n = back["region_points"].groupBy(F.col("annotation_id").alias("id")).agg(F.count("*").alias("n"))
+    ids = back["annotations"].groupBy("id").agg(F.count("*").alias("same_id"))
+    out = back["annotations"].join(ids, "id").join(n, "id", "left")
+    return out.select(
+        "type", "slide_name", "biomarker", "x", "y", F.coalesce("n", F.lit(0)).alias("n_points"), "same_id", F.col("created_at").isNotNull().alias("dated")
+    )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lamella.operators import catalog as ct
 from lamella.operators import inference as nf
 from lamella.operators.inference import TILE_KEY
-from lamella.plans.flagship import rounded
+from lamella.operators import spatial as sp
+from lamella.plans.flagship import METRICS_SQL, RATIO_SQL, greedy_sql, rounded
 from lamella.plans.pixel_queries import EDGE, REGION
 from lamella.plans.registry import query
 from lamella.sources.derived import Tables
@@ -59,3 +60,29 @@ def model_tiles(t: Tables) -> DataFrame:
 def detect_in_fovs(t: Tables) -> DataFrame:
     out = nf.detect_in_fovs(model_tiles(t), load_peaks, score=0.3)
     return rounded(out.withColumns({"ty": F.col("key.ty"), "tx": F.col("key.tx")}).drop("key"), "score")
+
+
+#: Truth boxes around the markers, in the pixels that the fields of view are scaled to, and
+#: the detector's boxes in the fields of view that have some.
+MODEL = {
+    **PEAKS,
+    **greedy_sql(0.05),
+    "gtb": """SELECT m.slide_name, m.fov_id, m.biomarker AS marker, m.marker_id, m.created_at, floor(m.x/64) - 10 AS x1, floor(m.y/64) - 10 AS y1, floor(m.x/64) - 6 AS x2, floor(m.y/64) - 6 AS y2
+ FROM {mf} m JOIN {chn} c ON c.slide_name = m.slide_name AND c.channel = m.biomarker""",
+    "prb": """SELECT p.slide_name, p.fov_id, p.marker, p.ty * 1000 + p.tx AS gt_id, CAST(p.lx - 2 + p.ox + p.tx AS DOUBLE) AS x1, CAST(p.ly - 2 + p.oy + p.ty AS DOUBLE) AS y1,
+ CAST(p.lx + 2 + p.ox + p.tx AS DOUBLE) AS x2, CAST(p.ly + 2 + p.oy + p.ty AS DOUBLE) AS y2
+ FROM {peak} p JOIN (SELECT DISTINCT slide_name, fov_id, marker FROM {gtb}) g ON g.slide_name = p.slide_name AND g.fov_id = p.fov_id AND g.marker = p.marker WHERE p.v/65535.0::DOUBLE > 0.3""",
+}
+
+
+@query("evaluate_model", RATIO_SQL.replace("{by}", "") + METRICS_SQL.replace("{src}", "{matched}") + ") a) b", MODEL, recursive=True)
+def evaluate_model(t: Tables) -> DataFrame:
+    """From pixels and annotations to the metrics of a detector."""
+    near = lambda c, d: (F.floor(F.col(c) / 64) + d).cast("double")
+    pairs = sp.markers_in_fovs(t.markers, t.fovs)
+    sides = {"x1": near("x", -10), "y1": near("y", -10), "x2": near("x", -6), "y2": near("y", -6)}
+    key = F.struct("created_at", "marker_id").alias("key")
+    gt = pairs.select("slide_name", "fov_id", F.col("biomarker").alias("marker"), key, *[c.alias(k) for k, c in sides.items()])
+    nuclear = t.channels.join(ct.nuclear_channel(t.channels), ["slide_name", "idx"]).select("slide_name", F.col("name").alias("channel"))
+    out = nf.evaluate_model(gt, t.tiles, small_fovs(t), nuclear, load_peaks, iou=0.05, score=0.3, size=EDGE, edge=EDGE)
+    return rounded(out, "precision", "recall", "f1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators import catalog as ct
 from lamella.operators import evaluation as ev
+from lamella.operators import pixel_kernels as pk
 from lamella.operators import pixels as px
 from lamella.plans.flagship import rounded
 from lamella.plans.registry import query
@@ -83,7 +84,7 @@ COMP = {
 
 @query("composite", "SELECT slide_name, tile_y, tile_x, i, r, g, b, CAST(255 AS SMALLINT) AS a FROM {rgb}", COMP)
 def composite(t: Tables) -> DataFrame:
-    out = px.composite(t.tiles, t.channel_settings)
+    out = pk.composite(t.tiles, t.channel_settings)
     return long(out, ["slide_name", "tile_y", "tile_x"], "r", "g", "b", "a")
 
 
@@ -91,7 +92,7 @@ def composite(t: Tables) -> DataFrame:
 def thumbnail(t: Tables) -> DataFrame:
     last = t.slide_dims.select("slide_name", (F.col("n_levels") - 1).alias("level"))
     tiles = t.tiles.drop("level").join(last, "slide_name")
-    return long(px.thumbnail(tiles, t.levels, t.channel_settings), ["slide_name", "tile_y", "tile_x"], "r", "g", "b")
+    return long(pk.thumbnail(tiles, t.levels, t.channel_settings), ["slide_name", "tile_y", "tile_x"], "r", "g", "b")
 
 
 @query(
@@ -99,8 +100,8 @@ def thumbnail(t: Tables) -> DataFrame:
     "SELECT slide_name, channel, tile_y, tile_x, i, CAST(trunc(least(greatest((v - 15000) / (25000.0::DOUBLE - 15000 + 1e-6::DOUBLE) * 255, 0), 255)) AS SMALLINT) AS n FROM {pixels}",
 )
 def normalize_minmax(t: Tables) -> DataFrame:
-    n = px.normalize_minmax(F.col("px"), F.lit(15000.0), F.lit(25000.0))
-    return long(t.tiles.withColumn("n", n), TILE_KEY, "n")
+    ranged = t.tiles.withColumns({"lo": F.lit(15000.0), "hi": F.lit(25000.0)})
+    return long(pk.normalize_minmax(ranged, "lo", "hi", "n"), TILE_KEY, "n")
 
 
 @query(
@@ -109,7 +110,7 @@ def normalize_minmax(t: Tables) -> DataFrame:
  (SELECT slide_name, channel, tile_y, tile_x, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.998) AS hi FROM {pixels} GROUP BY slide_name, channel, tile_y, tile_x) q USING (slide_name, channel, tile_y, tile_x)""",
 )
 def normalize_percentile(t: Tables) -> DataFrame:
-    return rounded(long(px.normalize_percentile(t.tiles), TILE_KEY, "norm"), "norm")
+    return rounded(long(pk.normalize_percentile(t.tiles), TILE_KEY, "norm"), "norm")
 
 
 STACK = {
@@ -141,7 +142,7 @@ def swap_rb(t: Tables) -> DataFrame:
     STACK,
 )
 def normalize_meanstd(t: Tables) -> DataFrame:
-    out = px.normalize_meanstd(stacks(t), *px.normalization_values("v1"))
+    out = pk.normalize_meanstd(stacks(t), *px.normalization_values("v1"))
     return rounded(long(out, TILE_KEY, *px.BANDS), *px.BANDS)
 
 
@@ -151,7 +152,7 @@ def normalize_meanstd(t: Tables) -> DataFrame:
     STACK,
 )
 def normalize_scale(t: Tables) -> DataFrame:
-    return rounded(long(px.normalize_scale(stacks(t)), TILE_KEY, *px.BANDS), *px.BANDS)
+    return rounded(long(pk.normalize_scale(stacks(t)), TILE_KEY, *px.BANDS), *px.BANDS)
 
 
 @query(
@@ -212,8 +213,8 @@ def downsample_nearest(t: Tables) -> DataFrame:
  LEFT JOIN {pixels} p ON g.i % 10 < 8 AND p.slide_name = t.slide_name AND p.channel = t.channel AND p.tile_y = t.tile_y AND p.tile_x = t.tile_x AND p.i = floor(g.i/10)*8 + g.i % 10 AND floor(g.i/10) < 8""",
 )
 def pad_tile(t: Tables) -> DataFrame:
-    padded = t.tiles.withColumn("v", px.pad_tile(F.col("px"), F.col("h"), F.col("w"), 10))
-    return long(padded, TILE_KEY, "v")
+    padded = pk.pad_tiles(t.tiles.select(*TILE_KEY, "h", "w", "px"), 10)
+    return long(padded.withColumnRenamed("px", "v"), TILE_KEY, "v")
 
 
 MASKS = {

@@ -29,7 +29,7 @@ def live_counts_stream(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "live")
     saves = t.spark.sql(SAVES, events=events)
     live.start_live_counts(saves, f"{path}/table", f"{path}/checkpoint", available_now=True).awaitTermination()
-    return t.spark.read.parquet(f"{path}/table").drop("bucket")
+    return live.read_counts(t.spark, f"{path}/table")
 
 
 REPLAY = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import boxes as bx
@@ -149,12 +149,19 @@ def region_image_fovs(files: DataFrame, slides: DataFrame) -> DataFrame:
 
 
 def load_structured(
-    boxes: DataFrame, region_fovs: DataFrame, regions: DataFrame, fov_w: float = bx.FOV_SIZE, fov_h: float = bx.FOV_SIZE
+    boxes: DataFrame,
+    region_fovs: DataFrame,
+    regions: DataFrame,
+    fov_w: float = bx.FOV_SIZE,
+    fov_h: float = bx.FOV_SIZE,
+    now: Column | None = None,
 ) -> DataFrame:
-    """All annotations of parsed files in one table.
+    """All annotations of parsed files in one table that can be saved.
 
     Fields of view are unique per whole-number corner over marker text and region image
-    names; they have the default size and no channel.
+    names; they have the default size and no channel. Rows get ``now`` as their time, and
+    regions keep the id of their document. Other ids are made from what a row says and,
+    where several rows say the same, from their number among those.
     """
     corners = boxes.select("slide_name", "fov_x", "fov_y").unionByName(region_fovs).distinct()
     fovs = corners.select(
@@ -167,8 +174,13 @@ def load_structured(
         F.lit(float(fov_h)).alias("h"),
     )
     size = F.lit(bx.MARKER_SIZE)
-    markers = boxes.where(F.col("x").isNotNull()).select(
-        F.lit("cell_marker").alias("type"), "slide_name", "biomarker", "x", "y", size.alias("w"), size.alias("h")
+    same = ["slide_name", "biomarker", "x", "y"]
+    copy = F.row_number().over(Window.partitionBy(*same).orderBy("fov_x", "fov_y"))
+    markers = boxes.where(F.col("x").isNotNull()).withColumn("_copy", copy).select(
+        F.lit("cell_marker").alias("type"), *same, size.alias("w"), size.alias("h"), "_copy"
     )
-    shapes = regions.select(F.lit("region").alias("type"), "slide_name", "biomarker", "rings")
-    return fovs.unionByName(markers).unionByName(shapes, allowMissingColumns=True)
+    shapes = regions.select(F.lit("region").alias("type"), "id", "slide_name", "biomarker", "rings")
+    rows = fovs.unionByName(markers, allowMissingColumns=True).unionByName(shapes, allowMissingColumns=True)
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("type", *same, "_copy")]
+    made = F.sha2(F.concat_ws("|", *said), 256)
+    return rows.withColumns({"id": F.coalesce("id", made), "created_at": F.current_timestamp() if now is None else now}).drop("_copy")

@@ -47,8 +47,10 @@ def greedy_counts(gt, pred, thr):
     return len(gs), len(pred) - len(ps), len(gt) - len(gs)
 
 
-@pytest.mark.parametrize("fold_limit, crowd_limit", [(10_000, 10_000), (20, 10_000), (0, 10_000), (10_000, 20), (0, 0)])
-def test_matching(spark, fold_limit, crowd_limit):
+@pytest.mark.parametrize("rounds", [2, 0, 5])
+def test_matching(spark, monkeypatch, rounds):
+    """How much the rounds take and how much the components is the same in the end."""
+    monkeypatch.setattr(ev, "ROUNDS", rounds)
     gt, pred = random_boxes(90, 1), random_boxes(100, 2)
     # Copies of one box on both sides, and copies whose IoU ties with other boxes.
     gt += [("g0", 1000 + i, 0.0, 5.0, 5.0, 15.0, 15.0) for i in range(7)]
@@ -58,7 +60,7 @@ def test_matching(spark, fold_limit, crowd_limit):
         gt.append(("g1", 2000 + (k * 5) % 12, 0.0, at[0], at[1], at[0] + 10, at[1] + 10))
         at = [202.0 + 4 * ((k * 7) % 2), 201.0 + 2 * (k % 2)]
         pred.append(("g1", 2000 + (k * 7) % 12, 0.0, at[0], at[1], at[0] + 10, at[1] + 10))
-    out = ev.match_boxes(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), ["g"], 0.2, fold_limit, crowd_limit)
+    out = ev.match_boxes(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), ["g"], 0.2)
     want = {k: greedy_counts([g for g in gt if g[0] == k], [p for p in pred if p[0] == k], 0.2) for k in ("g0", "g1", "g2")}
     assert {r.g: (r.tp, r.fp, r.fn) for r in out.collect()} == want
 
@@ -73,7 +75,7 @@ def test_matching_of_copies_and_ties(spark):
                 rows.append((f"g{case}", i, 0.0, x, y, x + 8, y + 8))
     a, b = spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX)
     for thr in (0.05, 0.3, 0.6):
-        got = {q.g: (q.tp, q.fp, q.fn) for q in ev.match_boxes(a, b, ["g"], thr, 0, 0).collect()}
+        got = {q.g: (q.tp, q.fp, q.fn) for q in ev.match_boxes(a, b, ["g"], thr).collect()}
         assert got == {k: greedy_counts([g for g in gt if g[0] == k], [p for p in pred if p[0] == k], thr) for k in got}
         assert len(got) == 40
 
@@ -84,7 +86,7 @@ def test_matching_along_a_chain(spark):
     gt = [("g", i, 0.0, 14.0 * i, 0.0, 14.0 * i + 10, 10.0) for i in range(n)]
     # Every box leans a little more to the next truth box than the one before it.
     pred = [("g", i, 0.0, 14.0 * i + 5 + i / n, 0.0, 14.0 * i + 19 + i / n, 10.0) for i in range(n)]
-    out = ev.match_boxes(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), ["g"], 0.05, 0)
+    out = ev.match_boxes(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), ["g"], 0.05)
     assert tuple(out.first())[1:] == greedy_counts(gt, pred, 0.05)
 
 
@@ -108,6 +110,44 @@ def test_nms(spark, spread):
     assert sorted(r.key for r in kept.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("threshold", [0.15, 0.6])
+def test_nms_of_a_crowd(spark, threshold):
+    """A third of all rows on one spot, copies and near copies, in cells that are cut and then wait."""
+    r = random.Random(17)
+    rows = random_boxes(600, 5, groups=2, spread=400)
+    for k in range(300):
+        x, y = 100 + r.randrange(16) / 4, 100 + r.randrange(16) / 4
+        rows.append(("g0", 10_000 + k, r.randrange(20) / 20, x, y, x + 9 + r.randrange(3), y + 9))
+    want = []
+    for g in ("g0", "g1"):
+        mine = []
+        for b in sorted((q for q in rows if q[0] == g), key=lambda q: (q[2], q[1]), reverse=True):
+            if all(iou(m[3:], b[3:], 1) <= threshold for m in mine):
+                mine.append(b)
+        want += [m[1] for m in mine]
+    df = spark.createDataFrame(rows, BOX)
+    for crowded in (10_000, 12):
+        assert sorted(q.key for q in dt.nms_boxes(df, threshold, ["g"], crowded).collect()) == sorted(want)
+
+
+def test_cells_are_gathered_up_to_a_bound(spark, monkeypatch):
+    """No cell hands more undecided items to one row than the bound, however many lie on one spot."""
+    sizes = []
+    inner = dt._settle_cells
+
+    def watched(state, by, hit):
+        most = state.where("NOT known").groupBy(*by).count().agg(F.max("count")).first()[0]
+        sizes.append(most or 0)
+        return inner(state, by, hit)
+
+    monkeypatch.setattr(dt, "_settle_cells", watched)
+    r = random.Random(18)
+    rows = [("g", k, r.random(), 50 + r.random(), 50 + r.random(), 60 + r.random(), 60 + r.random()) for k in range(3000)]
+    assert dt.nms_boxes(spark.createDataFrame(rows, BOX), 0.3, ["g"], 100).count() == 1
+    # The best item takes all others away before they are gathered.
+    assert sizes == [100]
+
+
 def test_nms_of_odd_boxes(spark):
     """Inverted boxes and boxes with a missing side have a defined result in finite time."""
     rows = [
@@ -171,11 +211,19 @@ def test_cells_do_not_change_joins(spark):
     assert pairs[7.0] == pairs[64.0] == pairs[1000.0] and pairs[7.0]
 
 
-def test_crowded_line_is_split(spark):
-    pairs = sp.markers_in_fovs(Tables(spark, FOLDER).markers, Tables(spark, FOLDER).fovs)
-    words = lambda df: sorted((r.fov_id, w) for r in df.collect() for w in r.line.split(": ")[1].split(" "))
-    whole, split = ex.box_text_lines(pairs), ex.box_text_lines(pairs, 2)
-    assert words(whole) == words(split) and split.count() > whole.count()
+def test_crowded_line_is_written_box_by_box(spark, tmp_path):
+    """A field of view with very many markers is one line of its file, in load order."""
+    n = 9000
+    markers = spark.range(n).select(
+        F.format_string("m%05d", "id").alias("id"), F.lit("s").alias("slide_name"), F.lit("CD8").alias("biomarker"),
+        (F.col("id") % 500).cast("double").alias("x"), (F.col("id") % 300).cast("double").alias("y"), (-F.col("id")).alias("created_at"),
+    )
+    fovs = spark.createDataFrame([("f", "s", "", 0.0, 0.0, 512.0, 512.0, 1)], "id string, slide_name string, biomarker string, x double, y double, w double, h double, created_at int")
+    ex.export_box_text(sp.markers_in_fovs(markers, fovs), str(tmp_path))
+    lines = (tmp_path / "s_CD8.txt").read_text().split("\n")
+    assert len(lines) == 2 and lines[1] == "" and lines[0].startswith("s_0_0: ")
+    corner = lambda k: f"{k % 500 - 10},{k % 300 - 10},{k % 500 + 10},{k % 300 + 10}"
+    assert lines[0].split(" ")[1:] == [corner(k) for k in reversed(range(n))]
 
 
 def test_components_of_chains_and_stars(spark):

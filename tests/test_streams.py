@@ -90,12 +90,53 @@ def test_live_counts(spark, tmp_path):
     want = sorted(map(tuple, live.live_counts(df).collect()))
     assert want == [("a", 2, 5, 1, 1), ("b", 3, 0, 0, 0)]
     table = str(tmp_path / "table")
+    assert live.read_counts(spark, table).collect() == []
     for start in (0, 2, 4, 4):  # The last batch comes twice.
-        live.upsert_counts(spark.createDataFrame(saves[start : start + 2], SAVE), table, 4)
-    got = spark.read.parquet(table).select("slide_name", "save_seq", "cell_marker", "region", "fov")
+        live.upsert_counts(spark.createDataFrame(saves[start : start + 2], SAVE), table, buckets=4)
+    got = live.read_counts(spark, table).select("slide_name", "save_seq", "cell_marker", "region", "fov")
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_live_counts_read_touched_buckets_only(spark, tmp_path):
+    """A batch reads and writes the buckets of its slides; old folders go once nobody reads them."""
+    table = str(tmp_path / "table")
+    many = spark.createDataFrame([(f"s{k}", 1, k, 0, 0) for k in range(200)], SAVE)
+    assert live.upsert_counts(many, table, 0, "a", 16) == []
+    one = spark.createDataFrame([("s7", 2, 70, 1, 1)], SAVE)
+    read = live.upsert_counts(one, table, 1, "a", 16)
+    assert len(read) == 1 and read[0].startswith("1/bucket=")
+    # The same batch again, and an older one, are passed over; another source's is not.
+    assert live.upsert_counts(spark.createDataFrame([("s7", 9, 0, 0, 0)], SAVE), table, 1, "a", 16) == []
+    assert live.upsert_counts(spark.createDataFrame([("s8", 3, 80, 0, 0)], SAVE), table, 0, "b", 16)
+    rows = {r.slide_name: (r.save_seq, r.cell_marker) for r in live.read_counts(spark, table).collect()}
+    assert len(rows) == 200 and rows["s7"] == (2, 70) and rows["s8"] == (3, 80) and rows["s9"] == (1, 9)
+    for k in range(4):
+        live.upsert_counts(one.withColumn("save_seq", F.lit(10 + k).cast("bigint")), table, buckets=16)
+    assert len(list((tmp_path / "table" / "manifest").glob("*.json"))) == 2
+    # Of the touched bucket only the newest version and the one before it are left.
+    bucket = read[0].split("/")[1]
+    assert len(list((tmp_path / "table" / "data").glob(f"*/{bucket}/*.parquet"))) == 2
+    assert live.read_counts(spark, table).count() == 200
+
+
+def test_killed_batch_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "table")
+    live.upsert_counts(spark.createDataFrame([("a", 1, 1, 1, 1)], SAVE), table, 0, "s")
+
+    def killed(*args):
+        raise RuntimeError("killed before the switch")
+
+    switch = live._switch
+    monkeypatch.setattr(live, "_switch", killed)
+    later = spark.createDataFrame([("a", 2, 2, 2, 2)], SAVE)
+    with pytest.raises(RuntimeError):
+        live.upsert_counts(later, table, 1, "s")
+    assert [tuple(r) for r in live.read_counts(spark, table).collect()] == [("a", 1, 1, 1, 1)]
+    monkeypatch.setattr(live, "_switch", switch)
+    live.upsert_counts(later, table, 1, "s")
+    assert [tuple(r) for r in live.read_counts(spark, table).collect()] == [("a", 2, 2, 2, 2)]
+
+
 def test_live_counts_as_streaming_aggregate(spark, tmp_path):
     saves = [("a", 2, 5, 1, 1), ("a", 1, 9, 9, 9), ("b", 1, 1, 0, 0)]
     spark.createDataFrame(saves, SAVE).write.parquet(str(tmp_path / "in"))

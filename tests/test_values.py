@@ -47,10 +47,9 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("fold_limit", [512, 0])
-def test_match_boxes(spark, fold_limit):
+def test_match_boxes(spark):
     rows = lambda k: [(f"case{i}", j, *map(float, b)) for i, c in enumerate(CASES) for j, b in enumerate(c[k])]
-    out = ev.match_boxes(spark.createDataFrame(rows(0), BOX), spark.createDataFrame(rows(1), BOX), ["g"], 0.3, fold_limit)
+    out = ev.match_boxes(spark.createDataFrame(rows(0), BOX), spark.createDataFrame(rows(1), BOX), ["g"], 0.3)
     assert {r.g: (r.tp, r.fp, r.fn) for r in out.collect()} == {f"case{i}": c[2] for i, c in enumerate(CASES)}
 
 
