@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lamella.functions import boxes as bx
 from lamella.functions.scores import precision_recall_f1
 from lamella.operators.regions import connected_components
-from lamella.operators.spatial import iou_join
+from lamella.operators.spatial import overlap_pairs
 from lamella.session import durable
 
 OVERALL = "__overall__"
@@ -83,10 +84,10 @@ def _matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs (keys, pred, gt, m) taken in descending (iou, pred, gt) order.
 
     ``pairs`` also holds ``np`` and ``ng``, the number of equal boxes each side stands for;
-    ``m`` is the number of matches of the pair. One path for groups of every size: rounds
+    ``m`` is the number of matches of the pair. ``pairs`` are read often. One path for groups of every size: rounds
     that take mutual best pairs leave little, and that contends in small components.
     """
-    left, found = durable(pairs), []
+    left, found = pairs, []
     for _ in range(ROUNDS):
         taken, left = _mutual_round(left, keys)
         found.append(taken.select(*keys, "pred", "gt", "m"))
@@ -98,7 +99,7 @@ def _matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def greedy_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One-to-one pairs (keys, pred, gt) taken in descending (iou, pred, gt) order per group."""
     one = F.lit(1).cast("bigint")
-    return _matches(pairs.withColumns({"np": one, "ng": one}), list(keys)).drop("m")
+    return _matches(durable(pairs.withColumns({"np": one, "ng": one})), list(keys)).drop("m")
 
 
 _SIDES = ("x1", "y1", "x2", "y2")
@@ -125,7 +126,14 @@ def _take_apart(
     return pairs.join(tied, [*keys, side], "left_anti").select(*pairs.columns).unionByName(opened)
 
 
-def class_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+def box_classes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Classes of equal boxes of a group: their greatest ``key`` and their number ``n``."""
+    return durable(df.groupBy(*keys, *_SIDES).agg(F.max("key").alias("key"), F.count("*").alias("n")))
+
+
+def class_matches(
+    gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float, classes: Sequence[DataFrame] | None = None
+) -> DataFrame:
     """Greedy matches (keys, pred, gt, m) of classes of equal boxes.
 
     Equal boxes have the same IoU with everything, so copies are paired as one class
@@ -133,35 +141,40 @@ def class_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold
     classes in a tie between different boxes are taken apart again.
     """
     keys = list(keys)
+    cg, cp = classes or [box_classes(df, keys) for df in (gt, pred)]
+    score = bx.iou(bx.box("l_"), bx.box("r_"))
 
-    def classes(df: DataFrame) -> DataFrame:
-        return durable(df.groupBy(*keys, *_SIDES).agg(F.max("key").alias("key"), F.count("*").alias("n")))
+    def side(df: DataFrame, name: str, n: str, p: str) -> DataFrame:
+        return df.select(*keys, F.col("key").alias(name), F.col("n").alias(n), *[F.col(c).alias(f"{p}{c}") for c in _SIDES])
 
-    cg, cp = classes(gt), classes(pred)
-    pairs = iou_join(cp, cg, keys, threshold)
-    pairs = pairs.join(cp.select(*keys, F.col("key").alias("pred"), F.col("n").alias("np")), [*keys, "pred"])
-    pairs = durable(pairs.join(cg.select(*keys, F.col("key").alias("gt"), F.col("n").alias("ng")), [*keys, "gt"]))
+    near = overlap_pairs(side(cp, "pred", "np", "l_"), side(cg, "gt", "ng", "r_"), keys, residual=score >= F.lit(float(threshold)))
+    pairs = durable(near.select(*keys, "pred", "gt", score.alias("iou"), "np", "ng"))
     if not pairs.where("np > 1 OR ng > 1").isEmpty():
         tied_gt, tied_pred = _tied(pairs, keys, "gt", "ng"), _tied(pairs, keys, "pred", "np")
         pairs = _take_apart(pairs, tied_gt, gt, cg, keys, "gt", "ng")
-        pairs = _take_apart(pairs, tied_pred, pred, cp, keys, "pred", "np")
+        pairs = durable(_take_apart(pairs, tied_pred, pred, cp, keys, "pred", "np"))
     return _matches(pairs, keys)
 
 
 def match_boxes(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.3) -> DataFrame:
     """True positives, false positives and misses per group.
 
-    Inputs hold ``keys``, an orderable ``key`` unique inside the group, and x1..y2. Groups
-    of every size take the same path: classes of equal boxes, then mutual best pairs, then
-    the components of what is left.
+    Inputs hold ``keys``, an orderable ``key`` unique inside the group, and x1..y2. The
+    threshold must be positive: boxes without common area never pair. Groups of every size
+    take the same path: classes of equal boxes, then mutual best pairs, then the components
+    of what is left.
     """
+    if threshold <= 0:
+        raise ValueError("the IoU threshold must be positive")
     keys = list(keys)
-    # Both sides are read for the group sizes and again for the pairs.
-    gt, pred = [durable(df.select(*keys, "key", *_SIDES)) for df in (gt, pred)]
-    one, zero = F.lit(1), F.lit(0)
-    sides = gt.select(*keys, zero.alias("_p"), one.alias("_g")).unionByName(pred.select(*keys, one.alias("_p"), zero.alias("_g")))
+    gt, pred = [df.select(*keys, "key", *_SIDES) for df in (gt, pred)]
+    classes = [box_classes(df, keys) for df in (gt, pred)]
+    none = F.lit(0).cast("bigint")
+    sides = classes[0].select(*keys, none.alias("_p"), F.col("n").alias("_g")).unionByName(
+        classes[1].select(*keys, F.col("n").alias("_p"), none.alias("_g"))
+    )
     sizes = sides.groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_g").alias("_g"))
-    matches = class_matches(gt, pred, keys, threshold).groupBy(*keys).agg(F.sum("m").alias("_m"))
+    matches = class_matches(gt, pred, keys, threshold, classes).groupBy(*keys).agg(F.sum("m").alias("_m"))
     tp = F.coalesce("_m", F.lit(0)).cast("bigint")
     return sizes.join(matches, keys, "left").select(
         *keys, tp.alias("tp"), (F.col("_p") - tp).alias("fp"), (F.col("_g") - tp).alias("fn")

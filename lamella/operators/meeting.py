@@ -135,11 +135,11 @@ def sized_cells(edges: DataFrame, keys: Sequence[str], size: float = CELL, most:
     down to single pixels. The driver sees only whether any are left.
     """
     by = [*keys, "_cx", "_cy"]
-    cells, done = durable(edge_cells(edges, size)), []
-    while True:
-        crowded = _crowded_cells(cells, by, most) if size > SMALLEST else None
-        if crowded is None or crowded.isEmpty():
-            return [*done, (cells, size)]
+    cells, done = edge_cells(edges, size), []
+    while size > SMALLEST:
+        crowded = _crowded_cells(cells, by, most)
+        if crowded.isEmpty():
+            break
         done.append((cells.join(crowded, by, "left_anti"), size))
         inside = cells.join(crowded, by, "left_semi").withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
         size /= 2
@@ -147,6 +147,7 @@ def sized_cells(edges: DataFrame, keys: Sequence[str], size: float = CELL, most:
         # Each crowded cell deals its edges to its own four parts only.
         own = (F.floor(F.col("_cx") / 2) == F.col("_px")) & (F.floor(F.col("_cy") / 2) == F.col("_py"))
         cells = durable(parts.where(own).drop("_px", "_py"))
+    return [*done, (cells, size)]
 
 
 def spanning_links(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, owner: np.ndarray, at_once: int = 256):

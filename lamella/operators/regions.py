@@ -295,13 +295,13 @@ def component_edges(regions: DataFrame) -> DataFrame:
 
     Boundaries are connected first, ring by ring and cell by cell, by spanning forests. A
     connected group of boundaries then lies inside another region, or outside of it, as a
-    whole, so one point of each group decides on containment. Neither step forms the pairs
-    of a crowd.
+    whole, so one point of each group decides on containment: that of a ring which no link
+    joins to a lesser one, as every group has. Neither step forms the pairs of a crowd.
     """
     keys = ["slide_name", "biomarker"]
-    links = durable(mt.ring_links(mt.region_edges(regions, keys), keys))
-    groups = connected_components(links)
-    later = groups.where("id <> label").select("id.id", "id.ring")
+    edges = durable(mt.region_edges(regions, keys))
+    links = durable(mt.ring_links(edges, keys))
+    later = links.select(F.greatest("a", "b").alias("r")).select("r.id", "r.ring").distinct()
     points = mt.ring_points(regions, keys).join(later, ["id", "ring"], "left_anti")
     inside = mt.points_inside(points, regions, keys).select(F.col("id").alias("a"), F.col("rid").alias("b"))
     return links.select("a.id", F.col("b.id").alias("b")).toDF("a", "b").unionByName(inside).where("a <> b").distinct()

@@ -56,6 +56,15 @@ def grids_in_use(df: DataFrame, grid: Column) -> Column:
     return df.agg(F.sort_array(F.collect_set(grid)).alias("_grids")).scalar()
 
 
+def roomy_grid_of(x1: Column, y1: Column, x2: Column, y2: Column, size: float = FINEST) -> Column:
+    """A grid of every second size whose cells are at least twice as long as the box.
+
+    Most boxes then lie in one cell, and boxes of similar sizes on one grid.
+    """
+    side = F.greatest(x2 - x1, y2 - y1, F.lit(float(size) / 2)) * 2 / F.lit(float(size))
+    return F.least(2 * F.ceil(F.log2(side) / 2), F.lit(COARSEST)).cast("int")
+
+
 def overlap_pairs(
     left: DataFrame, right: DataFrame, keys: Sequence[str], size: float = FINEST, residual: Column | None = None
 ) -> DataFrame:
@@ -68,8 +77,8 @@ def overlap_pairs(
     """
     sides = []
     for mine, p, its, q in ((left, "l_", right, "r_"), (right, "r_", left, "l_")):
-        other = grids_in_use(its, grid_of(*bx.box(q), size))
-        own = mine.withColumn(f"{p}_grid", grid_of(*bx.box(p), size))
+        other = grids_in_use(its, roomy_grid_of(*bx.box(q), size))
+        own = mine.withColumn(f"{p}_grid", roomy_grid_of(*bx.box(p), size))
         every = own.withColumn("_grid", F.explode(F.array_union(F.array(f"{p}_grid"), other)))
         sides.append(grid_cells(every.where(F.col("_grid") >= F.col(f"{p}_grid")), *bx.box(p), size))
     joined = sides[0].join(sides[1], [*keys, "_grid", "_cx", "_cy"])
