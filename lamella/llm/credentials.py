@@ -33,9 +33,9 @@ SCHEME = r"""(?P<{}>(?ai:bearer|basic|token|digest|apikey)[\x20\t]+)?"""
 CONTEXT = (
     rf"""(?:{NAME}["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*{SCHEME.format("scheme")}|(?P<bare>\b(?ai:bearer)[\x20\t]+))"""
 )
-#: A value up to its closing quote, or up to white space, quotes and tags if those are near.
-QUOTED = rf"""(["'`]){SCHEME.format("inner")}((?:(?!\1)[^\n])+)\1"""
-BARE = r"""["'`]?([^\s"'`<>]{1,512}+)(?![^\s"'`<>])"""
+#: A bare value goes up to white space, quotes and tags, a quoted one up to its closing quote.
+QUOTES = "\"'`"
+BARE = r"""["'`]?([^\s"'`<>]++)"""
 #: The part of a bare value before a closing mark, and marks at its end.
 SHORT = r"""["'`]?([^\s"'`<>,;(){}\[\]|]*)"""
 MARKS = ".:,;(){}[]|"
@@ -153,7 +153,9 @@ class Scanner:
     def __init__(self, guesses: float = GUESSES, length: int = LENGTH):
         self.guesses, self.length = guesses, length
         self.assign, self.context = re.compile(ASSIGN), re.compile(CONTEXT)
-        self.quoted, self.bare, self.short, self.code, self.wordlike = map(re.compile, (QUOTED, BARE, SHORT, CODE, WORDLIKE))
+        self.inner, self.bare, self.short, self.code, self.wordlike = map(
+            re.compile, (SCHEME.format("inner"), BARE, SHORT, CODE, WORDLIKE)
+        )
         # The runs of ACCESS and HEX are maximal, so the least length may be asked for at once.
         self.access = re.compile(f"{ACCESS[:-1]}{{{LEAST['access'] - 4},}}")
         self.hex = re.compile(f"{HEX[:-1]}{{{LEAST['hex']},}}")
@@ -184,11 +186,11 @@ class Scanner:
 
     def values(self, text: str, at: int, strict: bool):
         """What may be the value at a place, longest first: (start, value, whether words are none)."""
-        if (m := self.quoted.match(text, at)) is not None:
-            value = m[3]
+        if (quoted := self.quoted(text, at)) is not None:
+            start, value, inner = quoted
             # Words of prose in quotes are no value; its first word is judged as a bare one.
             if not (re.search(r"\s", value) and self.wordlike.fullmatch(value)):
-                yield m.start(3), value, strict or bool(m["inner"])
+                yield start, value, strict or inner
                 return
         if (m := self.bare.match(text, at)) is not None:
             value = m[1].rstrip(MARKS)
@@ -199,6 +201,21 @@ class Scanner:
         m = self.short.match(text, at)
         yield m.start(1), m[1].rstrip(".:!?"), strict
 
+    def quoted(self, text: str, at: int) -> tuple[int, str, bool] | None:
+        """The value between quotes on one line: (start, value, whether a scheme word led it)."""
+        quote = text[at : at + 1]
+        if not quote or quote not in QUOTES:
+            return None
+        line = text.find("\n", at + 1)
+        end = text.find(quote, at + 1, len(text) if line < 0 else line)
+        if end <= at + 1:
+            return None
+        scheme = self.inner.match(text, at + 1, end)
+        start = scheme.end()
+        if start == end:  # nothing but a scheme word
+            start = at + 1
+        return start, text[start:end], start > at + 1
+
     def hard(self, value: str, strict: bool) -> bool:
         if self.wordlike.fullmatch(value):
             return not strict and guess_cost(value) >= self.guesses

@@ -1,3 +1,4 @@
+import random
 import re
 
 from lamella.llm.credentials import Scanner, find_secrets, guess_cost, redact_secrets
@@ -144,3 +145,17 @@ def test_many_contexts_are_linear():
     for text in ("pwd='" * 5000, 'token="a' * 5000, "password:" * 5000, "pass" + "_" * 25_000, "pwd: " + "Ab" * 12_000 + "!", "pwd: " + "abc_" * 12_000 + "#", "token:a,token:(b," * 2500, "pwd: abc" + "1" * 500 + "%x", 'pwd: "' + "abc1 " * 5000 + '#x"'):
         Scanner().guessed(text)
     assert time.time() - start < 20
+
+
+def test_values_of_any_length():
+    """A value is judged whole, however long it is and whatever marks it holds."""
+    rng = random.Random(8)
+    scanner = Scanner()
+    for n in (505, 512, 513, 800, 6000):
+        value = "aB3xYz," + "".join(rng.choice("abcdXYZ0123456789#$,") for _ in range(n)) + "Q7"
+        assert (5, 5 + len(value), "guess") in scanner.scan(f"pwd: {value} rest")
+        assert (6, 6 + len(value), "guess") in scanner.scan(f'pwd: "{value}" rest')
+    # An open quote is no quote, and a long line behind one is passed over at once.
+    assert scanner.scan('password: "' + "ab c " * 200_000) == []
+    assert scanner.scan('pwd: "k9(Vx;2Lp#Qz7\\n"') == scanner.scan("pwd:  k9(Vx;2Lp#Qz7\\n")
+    assert scanner.scan('pwd: "Bearer"') == [] and scanner.scan('pwd: ""') == []
