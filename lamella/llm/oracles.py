@@ -128,10 +128,10 @@ FROM rows LEFT JOIN refs USING (lang)
 HARD_NEGATIVES = """
 WITH e AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-           list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
     FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ),
 s AS (
     SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
