@@ -85,7 +85,7 @@ def upsert_counts(
     typed = batch.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], TABLE).schema])
     fresh = durable(live_counts(typed).withColumn("bucket", bucket))
     # At most as many numbers as there are buckets.
-    touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().coalesce(1).toLocalIterator())
+    touched = fresh.agg(F.sort_array(F.collect_set("bucket")).alias("b")).first()["b"]
     folders = [now["folders"][str(b)] for b in touched if str(b) in now["folders"]]
     merged = live_counts(_read(spark, path, folders, TABLE).unionByName(fresh.drop("bucket")))
     version = now["version"] + 1
