@@ -6,9 +6,9 @@ from lamella.llm.quality_rules import (
     CLASSES,
     COMMON,
     MAX_CLASS_DISTANCE,
-    MAX_WORD_DISTANCE,
     MIN_CHARS,
     MIN_WORDS,
+    WORD_SHARE,
 )
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -79,6 +79,8 @@ def _js(p: str, q: str) -> str:
 
 
 _LISTS = ", ".join(f"({_quoted(k)}, [{', '.join(map(_quoted, v))}])" for k, v in COMMON.items())
+#: The histogram of a text without common words.
+_NONE = f"[{', '.join(['0.0::DOUBLE'] * 16)}, 1.0::DOUBLE]"
 _COUNTS = ", ".join(f"len(regexp_extract_all(t, {_quoted(c)}))" for c in CLASSES)
 
 QUALITY_RULES = f"""
@@ -117,12 +119,14 @@ WITH lists(lang, words) AS (
       SELECT lang, 'q', unnest(q), unnest(range(len(q))) FROM rows WHERE listed IS NOT NULL AND NOT base_failed
     ) GROUP BY lang, kind, i
   ) GROUP BY lang
+), limits AS (
+  SELECT lang, rp, rq, {WORD_SHARE} * nullif({_js(_NONE, "rq")}, 0) AS word_limit FROM refs
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed
        AND NOT coalesce(word_chars >= {MIN_CHARS} AND {_js("p", "rp")} > {MAX_CLASS_DISTANCE}, FALSE)
-       AND NOT coalesce(n_words >= {MIN_WORDS} AND {_js("q", "rq")} > {MAX_WORD_DISTANCE}, FALSE) AS kept
-FROM rows LEFT JOIN refs USING (lang)
+       AND NOT coalesce(n_words >= {MIN_WORDS} AND {_js("q", "rq")} > word_limit, FALSE) AS kept
+FROM rows LEFT JOIN limits USING (lang)
 """
 
 HARD_NEGATIVES = """

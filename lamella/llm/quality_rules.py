@@ -32,9 +32,7 @@ MIN_CHARS = 200
 MIN_WORDS = 60
 #: Greatest Jensen-Shannon distances (0 to 1) of a kept document.
 MAX_CLASS_DISTANCE = 0.33
-#: Of the query and its SQL. A text without common words has a distance of about 0.33.
-MAX_WORD_DISTANCE = 0.36
-#: Elsewhere: share of the distance that a text without common words has to the reference.
+#: The limit of the word distance, as a share of the distance that a text without common words has.
 WORD_SHARE = 0.95
 
 
@@ -214,6 +212,4 @@ def quality_rules(
 
 
 def op5_quality_rules(spark, folder: str) -> DataFrame:
-    # The limit of its SQL, which the distance of a text without common words stays below.
-    rows = quality_rules(table(spark, folder, "documents"), max_word_distance=MAX_WORD_DISTANCE)
-    return rows.drop("class_distance", "word_distance")
+    return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
