@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -148,6 +148,20 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
 
 
+def labelled_sample(docs: DataFrame, labelled: DataFrame, id_col: str, columns: Sequence[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows ``(id, label, columns)`` of the documents that have a label.
+
+    Null ids, null labels and labels of ids without a document do not count. Of an id that
+    repeats, the row of the least hash is taken, and found before the shuffle.
+    """
+    known = labelled.select(id_col, "label").dropna().distinct()
+    few = bounded_sample(known.join(docs.select(id_col).distinct(), id_col, "left_semi"), id_col, rows)
+    row = F.struct(F.xxhash64(*columns).alias("_hash"), *columns).alias("_row")
+    own = docs.select(id_col, row).join(F.broadcast(few), id_col)
+    one = own.groupBy(id_col, "label").agg(F.min("_row").alias("_row"))
+    return one.select(id_col, "label", *[F.col(f"_row.{c}") for c in columns])
+
+
 def distinct_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
     """One row ``(id, label)`` per id, the greatest label where rows disagree; nulls go."""
     rows = labels.select(id_col, F.col(label).cast("int").alias("label"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import bounded_rows, bounded_sample, discard, distinct_labels, map_rows, stored, table, utf8
+from lamella.llm.common import bounded_rows, discard, distinct_labels, labelled_sample, map_rows, stored, table, utf8
 
 #: Labelled rows at most, rounds, calibrated probability of a class from which a label is handed over.
 LABELLED = 4000
@@ -255,15 +255,16 @@ def quality_scores(
     rows ``(id, label)`` with label 1 for good. Learns from at most ``labelled_rows``
     labelled documents, those of the least hashes, and in every round from all other rows
     of ``docs`` of which a model is sure, also those without an id; labels beyond the
-    sample are not looked at. Nulls are values of their own (a null text is empty); labels
+    sample are not looked at, and one row of a labelled id is learned. Nulls are values of their own (a null text is empty); labels
     without a document are left out; with no labels at all, or one class only, no labels
     are handed over and the scores say nothing but keep their range.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("_id"), "text", "source", "lang", "n_chars")
-    few = bounded_sample(labelled.select(F.col(id_col).alias("_id"), "label").dropna(), "_id", labelled_rows).distinct()
+    known = labelled.select(F.col(id_col).alias("_id"), "label")
+    chosen = labelled_sample(own, known, "_id", ["text", "source", "lang", "n_chars"], labelled_rows)
     sample = stored(
-        own.join(F.broadcast(few), "_id").select(
+        chosen.select(
             "_id", F.crc32(F.col("_id").cast("string").cast("binary")).alias("_key"), "text", "source", "lang", "n_chars", "label"
         ),
         "labelled",

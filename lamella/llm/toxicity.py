@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import bounded_sample, bucket_of, distinct_labels, map_rows, table, words_of
+from lamella.llm.common import bucket_of, distinct_labels, labelled_sample, map_rows, table, words_of
 
 #: Feature space, labelled rows at most, passes over them.
 BITS = 20
@@ -129,10 +129,10 @@ def toxicity_scores(
     """Rows ``(id, score)`` of all ``docs``, learned from at most ``rows`` rows ``(id, label)``.
 
     Labels of ids without a document and null ids are left out. With one class only, or
-    no labels, the score is the same for all texts. Repeated rows are scored each.
+    no labels, the score is the same for all texts. Repeated rows are scored each, but
+    one row of an id is learned.
     """
-    few = bounded_sample(labelled.dropna(subset=[id_col]), id_col, rows)
-    sample = docs.select(id_col, text_col).join(F.broadcast(few), id_col)
+    sample = labelled_sample(docs, labelled, id_col, [text_col], rows)
     weights = {r["feature"]: r["weight"] for r in fit(sample, text_col, passes).toLocalIterator()}
     return score_texts(docs, weights, id_col, text_col)
 

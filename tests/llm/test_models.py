@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamella.llm.common import labelled_sample
 from lamella.llm.cotraining import op6_quality_cotraining, quality_scores
 from lamella.llm.languages import Mixture, language_mixtures, op4_language_mixture
 from lamella.llm.toxicity import Ftrl, features, op3_toxicity, toxicity_scores
@@ -51,6 +52,18 @@ def test_toxicity_rows(spark):
     assert toxicity_scores(docs_of(spark, []), labels).count() == 0
 
 
+def test_one_row_of_an_id_is_learned(spark):
+    """An id that repeats gives one row; labels without a document do not use up the bound."""
+    docs = docs_of(spark, ["a", "b", "c", None], ["label"])
+    many = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.explode(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: k.cast("string")))))
+    labels = spark.createDataFrame([(k, k % 2) for k in [1, 1, 2, 3, *range(100, 400)]] + [(None, 1), (0, None)], "doc_id bigint, label int")
+    rows = labelled_sample(many, labels, "doc_id", ["text"], 3).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 1), (2, 0), (3, 1)]
+    again = labelled_sample(many.repartition(5), labels, "doc_id", ["text"], 3).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert labelled_sample(docs.limit(0), labels, "doc_id", ["text"], 3).count() == 0
+
+
 def test_ftrl_weights_are_sparse():
     model, rng = Ftrl(bits=12), random.Random(10)
     for k in range(600):
