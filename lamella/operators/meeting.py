@@ -199,7 +199,9 @@ def ring_links(edges: DataFrame, keys: Sequence[str], size: float = CELL, most:
     for more in parts[1:]:
         cells = cells.unionByName(more)
     edge = F.struct(F.struct("id", "ring").alias("r"), *SIDES)
-    gathered = cells.groupBy(*keys, "_size", "_cx", "_cy").agg(F.collect_list(edge).alias("_edges")).where(F.size("_edges") > 1)
+    gathered = cells.groupBy(*keys, "_size", "_cx", "_cy").agg(F.collect_list(edge).alias("_edges"))
+    # Most cells hold edges of one ring only, which link nothing.
+    gathered = gathered.where(F.exists("_edges", lambda e: e["r"] != F.get("_edges", F.lit(0))["r"]))
     shape = edges.select(F.struct("id", "ring").alias("a"), F.struct("id", "ring").alias("b")).schema
     arrow = to_arrow_schema(shape)
 
