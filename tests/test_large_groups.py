@@ -12,7 +12,7 @@ from lamella.operators import evaluation as ev
 from lamella.operators import export as ex
 from lamella.operators import regions as rn
 from lamella.operators import spatial as sp
-from lamella.session import numbered
+from lamella.session import numbered, tune
 from lamella.sources.derived import Tables
 
 BOX = "g string, key int, score double, x1 double, y1 double, x2 double, y2 double"
@@ -259,3 +259,16 @@ def test_runs_are_the_pixels_inside(spark):
     left = rn.subtract_runs(rn.rasterize(edges.where("id = 'r0'"), ["id"]), rn.rasterize(edges.where("id = 'r1'"), ["id"]).withColumn("id", F.lit("r0")), ["id"])
     a, b = [{(y, x) for k, y, x in want if k == n} for n in ("r0", "r1")]
     assert {(u.row, c) for u in left.collect() for c in range(u.x0, u.x1 + 1)} == a - b
+
+
+def test_guessed_sizes_are_not_broadcast(spark, tmp_path):
+    """A derived table that looks small in its compressed files is joined by a shuffle until its rows are counted."""
+    tune(spark)
+    spark.range(300_000).select("id", F.lit(7).alias("k")).write.parquet(str(tmp_path / "t"))
+    derived = spark.read.parquet(str(tmp_path / "t")).select("id", F.repeat(F.col("id").cast("string"), 20).alias("name"))
+    joined = derived.join(spark.range(10_000_000), "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    assert joined.count() == 300_000
+    few = spark.range(10).withColumn("name", F.lit("x"))
+    assert "BroadcastHashJoin" in few.join(spark.range(10_000_000), "id")._jdf.queryExecution().executedPlan().toString()
