@@ -31,12 +31,14 @@ SCHEMAS = {
     "evaluation_metrics": EVALUATION_METRICS,
 }
 #: One folder holds annotations and region points of all slides, so that one write replaces
-#: both; ``record`` tells the rows apart. The third kind is the one row that keeps the
-#: partition of a slide saved without annotations.
+#: both; ``record`` tells the rows apart. The third kind is the one row that replaces the
+#: rows of a slide saved without annotations.
 STORE = "annotation_store"
 STORED = ANNOTATIONS.removesuffix(", slide_name string") + ", " + REGION_POINTS.removesuffix(", slide_name string")
 STORED += ", record string, slide_name string"
 ANNOTATION, POINT, EMPTY = "annotation", "point", "empty"
+#: Slides are dealt to so many folders, however many there are. A store keeps its number.
+BUCKETS = 256
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -48,6 +50,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("slide_name"), F.lit(BUCKETS)).cast("int")
+
+
+def _layout(spark: SparkSession, path: str) -> str | None:
+    """The column whose values name the folders of the store; stores of before have one per slide."""
+    if not _exists(spark, path):
+        return None
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(place)
+    while found.hasNext():
+        name = found.next().getPath().getName()
+        if "=" in name:
+            return name.split("=")[0]
+    return None
+
+
 def _records(store: DataFrame, record: str, schema: str) -> DataFrame:
     names = store.sparkSession.createDataFrame([], schema).columns
     return store.where(F.col("record") == record).select(*names)
@@ -56,9 +75,10 @@ def _records(store: DataFrame, record: str, schema: str) -> DataFrame:
 def read_annotations(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """annotations, region_points and slide_paths below ``root``.
 
-    The first two are views of the store that :func:`save_annotations` writes, which is
-    partitioned by slide_name, so a slide filter prunes folders. Roots from before it hold
-    a folder for each. A root without slide paths has none.
+    The first two are views of the store that :func:`save_annotations` writes. Its folders
+    are buckets of slides, sorted by slide_name, so a slide filter skips row groups. Stores
+    with a folder per slide are read as well. Roots from before the store hold a folder for
+    each table. A root without slide paths has none.
     """
     if _exists(spark, f"{root}/{STORE}"):
         store = spark.read.schema(STORED).parquet(f"{root}/{STORE}")
@@ -90,9 +110,11 @@ def save_annotations(
 
     ``points`` are the region points of ``annotations``, with slide_name. Both go into one
     table and are replaced by one write, so no slide is ever seen with the annotations of
-    one save and the points of another. Only the folders of the saved slides are rewritten.
-    A slide saved without rows keeps a folder with one row, which reading leaves out. The
-    first save below a root with separate folders takes their other slides along.
+    one save and the points of another. Only the buckets of the saved slides are rewritten,
+    their other slides as they are; so two saves of slides of one bucket must not run at the
+    same time. A slide saved without rows keeps one row, which reading leaves out. The
+    first save below a root with separate folders takes their other slides along. A store
+    with a folder per slide keeps that form.
     """
     spark = annotations.sparkSession
     shape = spark.createDataFrame([], STORED).schema
@@ -109,11 +131,20 @@ def save_annotations(
         old = _separate(spark, root)
         both = stored(old["annotations"], ANNOTATION).unionByName(stored(old["region_points"], POINT))
         rows = rows.unionByName(both.join(listed, "slide_name", "left_anti").select(*shape.names))
+    path = f"{root}/{STORE}"
+    layout = _layout(spark, path) or "bucket"
+    if layout == "bucket":
+        rows = rows.withColumn("bucket", _bucket())
+        if _exists(spark, path):
+            touched = [r.bucket for r in listed.select(_bucket().alias("bucket")).distinct().collect()]
+            old = spark.read.schema(STORED).parquet(path).where(F.col("bucket").isin(touched))
+            rows = rows.unionByName(old.join(listed, "slide_name", "left_anti").select(*rows.columns))
     (
         durable(rows)
-        .hint("rebalance", "slide_name")
+        .hint("rebalance", layout)
+        .sortWithinPartitions(*dict.fromkeys([layout, "slide_name"]))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("slide_name")
-        .parquet(f"{root}/{STORE}")
+        .partitionBy(layout)
+        .parquet(path)
     )

@@ -227,3 +227,25 @@ def test_files_of_slides(spark):
     assert rows(ex.files_of_slides(files, slides), "slide_name", "file_name") == [
         ("a", "a_CD8_1_2.png"), ("a", "a_b_CD8_1_2.png"), ("a_b", "a_b_CD8_1_2.png")
     ]
+
+
+def test_many_slides_few_folders(spark, tmp_path):
+    """The store has a bounded number of folders; a save keeps the other slides of its bucket."""
+    root, n = str(tmp_path / "db"), 2000
+    slides = spark.range(n).select(F.format_string("s%d", "id").alias("slide_name"))
+    made = slides.select(F.concat(F.lit("a_"), "slide_name").alias("id"), F.lit("cell_marker").alias("type"), F.lit("CD8").alias("biomarker"), "slide_name")
+    points = spark.createDataFrame([], tb.REGION_POINTS)
+    tb.save_annotations(made, points, slides, root, F.lit("2024-01-01").cast("timestamp"))
+    folders = [p.name for p in (tmp_path / "db" / tb.STORE).iterdir() if "=" in p.name]
+    assert len(folders) <= tb.BUCKETS < n
+    some = slides.where("slide_name LIKE '%7'")
+    tb.save_annotations(made.where("slide_name = 's17'"), points, some, root, F.lit("2024-02-02").cast("timestamp"))
+    back = rows(tb.read_annotations(spark, root)["annotations"], "slide_name", F.month("modified_at"))
+    want = [(f"s{k}", 1) for k in range(n) if k % 10 != 7] + [("s17", 2)]
+    assert back == sorted(want, key=repr)
+    # A store with a folder per slide is read and saved in that form.
+    old = str(tmp_path / "old")
+    shape = tb.read_annotations(spark, root)["annotations"].where("slide_name IN ('s1', 's2')")
+    shape.withColumn("record", F.lit(tb.ANNOTATION)).write.partitionBy("slide_name").parquet(f"{old}/{tb.STORE}")
+    tb.save_annotations(made.limit(0), points, slides.where("slide_name = 's2'"), old, F.lit("2024-02-02").cast("timestamp"))
+    assert rows(tb.read_annotations(spark, old)["annotations"], "slide_name") == [("s1",)]
