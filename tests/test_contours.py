@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.operators import contours as ct
 from lamella.operators import regions as rn
@@ -100,3 +102,30 @@ def test_no_region_goes_through_a_window(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "[id" in plan and ", y#" in plan.split("Window")[1].split("\n")[0]
     assert got.where("false").collect() == [] and ct.outlines(runs.where("false"), ["id"]).collect() == []
+
+
+def test_bands_of_a_union(spark, monkeypatch):
+    """Shapes over many bands: runs and outlines as from one pass over single rows, in one shuffle of edges."""
+    r = random.Random(7)
+    shapes = [(f"r{i}", "ab"[i % 2], [[(r.uniform(-90, 400), r.uniform(-700, 900)) for _ in range(n)] for n in (9, 5)]) for i in range(6)]
+    shapes.append(("r6", "c", [[(0.0, 0.0), (40.0, 0.0), (40.0, 256.0), (0.0, 256.0)]]))
+    df = spark.createDataFrame(shapes, "id string, label string, rings array<array<struct<x:double,y:double>>>")
+    edges = rn.region_edge_rows(df, ["label", "id"])
+    own = rn.rasterize(edges, ["label", "id"])
+    assert "Window" not in own._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, rn.union_runs(own.drop("id"), ["label"]).collect()))
+    got = rn.rasterize(edges, ["label", "id"], together=["label"])
+    assert sorted(map(tuple, got.collect())) == want
+    bands = rn._union_bands(edges, ["label", "id"], ["label"])
+    assert sorted(map(tuple, bands.select("label", F.explode("runs").alias("r")).select("label", "r.*").collect())) == want
+    drawn = bands.groupBy("label").agg(F.flatten(F.collect_list("corners")).alias("e"))
+    filled = rn.rasterize(rn.region_edge_rows(ct.rings_of(drawn), ["label"]), ["label"])
+    assert sorted(map(tuple, filled.collect())) == want
+    dealt = rn.fills.dealt(edges, ["label", "id"], ["label"], [F.col(c) for c in ("x1", "y1", "x2", "y2")], F.ceil(F.least("y1", "y2") - 0.5), F.ceil(F.greatest("y1", "y2") - 0.5) - 1, F.lit(-1), False)
+    table = dealt.coalesce(1).sortWithinPartitions("label", "_band").toArrow()
+    starts = rn.fills._groups(table, 2)
+    parts = []
+    for most in (10**9, 300):
+        monkeypatch.setattr(rn.fills, "CROSSINGS", most)
+        parts.append(sorted(zip(*np.concatenate([np.stack(f) for *_, f in rn.fills._fill(table, starts, 2, 0.5, False, True)], axis=1).tolist())))
+    assert parts[0] == parts[1] and len(parts[0]) == len(want)
