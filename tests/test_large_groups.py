@@ -272,3 +272,11 @@ def test_guessed_sizes_are_not_broadcast(spark, tmp_path):
     assert joined.count() == 300_000
     few = spark.range(10).withColumn("name", F.lit("x"))
     assert "BroadcastHashJoin" in few.join(spark.range(10_000_000), "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffled_partitions_stay_small(spark):
+    """Partitions follow the amount of rows, not the cluster's default number (8 here)."""
+    n = 12_000_000
+    rows = tune(spark).range(n).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+    sizes = rows.repartition("a").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) * 16 < 20 << 20 and sum(r["count"] for r in sizes) == n
