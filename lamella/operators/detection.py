@@ -357,33 +357,42 @@ def label_runs(polygons: DataFrame, key: str, rows: int, cols: int, min_prob: fl
     above = polygons if min_prob is None else polygons.where(F.col("prob") > F.lit(float(min_prob)))
     runs = star_runs(above, [key, "idx", "prob"]).where(F.col("row").between(0, rows - 1))
     x0, x1 = F.greatest("x0", F.lit(0)), F.least("x1", F.lit(cols - 1))
-    seen = runs.where(x0 <= x1).select(key, "row", F.struct("prob", "idx", x0.alias("x0"), x1.alias("x1")).alias("r"))
-    lines = seen.groupBy(key, "row").agg(F.sort_array(F.collect_list("r")).alias("_runs"))
-    shape = lines.select(key, "row", *[F.lit(0).cast("int").alias(c) for c in ("x0", "x1")], F.lit(0).cast("bigint").alias("label")).schema
+    seen = runs.where(x0 <= x1).select(key, "row", "idx", "prob", x0.alias("x0"), x1.alias("x1"))
+    lines = seen.repartition(key, "row").sortWithinPartitions(key, "row", "prob", "idx", "x0", "x1").drop("prob")
+    shape = seen.select(key, "row", *[F.col(c).cast("int") for c in ("x0", "x1")], F.lit(0).cast("bigint").alias("label")).schema
     arrow = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = np.zeros(cols + 2, np.int64)
+        now, name = None, None
+
+        def read_off() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+            # The first and last place stay background, so every run has both ends.
+            turns = np.flatnonzero(line[1:] != line[:-1])
+            label = line[turns[:-1] + 1]
+            some = label > 0
+            return name, turns[:-1][some], turns[1:][some] - 1, label[some]
+
+        def made(rows: list) -> pa.RecordBatch:
+            names = pa.Table.from_batches([r[0] for r in rows]).take(pa.array(np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])))
+            columns = [pa.array(np.concatenate([r[k] for r in rows]), t) for k, t in zip((1, 2, 3), arrow.types[2:], strict=True)]
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in names.columns), *columns], schema=arrow)
+
         for batch in batches:
-            lists = batch.column(2)
-            at, flat = lists.offsets.to_numpy(), lists.values
-            idx, x0, x1 = (flat.field(k).to_numpy(zero_copy_only=False).tolist() for k in (1, 2, 3))
-            owner, found = [], []
-            for k in range(batch.num_rows):
-                line[:] = 0
-                # The first and last place stay background, so every run has both ends.
-                for j in range(at[k], at[k + 1]):
-                    line[x0[j] + 1 : x1[j] + 2] = idx[j] + 1
-                turns = np.flatnonzero(line[1:] != line[:-1])
-                label = line[turns[:-1] + 1]
-                some = label > 0
-                owner.append(np.full(int(some.sum()), k))
-                found.append((turns[:-1][some], turns[1:][some] - 1, label[some]))
-            if found:
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                kept = batch.take(pa.array(np.concatenate(owner))).columns[:2]
-                made = [pa.array(v, t) for v, t in zip(columns, arrow.types[2:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            idx, x0, x1 = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            ready = []
+            for j, at in enumerate(keys):
+                if at != now:
+                    if now is not None:
+                        ready.append(read_off())
+                    line[:] = 0
+                    now, name = at, batch.slice(j, 1).select([0, 1])
+                line[x0[j] + 1 : x1[j] + 2] = idx[j] + 1
+            if ready:
+                yield made(ready)
+        if now is not None:
+            yield made([read_off()])
 
     return lines.mapInArrow(run, shape)
 

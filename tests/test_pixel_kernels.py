@@ -133,3 +133,25 @@ def test_labelled_runs(spark):
     ends = {(r.g, r.row, r.x1 + 1, r.label) for r in got}
     assert not ends & {(r.g, r.row, r.x0, r.label) for r in got}
     assert {(r.g, r.row, r.col): r.label for r in dt.label_image(df, "g", 25, 30).collect()} == image
+
+
+def test_labelled_runs_of_crowded_rows(spark):
+    """A pixel row of an image is painted from a stream: no value holds all its runs."""
+    stars = [("f", k, (k * 37 % 101) / 100, 8.0, float(k * 7 % 90), [4.0 + k % 3] * 16) for k in range(300)]
+    df = spark.createDataFrame(stars, "g string, idx int, prob double, cy double, cx double, dist array<double>")
+    image = {}
+    for r in sorted(dt.star_runs(df, ["g", "idx", "prob"]).collect(), key=lambda r: (r.prob, r.idx)):
+        for x in range(max(r.x0, 0), min(r.x1, 89) + 1):
+            if 0 <= r.row < 20:
+                image[r.row, x] = r.idx + 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        runs = dt.label_runs(df, "g", 20, 90)
+        got = runs.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.row, x): r.label for r in got for x in range(r.x0, r.x1 + 1)} == image
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    gathered = plan.split("MapInArrow")[1]
+    assert "collect_list" not in gathered
