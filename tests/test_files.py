@@ -68,6 +68,21 @@ def test_ordered_files_in_parts(spark, tmp_path):
     assert write_ordered(df.where("false"), ["k"], str(tmp_path / "none")).collect() == []
 
 
+def test_small_files_are_written_once(spark, tmp_path):
+    """Only files at the ends of a task go through parts; all others are not copied."""
+    from lamella.session import _STORED
+
+    n = 3000
+    df = spark.range(n).select(F.format_string("f%04d", F.col("id") % 300).alias("file"), "id", F.format_string("%d ", "id").alias("text"))
+    written = write_ordered(df, ["id"], str(tmp_path))
+    want = {f"f{k:04d}": "".join(f"{i} " for i in range(k, n, 300)) for k in range(300)}
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == want
+    assert {r.file: r.bytes for r in written.collect()} == {k: len(v) for k, v in want.items()}
+    parts = spark.read.parquet(_STORED[spark.sparkContext.applicationId][-2])
+    tasks = parts.select("part").distinct().count()
+    assert parts.where("path IS NOT NULL").count() <= 2 * tasks < 300
+
+
 def test_box_text_files_of_other_tools(spark, tmp_path):
     (tmp_path / "my_slide_CD_8.txt").write_text(
         "my_slide_10_-20: 0,0,20,20 5,5,25,26\nmy_slide_10_-20: 1,2,3\n\nno key\nmy_slide_x_1: 0,0,1,1\nmy_slide_7_8:\n"
