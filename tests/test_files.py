@@ -128,6 +128,20 @@ def test_regions_json(spark, t, tmp_path):
     assert rows(back, "slide_name", "id", "biomarker", "rings") == rows(regions, "slide_name", "id", "biomarker", "rings")
 
 
+def test_region_documents_are_few_files(spark, t, tmp_path):
+    """One file a slide, whatever its name, and no folder; an older export is replaced."""
+    names = {"a": "slide 1", "g": "50%+é", "b": "_hidden", "c": "x/y", "d": None, "e": ".dot", "f": "slide 1"}
+    regions = spark.createDataFrame(
+        [(k, v, "CD8", [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.5)]]) for k, v in names.items()],
+        "id string, slide_name string, biomarker string, rings array<array<struct<x:double,y:double>>>",
+    )
+    ex.export_regions_json(region_table(t), str(tmp_path / "regions"))
+    ex.export_regions_json(regions, str(tmp_path / "regions"))
+    assert sorted(p.name for p in (tmp_path / "regions").iterdir()) == ["50%+é_regions.json", "regions.json", "slide 1_regions.json"]
+    back = fl.read_regions_json(spark, str(tmp_path / "regions"))
+    assert rows(back, "slide_name", "id", "biomarker", "rings") == rows(regions, "slide_name", "id", "biomarker", "rings")
+
+
 def test_region_document_of_other_tools(spark, tmp_path):
     doc = [{"id": "a", "channel": "CD8", "points": [[0, 0], [4, 0], [4, 4]]}, {"id": "b", "channel": "X", "points": [[0, 0]], "holes": [[[1, 1]]]}, {"id": "bad"}]
     (tmp_path / "my_slide_regions.json").write_text(json.dumps(doc, indent=2))
