@@ -134,7 +134,8 @@ def export_coco_images(t: Tables) -> DataFrame:
     IMAGES,
 )
 def export_coco(t: Tables) -> DataFrame:
-    pairs = pairs_of(t)
+    # Read for the images and for the annotations: the join is made once.
+    pairs = durable(pairs_of(t))
     return ex.coco_annotations(pairs, ex.coco_images(pairs), ex.coco_categories(t.markers))
 
 
@@ -170,7 +171,7 @@ def coco_files(t: Tables) -> DataFrame:
 def coco_ids(t: Tables) -> DataFrame:
     from lamella.session import numbered
 
-    pairs = pairs_of(t)
+    pairs = durable(pairs_of(t).select(*ex.FOV_GROUP, "marker_id", "created_at", "fov_created_at", "fov_x", "fov_y", "fov_w", "fov_h"))
     link = ex.coco_images(pairs).select(*ex.FOV_GROUP, F.col("id").alias("image_id"))
     rows = pairs.join(link, ex.FOV_GROUP).select("slide_name", "marker_id", "fov_id", "image_id", "created_at")
     order = [F.col(c).asc() for c in ("image_id", "created_at", "marker_id")]
