@@ -19,3 +19,13 @@ def test_made_once(spark, monkeypatch, query, module, step):
     monkeypatch.setattr(module, step, lambda rows: seen.append(rows.inputFiles()) or real(rows))
     QUERIES[query](spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and all("durable-" in f for f in seen[0])
+
+
+def test_overlaps_read_stored_boxes(spark, monkeypatch):
+    """The grids in use and the join read boxes that were stored, not the joins that placed them."""
+    from lamella.operators import spatial as sp
+
+    seen, real = [], sp.overlap_pairs
+    monkeypatch.setattr(sp, "overlap_pairs", lambda left, right, *rest: seen.extend([left.inputFiles(), right.inputFiles()]) or real(left, right, *rest))
+    QUERIES["iou_join"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and all("durable-" in f for files in seen for f in files)
