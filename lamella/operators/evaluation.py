@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -19,6 +19,8 @@ from lamella.session import durable
 OVERALL = "__overall__"
 #: Rounds of mutual best pairs before what is left is matched component by component.
 ROUNDS = 2
+#: A group with no more pairs of a truth box and a prediction is matched in one stretch of rows.
+GROUP_PAIRS = 250_000
 
 
 def _mutual_round(left: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -54,21 +56,29 @@ def _component_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     labels = connected_components(pairs.select(node("p", "pred").alias("a"), node("g", "gt").alias("b")))
     at = labels.select(F.col("id").alias("_node"), F.to_json("label").alias("_label"))
     labelled = pairs.withColumn("_node", node("p", "pred")).join(at, "_node")
-    order = [F.col("_label"), F.desc("iou"), F.desc("pred"), F.desc("gt")]
+    return _streamed(labelled, ["_label"], [*keys, "pred", "gt"])
+
+
+def _streamed(pairs: DataFrame, by: Sequence[str], own: Sequence[str]) -> DataFrame:
+    """The pairs (own, m) taken in descending (iou, pred, gt) order per ``by``.
+
+    A task remembers only what is left of the boxes of the present stretch of pairs. The
+    window brings the pairs of a stretch together; Spark may drop a repartition for it.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("iou"), F.desc("pred"), F.desc("gt")))
     text = [F.col(c).cast("string").alias(f"_{c}") for c in ("pred", "gt")]
-    own = [*keys, "pred", "gt"]
-    ranked = labelled.repartition("_label").sortWithinPartitions(*order).select(*own, "np", "ng", "_label", *text)
+    ranked = pairs.withColumn("_rank", rank).sortWithinPartitions(*by, "_rank").select(*own, "np", "ng", "_rank", *text)
     shape = pairs.select(*own, F.col("np").alias("m")).schema
     arrow = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, free_p, free_g = None, {}, {}
+        free_p, free_g = {}, {}
         for batch in batches:
             places, counts = [], []
             rows = zip(*(c.to_pylist() for c in batch.columns[len(own) :]), strict=True)
-            for place, (n_pred, n_gt, label, pred, gt) in enumerate(rows):
-                if label != now:
-                    now, free_p, free_g = label, {}, {}
+            for place, (n_pred, n_gt, rank, pred, gt) in enumerate(rows):
+                if rank == 1:
+                    free_p, free_g = {}, {}
                 m = min(free_p.get(pred, n_pred), free_g.get(gt, n_gt))
                 if m > 0:
                     free_p[pred], free_g[gt] = free_p.get(pred, n_pred) - m, free_g.get(gt, n_gt) - m
@@ -84,8 +94,8 @@ def _matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs (keys, pred, gt, m) taken in descending (iou, pred, gt) order.
 
     ``pairs`` also holds ``np`` and ``ng``, the number of equal boxes each side stands for;
-    ``m`` is the number of matches of the pair. ``pairs`` are read often. One path for groups of every size: rounds
-    that take mutual best pairs leave little, and that contends in small components.
+    ``m`` is the number of matches of the pair. ``pairs`` are read often. Rounds that take mutual
+    best pairs leave little, and that contends in small components.
     """
     left, found = pairs, []
     for _ in range(ROUNDS):
@@ -131,9 +141,7 @@ def box_classes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return durable(df.groupBy(*keys, *_SIDES).agg(F.max("key").alias("key"), F.count("*").alias("n")))
 
 
-def class_matches(
-    gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float, classes: Sequence[DataFrame] | None = None
-) -> DataFrame:
+def class_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Greedy matches (keys, pred, gt, m) of classes of equal boxes.
 
     Equal boxes have the same IoU with everything, so copies are paired as one class
@@ -141,7 +149,7 @@ def class_matches(
     classes in a tie between different boxes are taken apart again.
     """
     keys = list(keys)
-    cg, cp = classes or [box_classes(df, keys) for df in (gt, pred)]
+    cg, cp = [box_classes(df, keys) for df in (gt, pred)]
     score = bx.iou(bx.box("l_"), bx.box("r_"))
 
     def side(df: DataFrame, name: str, n: str, p: str) -> DataFrame:
@@ -156,25 +164,47 @@ def class_matches(
     return _matches(pairs, keys)
 
 
+def _group_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Greedy matches (keys, m) of groups with few pairs of boxes, which are compared pair by pair.
+
+    Boxes are shuffled once, by their group, and their pairs stay where they are made.
+    """
+
+    def side(df: DataFrame, name: str, p: str) -> DataFrame:
+        # A box with a missing side touches nothing.
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in _SIDES])
+        return df.where(known).select(*keys, F.col("key").alias(name), *[F.col(c).alias(f"{p}{c}") for c in _SIDES])
+
+    score = bx.iou(bx.box("l_"), bx.box("r_"))
+    met = side(pred, "pred", "l_").join(side(gt, "gt", "r_"), list(keys)).withColumn("iou", score)
+    one = F.lit(1).cast("bigint")
+    pairs = met.where(F.col("iou") >= F.lit(float(threshold))).select(*keys, "pred", "gt", "iou", one.alias("np"), one.alias("ng"))
+    return _streamed(pairs, keys, keys)
+
+
 def match_boxes(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.3) -> DataFrame:
     """True positives, false positives and misses per group.
 
     Inputs hold ``keys``, an orderable ``key`` unique inside the group, and x1..y2. The
-    threshold must be positive: boxes without common area never pair. Groups of every size
-    take the same path: classes of equal boxes, then mutual best pairs, then the components
-    of what is left.
+    threshold must be positive: boxes without common area never pair. Groups of at most
+    ``GROUP_PAIRS`` pairs of a truth box and a prediction are matched by themselves. Larger
+    ones are never gathered: classes of equal boxes, then mutual best pairs, then the
+    components of what is left. Both give the same counts.
     """
     if threshold <= 0:
         raise ValueError("the IoU threshold must be positive")
     keys = list(keys)
-    gt, pred = [df.select(*keys, "key", *_SIDES) for df in (gt, pred)]
-    classes = [box_classes(df, keys) for df in (gt, pred)]
-    none = F.lit(0).cast("bigint")
-    sides = classes[0].select(*keys, none.alias("_p"), F.col("n").alias("_g")).unionByName(
-        classes[1].select(*keys, F.col("n").alias("_p"), none.alias("_g"))
-    )
-    sizes = sides.groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_g").alias("_g"))
-    matches = class_matches(gt, pred, keys, threshold, classes).groupBy(*keys).agg(F.sum("m").alias("_m"))
+    gt, pred = [durable(df.select(*keys, "key", *_SIDES)) for df in (gt, pred)]
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    sides = gt.select(*keys, none.alias("_p"), one.alias("_g")).unionByName(pred.select(*keys, one.alias("_p"), none.alias("_g")))
+    sizes = durable(sides.groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_g").alias("_g")))
+    large = sizes.where(F.col("_p").cast("double") * F.col("_g") > GROUP_PAIRS).select(*keys)
+    if large.isEmpty():
+        found = _group_matches(gt, pred, keys, threshold)
+    else:
+        small, hot = [[df.join(large, keys, how) for df in (gt, pred)] for how in ("left_anti", "left_semi")]
+        found = _group_matches(*small, keys, threshold).unionByName(class_matches(*hot, keys, threshold).select(*keys, "m"))
+    matches = found.groupBy(*keys).agg(F.sum("m").alias("_m"))
     tp = F.coalesce("_m", F.lit(0)).cast("bigint")
     return sizes.join(matches, keys, "left").select(
         *keys, tp.alias("tp"), (F.col("_p") - tp).alias("fp"), (F.col("_g") - tp).alias("fn")
@@ -243,18 +273,25 @@ def segmentation_metrics(scores: DataFrame, marker: str = "marker", by: Sequence
     return out.select(*by, marker, "is_overall", "mean_dice", "mean_accuracy", "n_fovs")
 
 
-def ground_truth_boxes(pairs: DataFrame, slide_paths: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+def of_known_slides(rows: DataFrame, slide_paths: DataFrame) -> DataFrame:
+    """The rows of slides with a recorded path."""
+    known = slide_paths.where(F.col("slide_path").isNotNull()).select("slide_name").distinct()
+    return rows.join(known, "slide_name", "left_semi")
+
+
+def ground_truth_boxes(pairs: DataFrame, slide_paths: DataFrame | None, channels: Sequence[str] | None = None) -> DataFrame:
     """Truth boxes of slides with a recorded path, from markers-in-fields-of-view pairs.
 
     Boxes take the marker's own size. Fields of view and slides without a box of the
-    wanted channels have no rows.
+    wanted channels have no rows. Without ``slide_paths`` the fields of view were already
+    those of known slides, which are far fewer rows to look up than the pairs.
     """
     from lamella.functions.boxes import centre_box
 
-    known = slide_paths.where(F.col("slide_path").isNotNull()).select("slide_name").distinct()
     rows = pairs if channels is None else pairs.where(F.col("biomarker").isin(list(channels)))
+    rows = rows if slide_paths is None else of_known_slides(rows, slide_paths)
     sides = centre_box(*[F.col(c) for c in ("x", "y", "w", "h")])
-    return rows.join(known, "slide_name", "left_semi").select(
+    return rows.select(
         "slide_name",
         "fov_id",
         F.col("biomarker").alias("marker"),

@@ -88,8 +88,8 @@ def pred_boxes(t: Tables) -> DataFrame:
 
 
 def gt_boxes(t: Tables) -> DataFrame:
-    pairs = sp.markers_in_fovs(t.markers.where(F.col("biomarker") != ""), t.fovs)
-    return ev.ground_truth_boxes(pairs, t.slides)
+    fovs = ev.of_known_slides(t.fovs, t.slides)
+    return ev.ground_truth_boxes(sp.markers_in_fovs(t.markers.where(F.col("biomarker") != ""), fovs), None)
 
 
 @query("match_boxes", "SELECT slide_name, fov_id, marker, tp, fp, fn FROM {matched}", greedy_sql(0.05), recursive=True)

@@ -65,6 +65,23 @@ def test_matching(spark, monkeypatch, rounds):
     assert {r.g: (r.tp, r.fp, r.fn) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("most", [0, 3000, 10**9])
+def test_matching_of_small_and_large_groups(spark, monkeypatch, most):
+    """Groups matched by themselves, those that are never gathered, and both at once give the same."""
+    gt, pred = random_boxes(150, 5), random_boxes(150, 6)
+    gt += [("g0", 1000 + i, 0.0, 5.0, 5.0, 15.0, 15.0) for i in range(40)] + [("g9", 1, 0.0, 0.0, 0.0, 1.0, 1.0)]
+    pred += [("g0", 1000 + i, 0.0, 5.0, 5.0, 15.0, 15.0) for i in range(30)] + [("g0", 2000, 0.0, None, 5.0, 15.0, 15.0)]
+    gathered, real = [], ev.class_matches
+    monkeypatch.setattr(ev, "class_matches", lambda *a: gathered.append(sorted(r.g for r in a[0].select("g").distinct().collect())) or real(*a))
+    monkeypatch.setattr(ev, "GROUP_PAIRS", most, raising=False)
+    got = {r.g: (r.tp, r.fp, r.fn) for r in ev.match_boxes(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), ["g"], 0.2).collect()}
+    assert gathered == {0: [["g0", "g1", "g2"]], 3000: [["g0"]], 10**9: []}[most]
+    whole = [p for p in pred if p[3] is not None]
+    want = {k: greedy_counts([g for g in gt if g[0] == k], [p for p in whole if p[0] == k], 0.2) for k in ("g0", "g1", "g2", "g9")}
+    want["g0"] = (want["g0"][0], want["g0"][1] + 1, want["g0"][2])
+    assert got == want
+
+
 def test_matching_of_copies_and_ties(spark):
     r = random.Random(11)
     gt, pred = [], []
