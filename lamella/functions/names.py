@@ -153,16 +153,12 @@ def parse_fov_name(name: Column) -> Column:
     )
 
 
-def slide_prefixes(name: Column) -> Column:
-    """Every (prefix, rest) split of a name at an underscore, as an array of structs."""
+def cut_name(name: Column, k: Column) -> Column:
+    """The struct (prefix, rest) of a name cut behind the ``k``-th of its parts between underscores."""
     parts = F.split(name, "_")
-    n = F.size(parts)
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda k: F.struct(
-            F.array_join(F.slice(parts, F.lit(1), k), "_").alias("prefix"),
-            F.array_join(F.slice(parts, k + 1, F.greatest(n - k, F.lit(0))), "_").alias("rest"),
-        ),
+    return F.struct(
+        F.array_join(F.slice(parts, F.lit(1), k), "_").alias("prefix"),
+        F.array_join(F.slice(parts, k + 1, F.greatest(F.size(parts) - k, F.lit(0))), "_").alias("rest"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import names as nm
@@ -281,12 +281,12 @@ def import_structured(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "imported")
     rows = durable(structured(t))
     regions = rows.where("type = 'region'")
-    points = explode_region_points(regions).join(regions.select(F.col("id").alias("annotation_id"), "slide_name"), "annotation_id")
+    points = explode_region_points(regions, ["slide_name"])
     tb.save_annotations(rows.drop("rings"), points, rows.select("slide_name"), root, F.current_timestamp())
     back = tb.read_annotations(t.spark, root)
     n = back["region_points"].groupBy(F.col("annotation_id").alias("id")).agg(F.count("*").alias("n"))
-    ids = back["annotations"].groupBy("id").agg(F.count("*").alias("same_id"))
-    out = back["annotations"].join(ids, "id").join(n, "id", "left")
+    same = F.count("*").over(Window.partitionBy("id"))
+    out = back["annotations"].withColumn("same_id", same).join(n, "id", "left")
     return out.select(
         "type", "slide_name", "biomarker", "x", "y", F.coalesce("n", F.lit(0)).alias("n_points"), "same_id", F.col("created_at").isNotNull().alias("dated")
     )

@@ -139,9 +139,10 @@ def save_annotations(
             touched = [r.bucket for r in listed.select(_bucket().alias("bucket")).distinct().collect()]
             old = spark.read.schema(STORED).parquet(path).where(F.col("bucket").isin(touched))
             rows = rows.unionByName(old.join(listed, "slide_name", "left_anti").select(*rows.columns))
+    # Rows of a store that is overwritten must be stored before; nothing of a new one is read.
+    rows = durable(rows) if _exists(spark, path) else rows
     (
-        durable(rows)
-        .hint("rebalance", layout)
+        rows.hint("rebalance", layout)
         .sortWithinPartitions(*dict.fromkeys([layout, "slide_name"]))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

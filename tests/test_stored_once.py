@@ -29,3 +29,37 @@ def test_overlaps_read_stored_boxes(spark, monkeypatch):
     monkeypatch.setattr(sp, "overlap_pairs", lambda left, right, *rest: seen.extend([left.inputFiles(), right.inputFiles()]) or real(left, right, *rest))
     QUERIES["iou_join"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 2 and all("durable-" in f for files in seen for f in files)
+
+
+def test_parsed_boxes_are_stored(spark):
+    """Fields of view and markers of an import read the parsed boxes, not the lines, and prefixes that no slide can have are not joined."""
+    from lamella.sources import files as fl
+
+    slides = spark.createDataFrame([("a",), ("a_b",), ("a_b_c_d",)], "slide_name string")
+    lines = [("a_b_CD8", "a_b_5_7: 1,2,3,4 1,2,3 +01,-2,0000000000003,4 1,2,3,99999999999 x,1,2,3"), ("a_b_c_d_FOXP3", "a_b_c_d_1_2: "), ("c_CD8", "c_1_1: 1,1,1,1")]
+    stems = spark.createDataFrame(lines, "stem string, value string")
+    found = fl.of_slides(stems, slides, "stem").withColumnRenamed("rest", "biomarker")
+    boxes = fl.parse_box_text(found)
+    assert sorted(map(tuple, found.select("slide_name", "biomarker").collect())) == [("a", "b_CD8"), ("a", "b_c_d_FOXP3"), ("a_b", "CD8"), ("a_b", "c_d_FOXP3"), ("a_b_c_d", "FOXP3")]
+    mine = boxes.where("biomarker IN ('CD8', 'FOXP3')").select("slide_name", "fov_x", "fov_y", "x", "y")
+    assert sorted(mine.collect(), key=str) == [("a_b", 5, 7, 7.0, 10.0), ("a_b", 5, 7, 7.0, 8.0), ("a_b_c_d", 1, 2, None, None)]
+    corners = spark.createDataFrame([], "slide_name string, fov_x int, fov_y int")
+    regions = spark.createDataFrame([], "id string, slide_name string, biomarker string, rings array<array<struct<x:double,y:double>>>")
+    rows = fl.load_structured(boxes, corners, regions)
+    assert any("durable-" in f for f in rows.inputFiles())
+
+
+def test_new_store_is_written_once(spark, monkeypatch, tmp_path):
+    """Rows are stored on their way only where the store that is overwritten may be read for them."""
+    from pyspark.sql import functions as F
+
+    from lamella.sources import tables as tb
+
+    kept, real = [], tb.durable
+    monkeypatch.setattr(tb, "durable", lambda df: kept.append(1) or real(df))
+    rows = spark.createDataFrame([("m", "cell_marker", "s")], "id string, type string, slide_name string")
+    points = spark.createDataFrame([], "annotation_id string, seq int, px double, py double, ring int, slide_name string")
+    for saves in (0, 1):
+        tb.save_annotations(rows, points, rows.select("slide_name"), str(tmp_path / "root"), F.current_timestamp())
+        assert len(kept) == saves
+        assert tb.read_annotations(spark, str(tmp_path / "root"))["annotations"].select("id").collect() == [("m",)]
