@@ -63,3 +63,38 @@ def test_new_store_is_written_once(spark, monkeypatch, tmp_path):
         tb.save_annotations(rows, points, rows.select("slide_name"), str(tmp_path / "root"), F.current_timestamp())
         assert len(kept) == saves
         assert tb.read_annotations(spark, str(tmp_path / "root"))["annotations"].select("id").collect() == [("m",)]
+
+
+def test_region_documents_are_read_once(spark):
+    """The documents of the merged regions are parsed for both of their uses at once."""
+    files = QUERIES["saved_merged_regions"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if f.endswith(".json")]
+
+
+def test_edges_of_cells_are_shuffled_once(spark):
+    """Crowded cells are named by the pass that links the rings of the others."""
+    from pyspark.sql import functions as F
+
+    from lamella.operators import meeting as mt
+
+    corners = [(0, 0), (9, 0), (9, 9), (0, 9)]
+    ring = F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in corners])
+    regions = spark.range(40).select(F.format_string("r%02d", "id").alias("id"), F.lit("s").alias("slide_name"), F.array(ring).alias("rings"))
+    cells = mt.edge_cells(mt.region_edges(regions, ["slide_name"]))
+    crowded = cells.groupBy("_cx", "_cy").count()
+    for most in (10, 1000):
+        found = mt._cell_links(cells, ["slide_name"], most)
+        named = {(r._cx, r._cy) for r in found.where("a IS NULL").collect()}
+        assert named == {(r._cx, r._cy) for r in crowded.where(F.col("count") > most).collect()}
+        assert (found.where("a IS NOT NULL").count() > 0) == (most == 1000)
+
+
+def test_rows_of_a_crowd_are_not_kept():
+    """Of a group that is known to be too large no more rows are held."""
+    import pyarrow as pa
+
+    from lamella.operators import fills
+
+    batches = [pa.RecordBatch.from_pydict({"k": [0, 1] if n == 0 else [1] * fills.EDGES + [2] * (n == 5)}) for n in range(6)]
+    found = [(table.column(0).to_pylist()[s], table.num_rows) for table, starts in fills.whole_groups(iter(batches), 1, 3) for s in starts]
+    assert [k for k, _ in found] == [0, 1, 2] and max(n for _, n in found) < 3 * fills.EDGES
