@@ -10,7 +10,7 @@ from lamella.functions import names as nm
 from lamella.operators import annotations as an
 from lamella.plans.flagship import NAIVE
 from lamella.plans.registry import query
-from lamella.session import numbered, scratch_path
+from lamella.session import durable, is_small, numbered, scratch_path
 from lamella.sources import tables as tb
 from lamella.sources.derived import Tables
 from lamella.sources.sqlview import run_sql
@@ -48,12 +48,16 @@ def upgrade_region_points(t: Tables) -> DataFrame:
 def save_annotations(t: Tables) -> DataFrame:
     """Everything saved once, then some slides again with moved markers, fewer regions and fields of view."""
     root = scratch_path(t.spark, "annotations")
-    owner = t.annotations.select(F.col("id").alias("annotation_id"), "slide_name")
-    points = t.region_points.join(owner, "annotation_id")
-    slides = t.slides.where(F.contains("slide_path", F.lit("/test/"))).select("slide_name")
-    tb.save_annotations(t.annotations, points, owner, root, F.lit("2024-01-01").cast("timestamp"))
-    kept = t.annotations.join(slides, "slide_name", "left_semi").where("biomarker <> ''").withColumn("x", F.col("x") + 1)
-    left = points.join(kept.select(F.col("id").alias("annotation_id")), "annotation_id", "left_semi")
+    everything = durable(t.annotations)
+    # Points belong to regions, so no other annotation is looked up for them.
+    owner = everything.where("type = 'region'").select(F.col("id").alias("annotation_id"), "slide_name")
+    points = durable(t.region_points.join(owner, "annotation_id"))
+    slides = durable(t.slides.where(F.contains("slide_path", F.lit("/test/"))).select("slide_name"))
+    tb.save_annotations(everything, points, everything.select("slide_name"), root, F.lit("2024-01-01").cast("timestamp"))
+    again = F.broadcast(slides) if is_small(slides) else slides
+    kept = everything.join(again, "slide_name", "left_semi").where("biomarker <> ''").withColumn("x", F.col("x") + 1)
+    regions = kept.where("type = 'region'").select(F.col("id").alias("annotation_id"))
+    left = points.join(regions, "annotation_id", "left_semi")
     tb.save_annotations(kept, left, slides, root, F.lit("2024-02-01").cast("timestamp"))
     back = tb.read_annotations(t.spark, root)
     n = back["region_points"].groupBy(F.col("annotation_id").alias("id")).agg(F.count("*").alias("n"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lamella.session import durable
+from lamella.session import durable, is_small
 
 ANNOTATIONS = (
     "id string, type string, created_at timestamp, modified_at timestamp, created_by string, "
@@ -39,6 +40,9 @@ STORED += ", record string, slide_name string"
 ANNOTATION, POINT, EMPTY = "annotation", "point", "empty"
 #: Slides are dealt to so many folders, however many there are. A store keeps its number.
 BUCKETS = 256
+#: A save leaves the files of other slides apart from its own, until a bucket has more than
+#: so many files besides one for so many bytes.
+SMALL_FILES, FILE_BYTES = 4, 8 << 20
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -112,40 +116,85 @@ def save_annotations(
     table and are replaced by one write, so no slide is ever seen with the annotations of
     one save and the points of another. Only the buckets of the saved slides are rewritten,
     their other slides as they are; so two saves of slides of one bucket must not run at the
-    same time. A slide saved without rows keeps one row, which reading leaves out. The
-    first save below a root with separate folders takes their other slides along. A store
-    with a folder per slide keeps that form.
+    same time. Every saved slide has one row more, which reading leaves out, so that one
+    without rows is replaced, too. The first save below a root with separate folders takes
+    their other slides along. A store with a folder per slide keeps that form.
+
+    The new files are complete before they take the place of any old one, so the rows may
+    come from the store itself.
     """
     spark = annotations.sparkSession
-    shape = spark.createDataFrame([], STORED).schema
-
-    def stored(df: DataFrame, record: str) -> DataFrame:
-        have = {"record": F.lit(record)} | {c: F.col(c) for c in df.columns}
-        return df.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
-
-    listed = slides.select("slide_name").distinct()
-    rows = stored(annotations.withColumn("modified_at", now), ANNOTATION).unionByName(stored(points, POINT))
-    empty = listed.join(rows.select("slide_name").distinct(), "slide_name", "left_anti")
-    rows = rows.unionByName(stored(empty, EMPTY))
-    if not _exists(spark, f"{root}/{STORE}") and _exists(spark, f"{root}/annotations"):
-        old = _separate(spark, root)
-        both = stored(old["annotations"], ANNOTATION).unionByName(stored(old["region_points"], POINT))
-        rows = rows.unionByName(both.join(listed, "slide_name", "left_anti").select(*shape.names))
     path = f"{root}/{STORE}"
-    layout = _layout(spark, path) or "bucket"
-    if layout == "bucket":
-        rows = rows.withColumn("bucket", _bucket())
-        if _exists(spark, path):
-            touched = [r.bucket for r in listed.select(_bucket().alias("bucket")).distinct().collect()]
-            old = spark.read.schema(STORED).parquet(path).where(F.col("bucket").isin(touched))
-            rows = rows.unionByName(old.join(listed, "slide_name", "left_anti").select(*rows.columns))
-    # Rows of a store that is overwritten must be stored before; nothing of a new one is read.
-    rows = durable(rows) if _exists(spark, path) else rows
+    exists, layout = _exists(spark, path), _layout(spark, path) or "bucket"
+    annotations, others, stay = annotations.withColumn("modified_at", now), [], None
+    listed = slides.select("slide_name").distinct()
+    if not exists and _exists(spark, f"{root}/annotations"):
+        others = [df.join(listed, "slide_name", "left_anti") for k, df in _separate(spark, root).items()]
+    if exists:
+        # The saved slides tell the buckets, the rows that go and the rows that mark them.
+        listed = durable(listed)
+    if exists and layout == "bucket":
+        touched = listed.agg(F.collect_set(_bucket())).first()[0]
+        old = spark.read.schema(f"{STORED}, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+        if is_small(listed) and not _scattered(spark, path, touched):
+            stay = old.join(F.broadcast(listed), "slide_name", "left_anti")
+        else:
+            old = old.join(listed, "slide_name", "left_anti")
+            others = [_records(old, ANNOTATION, ANNOTATIONS), _records(old, POINT, REGION_POINTS), old.where(F.col("record") == EMPTY).select("slide_name")]
+    rows = _packed([annotations, points, listed, *others])
+    rows = rows.withColumn("bucket", _bucket()) if layout == "bucket" else rows
+    rows = _unpacked(rows.hint("rebalance", layout))
+    if stay is not None:
+        # They lie in files of their buckets already.
+        rows = rows.unionByName(stay.select(*rows.columns))
     (
-        rows.hint("rebalance", layout)
-        .sortWithinPartitions(*dict.fromkeys([layout, "slide_name"]))
+        rows.sortWithinPartitions(*dict.fromkeys([layout, "slide_name"]))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(layout)
         .parquet(path)
     )
+
+
+def _scattered(spark: SparkSession, path: str, buckets: list[int]) -> bool:
+    """Whether the buckets have so many small files that their rows should be dealt anew."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [place for place in (hadoop(f"{path}/bucket={b}") for b in buckets) if store.exists(place)]
+    found = [store.getContentSummary(place) for place in folders]
+    return sum(s.getFileCount() for s in found) > SMALL_FILES * len(found) + sum(s.getLength() for s in found) // FILE_BYTES
+
+
+def _fields(df: DataFrame, schema: str) -> list[T.StructField]:
+    return [f for f in df.sparkSession.createDataFrame([], schema).schema if f.name != "slide_name"]
+
+
+def _packed(tables: list[DataFrame]) -> DataFrame:
+    """Rows (slide_name, annotation, point) of annotations, of region points and of slides alone.
+
+    A row goes into its bucket with the columns of its kind only, those that some table has.
+    """
+    have = {c for df in tables for c in df.columns}
+    kinds = {k: [f for f in _fields(tables[0], schema) if f.name in have] for k, schema in ((ANNOTATION, ANNOTATIONS), (POINT, REGION_POINTS))}
+
+    def packed(df: DataFrame) -> DataFrame:
+        kind = ANNOTATION if "id" in df.columns else POINT if "annotation_id" in df.columns else EMPTY
+        value = lambda f: (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        held = {k: F.struct(*[value(f) for f in fields]) for k, fields in kinds.items()}
+        none = {k: F.lit(None).cast(T.StructType(fields)) for k, fields in kinds.items()}
+        return df.select("slide_name", *[(held if k == kind else none)[k].alias(k) for k in kinds])
+
+    rows = packed(tables[0])
+    for df in tables[1:]:
+        rows = rows.unionByName(packed(df))
+    return rows
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """The columns of the store from packed rows."""
+    record = F.when(F.col(ANNOTATION).isNotNull(), ANNOTATION).when(F.col(POINT).isNotNull(), POINT).otherwise(EMPTY)
+    given = {"record": record, "slide_name": F.col("slide_name")}
+    for kind in (ANNOTATION, POINT):
+        given |= {name: F.col(f"{kind}.{name}") for name in rows.schema[kind].dataType.names}
+    flat = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.sparkSession.createDataFrame([], STORED).schema]
+    return rows.select(*flat, *[c for c in rows.columns if c == "bucket"])

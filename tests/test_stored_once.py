@@ -98,3 +98,34 @@ def test_rows_of_a_crowd_are_not_kept():
     batches = [pa.RecordBatch.from_pydict({"k": [0, 1] if n == 0 else [1] * fills.EDGES + [2] * (n == 5)}) for n in range(6)]
     found = [(table.column(0).to_pylist()[s], table.num_rows) for table, starts in fills.whole_groups(iter(batches), 1, 3) for s in starts]
     assert [k for k, _ in found] == [0, 1, 2] and max(n for _, n in found) < 3 * fills.EDGES
+
+
+def test_saving_again(spark, monkeypatch, tmp_path):
+    """Rows that stay are not stored or shuffled on their way, saved ones may come from the store, and files do not pile up."""
+    from pyspark.sql import functions as F
+
+    from lamella.sources import tables as tb
+
+    kept, real = [], tb.durable
+    monkeypatch.setattr(tb, "durable", lambda df: kept.append(df.columns) or real(df))
+    monkeypatch.setattr(tb, "BUCKETS", 2)
+    root = str(tmp_path / "root")
+    slides = spark.range(40).select(F.format_string("s%d", "id").alias("slide_name"))
+    rows = slides.select(F.concat(F.lit("r"), "slide_name").alias("id"), F.lit("region").alias("type"), F.lit(1.0).alias("x"), "slide_name")
+    points = rows.select(F.col("id").alias("annotation_id"), F.lit(0).alias("seq"), F.lit(2.0).alias("px"), F.lit(3.0).alias("py"), F.lit(0).alias("ring"), "slide_name")
+    now = F.lit("2024-01-01").cast("timestamp")
+    tb.save_annotations(rows, points, slides, root, now)
+    one = slides.where("slide_name = 's7'")
+    for _ in range(12):
+        back = tb.read_annotations(spark, root)
+        mine = back["annotations"].where("slide_name = 's7'").withColumn("x", F.col("x") + 1)
+        tb.save_annotations(mine, back["region_points"].where("slide_name = 's7'"), one, root, now)
+    assert kept == [["slide_name"]] * 12
+    back = tb.read_annotations(spark, root)
+    assert sorted((r.slide_name, r.x) for r in back["annotations"].collect()) == sorted((f"s{k}", 13.0 if k == 7 else 1.0) for k in range(40))
+    assert sorted(r.annotation_id for r in back["region_points"].collect()) == sorted(f"rs{k}" for k in range(40))
+    assert max(len(list(b.glob("*.parquet"))) for b in (tmp_path / "root" / tb.STORE).glob("bucket=*")) <= tb.SMALL_FILES + 2
+    # Where the saved slides are too many to be sent around, all rows of their buckets are dealt anew.
+    monkeypatch.setattr(tb, "is_small", lambda df: False)
+    tb.save_annotations(rows.limit(0), points.limit(0), one, root, now)
+    assert tb.read_annotations(spark, root)["annotations"].count() == tb.read_annotations(spark, root)["region_points"].count() == 39
